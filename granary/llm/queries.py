@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, exact_dedup, mixing, simhash, toxicity, url_filter
+from granary.llm import ann, bpe, exact_dedup, mixing, simhash, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.copies(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return found.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.round("_target", 4).alias("target"), (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
@@ -25,6 +29,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,5 +46,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_url_filter, op6_exact_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_source_mixing, op3_url_filter, op6_exact_dedup, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe)}
 SQL = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
