@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, bpe, exact_dedup, mixing, simhash, substring, toxicity, url_filter
+from granary.llm import ann, bpe, chat, exact_dedup, html, mixing, simhash, substring, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), url_filter.rule_table(spark, url_filter.RULES))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.preference_pairs(chat.adjacent_pairs(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(c)
+    return found.select(F.col("_pair").alias("pair_id"), "n_prompt_turns", "prompt", "chosen", spans("chosen_spans"), "rejected", spans("rejected_spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +56,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_source_mixing, op3_url_filter, op6_exact_dedup, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe)}
-SQL = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_source_mixing, op3_url_filter, op4_html_extraction, op5_chat_formatting, op6_exact_dedup, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe)}
+SQL = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}

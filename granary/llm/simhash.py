@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import components, lookup, written
@@ -46,15 +46,15 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = [fingerprint(t.as_py().encode() if t.is_valid else b"") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["_id", "_fp"])
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [fingerprint(t.as_py().encode() if t.is_valid else b"", words) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["_id", "_fp"])
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(_batches, f"_id {kind}, _fp long")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _fp long")
 
 
 def popcounts(half: Column) -> Column:
@@ -114,14 +114,14 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
     return nodes.join(second.select(F.col("node").alias("label"), F.col("label").alias("_top")), "label", "left").select("_fp", F.coalesce("_top", "label").alias("_label"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 lower-case hexadecimal digits), component_id.
 
     component_id is the smallest id reachable over links of at most 4 differing bits, the row's own included. Null and
     empty texts have fingerprint zero, which links like any other. Repeated ids and rows each get a row; a null id
     joins in, and is a component's id only if all its ids are null. An empty table gives an empty result. Other columns are not read.
     """
-    rows = written(fingerprints(docs, id_col, text_col))
+    rows = written(fingerprints(docs, id_col, text_col, words))
     prints = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")))
     linked = fingerprint_components(prints)
     labelled = written(prints.join(linked, "_fp", "left").withColumn("_label", F.coalesce("_label", "_fp")))
@@ -132,12 +132,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, that with the smallest id; every column stays.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """docs with one row of each component, that with the smallest id; every column stays. Shingles are of five words here.
 
-    Of rows that repeat that id, the one with the smallest hash over all columns stays.
+    Of rows that repeat that id, the one with the smallest hash over all columns stays. Rows with a null id all stay.
     """
-    stay = near_groups(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("_stays")).distinct()
+    stay = near_groups(docs, id_col, text_col, words).filter(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_id")).distinct()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
-    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row.*")
+    first = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
+    kept = rows.join(stay, "_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return kept.select("_row.*").unionByName(rows.filter("_id is null").select("_row.*"))
