@@ -15,10 +15,9 @@ from granary.llm.common import components, lookup, written
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-#: Bits of a segment; a fingerprint is 2 halves of 16 segments.
-SEGMENT = 2
-HALF = 32
-_EVEN = 0x55555555
+#: A fingerprint is two halves of 32 bits; a half's first bits are segments of one bit, the others of two. Narrow
+#: segments keep the bound sharp: unlike fingerprints share a cell of a half with a chance of about 2**-28 a pair of cells.
+HALF, SINGLES, WIDTH = 32, 16, 2
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -58,16 +57,18 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
 
 
 def popcounts(half: Column) -> Column:
-    """The bit counts of the 16 segments of a half, 2 bits each: at most 2, so they stay in their segment's bits."""
-    return half.bitwiseAND(F.lit(_EVEN).cast("long")) + F.shiftright(half, 1).bitwiseAND(F.lit(_EVEN).cast("long"))
+    """The bit counts of the segments of a half; a segment's count stays in the segment's own bits."""
+    ones, pairs = (1 << SINGLES) - 1, 0x55555555 & ~((1 << SINGLES) - 1)
+    both = half.bitwiseAND(F.lit(pairs).cast("long")) + F.shiftright(half, 1).bitwiseAND(F.lit(pairs).cast("long"))
+    return both + half.bitwiseAND(F.lit(ones).cast("long"))
 
 
 def _cells(counts: Column, which: int) -> list[Column]:
     """The grid cell of a vector of counts and those one step beside it, within the counts' bounds; null where there is none."""
-    found = [counts]
-    for i in range(HALF // SEGMENT):
-        at = F.shiftright(counts, i * SEGMENT).bitwiseAND(F.lit(3))
-        found += [F.when(at < SEGMENT, counts + F.lit(1 << i * SEGMENT)), F.when(at > 0, counts - F.lit(1 << i * SEGMENT))]
+    found = [counts, *[counts.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(SINGLES)]]
+    for i in range(SINGLES, HALF, WIDTH):
+        at = F.shiftright(counts, i).bitwiseAND(F.lit(3))
+        found += [F.when(at < WIDTH, counts + F.lit(1 << i)), F.when(at > 0, counts - F.lit(1 << i))]
     return [c + F.lit(which << HALF) for c in found]
 
 
@@ -94,9 +95,9 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
     copies by as many links as they have members. Then, in cells that still hold several components, fingerprints of
     different components are compared, so no group's pairs are all emitted. Both steps verify the distance itself.
     """
-    cells = written(grid(prints))
-    least = cells.groupBy("_cell").agg(F.min("_fp").alias("_least"), F.max("_fp").alias("_most"), F.count("*").alias("_n")).filter("_least < _most").drop("_most")
-    shared = written(cells.join(least.drop("_n"), "_cell"))
+    # cells are cheaper made twice than stored
+    least = grid(prints).groupBy("_cell").agg(F.min("_fp").alias("_least"), F.max("_fp").alias("_most")).filter("_least < _most").drop("_most")
+    shared = written(grid(prints).join(least, "_cell"))
     first = components(shared.filter((F.col("_fp") != F.col("_least")) & _near("_fp", "_least")).select(F.col("_fp").alias("a"), F.col("_least").alias("b")))
     first = written(first)
     labelled = shared.drop("_least").join(first.select(F.col("node").alias("_fp"), "label"), "_fp", "left").select("_cell", "_fp", F.coalesce("label", "_fp").alias("_label"))
