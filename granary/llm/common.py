@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,9 +38,18 @@ def _drop_scratch() -> None:
             return
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a table from written(), once nothing reads it any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of what is no longer referenced, which it does when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

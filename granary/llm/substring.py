@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import lookup, written
+from granary.llm.common import forget, lookup, release, written
 
 #: Words of a window, and of the anchors that stand for windows in the index.
 WORDS = 13
@@ -22,7 +22,7 @@ FANOUT = 2
 #: that bound more windows are verified, with the same results.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bytes of text that are hashed at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _RNG = np.random.default_rng(13)
 _BYTES = [_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) for _ in range(2)]
 _BASE = [int(x) | 1 for x in _RNG.integers(1 << 40, 1 << 63, 2, dtype=np.uint64)]
@@ -35,91 +35,144 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
 class Hasher:
-    """Hashes of all runs of k words of a text: differences of a polynomial's prefix sums, modulo 2**64, mixed."""
+    """Hashes of words and of runs of words: differences of a polynomial's prefix sums, modulo 2**64, mixed. Two families, which = 0 and 1, are independent."""
 
     def __init__(self) -> None:
-        self.power = [np.ones(1, np.uint64)] * 2
-        self.inverse = [np.ones(1, np.uint64)] * 2
-
-    def _powers(self, n: int) -> None:
-        if len(self.power[0]) >= n:
-            return
-        n = max(n, 1 << 17)
-        for which, base in enumerate(_BASE):
-            for table, b in ((self.power, base), (self.inverse, pow(base, -1, 1 << 64))):
-                steps = np.full(n, b, np.uint64)
-                steps[0] = 1
-                table[which] = np.multiply.accumulate(steps)
-
-    def runs(self, tokens: list[bytes], k: int, which: int = 0) -> np.ndarray:
-        """One hash for each run of k words, joined by one space. Blocks of words bound the memory of a very long text."""
-        n = len(tokens)
-        if n < k:
+        self.power = [_powers(b, 1) for b in _BASE]
+        self.inverse = [_powers(1, 1) for _ in _BASE]
+
+    def _reserve(self, n: int) -> None:
+        if len(self.power[0]) < n:
+            n = max(n, 1 << 18)
+            self.power = [_powers(b, n) for b in _BASE]
+            self.inverse = [_powers(pow(b, -1, 1 << 64), n) for b in _BASE]
+
+    def between(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+        """The hash of values[start:end] for each pair."""
+        self._reserve(len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.power[which][: len(values)], out=sums[1:])
+        return _mixed((sums[ends] - sums[starts]) * self.inverse[which][starts] + (ends - starts).astype(np.uint64))
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
+        """One hash for each word of some text; blocks of text bound the memory."""
+        out = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK, "right")))
+            low = starts[a]
+            out[a:b] = self.between(_BYTES[which][data[low : ends[b - 1]]], starts[a:b] - low, ends[a:b] - low, which)
+            a = b
+        return out
+
+    def runs(self, words: np.ndarray, k: int, which: int) -> np.ndarray:
+        """The hash of each run of k words."""
+        n = len(words) - k + 1
+        if n <= 0:
             return np.zeros(0, np.uint64)
-        out, step = [], 1 << 18
-        for at in range(0, n - k + 1, step):
-            part = tokens[at : at + step + k - 1]
-            text = np.frombuffer(b" ".join(part), np.uint8)
-            self._powers(len(text) + 1)
-            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1) - 1
-            starts = np.concatenate(([0], ends[:-1] + 1))
-            sums = np.zeros(len(text) + 1, np.uint64)
-            np.cumsum(_BYTES[which][text] * self.power[which][: len(text)], out=sums[1:])
-            a, b = starts[: len(part) - k + 1], ends[k - 1 :]
-            out.append(_mixed((sums[b] - sums[a]) * self.inverse[which][a] + (b - a).astype(np.uint64)))
-        return np.concatenate(out)
-
-
-def anchors(tokens: list[bytes], hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the runs of ANCHOR words, the anchor's place for each window).
-
-    A window's anchor is that of its runs with the smallest hash, the first of several. Windows with the same words have
-    the same anchor, and about one run in five is an anchor, so the index has a fifth of the windows' number.
-    """
-    grams = hasher.runs(tokens, ANCHOR)
-    width = WORDS - ANCHOR + 1
-    if len(grams) < width:
-        return grams, np.zeros(0, np.int64)
-    best, place = grams[: len(grams) - width + 1].copy(), np.zeros(len(grams) - width + 1, np.int64)
-    for k in range(1, width):
-        other = grams[k : len(grams) - width + 1 + k]
-        less = other < best
-        best = np.where(less, other, best)
-        place[less] = k
-    return grams, place + np.arange(len(place))
-
-
-def _tokens(value: pa.Scalar) -> list[bytes]:
-    return value.as_py().encode().split() if value.is_valid else []
+        out = np.zeros(n, np.uint64)
+        for j in range(k):
+            out = out * np.uint64(_BASE[which]) + words[j : j + n]
+        return _mixed(out)
+
+
+class Texts:
+    """Some documents' texts side by side: where words begin and end, and the document of each, by array operations on the Arrow buffer."""
+
+    def __init__(self, column: pa.StringArray, hasher: Hasher) -> None:
+        self.hasher = hasher
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = column.buffers()[2]
+        self.data = (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]]
+        bounds = offsets - offsets[0]
+        n = len(self.data)
+        space = _SPACES[self.data]
+        first = np.zeros(n + 1, bool)
+        first[bounds] = True  # no word goes on from one document to the next
+        begins, ends = ~space, ~space
+        if n:
+            begins[1:] &= space[:-1] | first[1:n]
+            ends[:-1] &= space[1:] | first[1:n]
+        self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.doc = np.searchsorted(bounds, self.starts, "right") - 1
+        self.head = np.searchsorted(self.doc, np.arange(len(column)))  # the first word of each document
+        self.hashes: dict[int, np.ndarray] = {}
+
+    def words(self, which: int = 0) -> np.ndarray:
+        if which not in self.hashes:
+            self.hashes[which] = self.hasher.words(self.data, self.starts, self.ends, which)
+        return self.hashes[which]
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes of the runs of ANCHOR words, the windows, the place of each window's anchor).
+
+        A window's anchor is that of its runs with the smallest hash, the first of several. Windows with the same words
+        have the same anchor at the same place in them, and about one run in five is an anchor.
+        """
+        grams = self.hasher.runs(self.words(), ANCHOR, 0)
+        n = len(self.starts) - WORDS + 1
+        if n <= 0:
+            return grams, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best, place = grams[:n].copy(), np.zeros(n, np.int8)
+        for k in range(1, WORDS - ANCHOR + 1):
+            other = grams[k : k + n]
+            less = other < best
+            np.copyto(best, other, where=less)
+            place[less] = k
+        windows = np.flatnonzero(self.doc[:n] == self.doc[WORDS - 1 :])
+        return grams, windows, windows + place[windows]
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, first window, number of windows) of the runs of windows that share an anchor's place."""
+        grams, windows, place = self.anchors()
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+        return grams[place[first]] if len(first) else np.zeros(0, np.uint64), windows[first], np.diff(np.append(first, len(place)))
+
+    def span_hash(self, first: np.ndarray, count: np.ndarray, which: int) -> np.ndarray:
+        return self.hasher.between(self.words(which), first, first + count + WORDS - 1, which)
+
+
+def _parts(batch: pa.RecordBatch, hasher: Hasher) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    """A batch in parts of about BLOCK bytes of text; one very long text is a part of its own."""
+    column = batch.column(1)
+    sizes = np.cumsum(np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])) if len(column) else np.zeros(0)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BLOCK, "right")))
+        part = batch.slice(at, to - at)
+        yield part, Texts(part.column(1), hasher)
+        at = to
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, least id, largest id) of each batch of documents: what many of them share is one row."""
+    """(anchor, least id, span to the largest id) of parts of the documents: what many documents of a part share is one row."""
     hasher = Hasher()
-
-    def rows(found: list[np.ndarray], ids: list[int]) -> pa.RecordBatch:
-        keys = np.concatenate(found)
-        owners = np.repeat(np.array(ids, np.int64), [len(f) for f in found])
-        order = np.lexsort((owners, keys))
-        keys, owners = keys[order], owners[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-        last = np.concatenate((first[1:] - 1, [len(keys) - 1])) if len(keys) else first
-        return pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(owners[first]), pa.array(owners[last])], ["anchor", "least", "most"])
-
     for batch in batches:
-        found, ids, size = [], [], 0
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            grams, place = anchors(_tokens(t), hasher)
-            if len(place):
-                found.append(grams[np.unique(place)])
-                ids.append(i)
-                size += len(found[-1])
-            if size > 1 << 20:
-                yield rows(found, ids)
-                found, ids, size = [], [], 0
-        if found:
-            yield rows(found, ids)
+        for part, texts in _parts(batch, hasher):
+            keys, first, _ = texts.spans()
+            if not len(keys):
+                continue
+            owners = part.column(0).to_numpy()[texts.doc[first]]
+            order = np.lexsort((owners, keys))
+            keys, owners = keys[order], owners[order]
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            to = np.append(at[1:], len(keys)) - 1
+            yield pa.RecordBatch.from_arrays([_signed(keys[at]), pa.array(owners[at]), pa.array(owners[to])], ["anchor", "least", "most"])
 
 
 class FingerprintIndex:
@@ -199,42 +252,65 @@ def filter_bits(n: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, n) - 1).bit_length()))
 
 
+def _span_rows(bitmap):
+    """(anchor, h1, h2, _id, _row, start, n) of the spans whose anchor the filter shows: n windows from start, and two independent hashes of all their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bits = Hasher(), bitmap.value
+        for batch in batches:
+            for part, texts in _parts(batch, hasher):
+                keys, first, count = texts.spans()
+                some = np.flatnonzero(_set(bits, keys))
+                if len(some):
+                    keys, first, count = keys[some], first[some], count[some]
+                    doc = texts.doc[first]
+                    yield pa.RecordBatch.from_arrays([_signed(keys), *[_signed(texts.span_hash(first, count, w)) for w in (0, 1)], pa.array(part.column(0).to_numpy()[doc]), pa.array(part.column(2).to_numpy()[doc]), pa.array((first - texts.head[doc]).astype(np.int32)), pa.array(count.astype(np.int16))], ["anchor", "h1", "h2", "_id", "_row", "start", "n"])
+
+    return run
+
+
+def _mark(h1, ids):
+    """A number by which a span of a document is found again."""
+    return _mixed(h1 + ids.astype(np.uint64) * _MIX[0])
+
+
 def _window_rows(bitmap):
-    """(h1, h2, _id, _row, start) of the windows whose anchor the filter shows: two independent hashes of all 13 words."""
+    """(h1, h2, _id, _row, start) of the windows of the spans that the filter shows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits = Hasher(), bitmap.value
-        names = ["h1", "h2", "_id", "_row", "start"]
         for batch in batches:
-            out, size = [], 0
-            for i, row, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
-                tokens = _tokens(t)
-                grams, place = anchors(tokens, hasher)
-                at = np.flatnonzero(_set(bits, grams[place])) if len(place) else place
-                if len(at):
-                    h1, h2 = (hasher.runs(tokens, WORDS, which)[at].view(np.int64) for which in (0, 1))
-                    out.append((h1, h2, np.full(len(at), i, np.int64), np.full(len(at), row, np.int64), at.astype(np.int32)))
-                    size += len(at)
-                if size > 1 << 19:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
-                    out, size = [], 0
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+            for part, texts in _parts(batch, hasher):
+                _, first, count = texts.spans()
+                if not len(first):
+                    continue
+                ids = part.column(0).to_numpy()[texts.doc[first]]
+                some = np.flatnonzero(_set(bits, _mark(texts.span_hash(first, count, 0), ids)))
+                if len(some):
+                    first, count = first[some], count[some]
+                    at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    doc = texts.doc[at]
+                    yield pa.RecordBatch.from_arrays([*[_signed(hasher.runs(texts.words(w), WORDS, w)[at]) for w in (0, 1)], pa.array(part.column(0).to_numpy()[doc]), pa.array(part.column(2).to_numpy()[doc]), pa.array((at - texts.head[doc]).astype(np.int32))], ["h1", "h2", "_id", "_row", "start"])
 
     return run
 
 
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([_signed(_mark(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))], ["anchor"])
+
+
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, removed, kept = [], [], []
-        for t, starts in zip(batch.column(1), batch.column(2), strict=True):
-            tokens = _tokens(t)
+        for t, at, n in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            tokens = t.as_py().encode().split() if t.is_valid else []
             gone = 0
-            if starts.is_valid and len(starts):
+            if at.is_valid and len(at):
                 edge = np.zeros(len(tokens) + 1, np.int64)
-                at = starts.values.to_numpy()
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + WORDS, -1)
+                a = at.values.to_numpy()
+                np.add.at(edge, a, 1)
+                np.add.at(edge, a + n.values.to_numpy() + WORDS - 1, -1)
                 cover = np.cumsum(edge[:-1]) > 0
                 gone = int(cover.sum())
                 tokens = [w for w, c in zip(tokens, cover.tolist(), strict=True) if not c]
@@ -245,16 +321,18 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
-    """(_id, _row, starts): for each document the places of its windows whose words also start in a document with a smaller id.
+    """(_id, _row, starts, counts): for each document the runs of windows whose words also start in a document with a smaller id.
 
     Documents go into the index in batches by ranges of ids, so what the index holds are the smaller ids. The anchors
-    that two documents share make a filter; windows with such an anchor are verified by 128 bits of two independent
-    hashes of all their words, and the smallest id of each is found. A window that a third of all documents have is
-    summed up in each task first, and its rows then meet the result without a shuffle (see common.lookup). _row is a
-    hash of the text, for rows that repeat an id with another text.
+    that two documents share make a filter, and are verified in two steps, by 128 bits of two independent hashes of all
+    words. First whole spans, the windows of one anchor in one place: all windows of a span repeat if a smaller id has
+    the same span, which settles all of a long passage but its ends. Then, where an anchor has several different spans,
+    their windows one by one, for the smallest id of each span only. What a third of all documents have is summed up in
+    each task first, and its rows then meet the result without a shuffle (see common.lookup). _row is a hash of the
+    text, for rows that repeat an id with another text.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_row")).filter("_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.xxhash64(F.col(text_col)).alias("_row")).filter("_id is not null")
     edges = texts.approxQuantile("_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(e) for e in edges})
     index = FingerprintIndex(spark)
@@ -265,12 +343,25 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         part = part if high is None else part.filter(F.col("_id") <= high)
         found = index.add(part)
         shared = found if shared is None else shared.unionByName(found)
+        release(spark)
     index.drop()
     bitmap = spark.sparkContext.broadcast(_filter(shared, filter_bits(shared.count())))
+    spans = written(texts.mapInArrow(_span_rows(bitmap), "anchor long, h1 long, h2 long, _id long, _row long, start int, n short"))
+    first = written(spans.groupBy("h1", "h2").agg(F.min("anchor").alias("anchor"), F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("_n")))
+    repeats = first.filter("_first < _last").select("h1", "h2", "_first", "_n")
+    whole = written(lookup(spans.drop("anchor"), repeats, ["h1", "h2"], "_n", max(1, spans.count())).filter("_id > _first").select("_id", "_row", "start", F.col("n").cast("int").alias("n")))
+    several = first.groupBy("anchor").agg(F.count("*").alias("_spans"), F.min("_first").alias("_a"), F.max("_last").alias("_b")).filter("_spans > 1 and _a < _b").select("anchor", "_spans")
+    marks = written(lookup(first, several, ["anchor"], "_spans", max(1, first.count())).select("h1", "_first").mapInArrow(_mark_rows, "anchor long"))
+    release(spark)
+    bitmap = spark.sparkContext.broadcast(_filter(marks, filter_bits(marks.count())))
     windows = written(texts.mapInArrow(_window_rows(bitmap), "h1 long, h2 long, _id long, _row long, start int"))
-    first = written(windows.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("_n")).filter("_first < _last").drop("_last"))
-    hits = lookup(windows, first, ["h1", "h2"], "_n", max(1, windows.count())).filter("_id > _first")
-    return written(hits.groupBy("_id", "_row").agg(F.collect_list("start").alias("starts")))
+    least = written(windows.groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last"), F.count("*").alias("_n")).filter("_first < _last").drop("_last"))
+    single = lookup(windows, least, ["h1", "h2"], "_n", max(1, windows.count())).filter("_id > _first").select("_id", "_row", "start", F.lit(1).alias("n"))
+    out = written(whole.unionByName(single).groupBy("_id", "_row").agg(F.collect_list(F.struct("start", "n")).alias("_r")).select("_id", "_row", F.col("_r.start").alias("starts"), F.col("_r.n").alias("counts")))
+    for table in (spans, first, whole, windows, least):
+        forget(table)
+    release(spark)
+    return out
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -282,7 +373,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     starts = repeated_windows(docs, id_col, text_col, batches)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_row"))
-    texts = texts.filter("_id is not null").join(starts, ["_id", "_row"], "left").select("_id", "_text", "starts").unionByName(texts.filter("_id is null").select("_id", "_text", F.lit(None).cast("array<int>").alias("starts")))
+    none = F.lit(None).cast("array<int>")
+    texts = texts.filter("_id is not null").join(starts, ["_id", "_row"], "left").select("_id", "_text", "starts", "counts").unionByName(texts.filter("_id is null").select("_id", "_text", none.alias("starts"), none.alias("counts")))
     out = texts.mapInArrow(_kept_rows, "_id long, n_words long, n_removed long, kept string")
     return out.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept")
 
