@@ -25,6 +25,7 @@ IMPLIED = {
 CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in IMPLIED.items()}
 #: What an end tag does not reach over.
 SCOPE = frozenset("table td th".split())
+PARTS = frozenset("tr td th thead tbody tfoot caption".split())
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -68,6 +69,8 @@ class Tree(HTMLParser):
             return
         if tag == "body" or (tag in BLOCK and tag not in HIDDEN):
             self._close(frozenset(["head"]), frozenset())
+        if tag in PARTS and not any(n.tag == "table" for n in self.open):
+            return  # parts of a table mean nothing outside one
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag in BLOCK:
