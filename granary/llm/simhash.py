@@ -16,8 +16,8 @@ WORDS = 4
 DISTANCE = 4
 SEED = 42
 #: A fingerprint is two halves of 32 bits; a half's first bits are segments of one bit, the others of two. Narrow
-#: segments keep the bound sharp: unlike fingerprints share a cell of a half with a chance of about 2**-28 a pair of cells.
-HALF, SINGLES, WIDTH = 32, 16, 2
+#: segments keep the bound sharp: unlike fingerprints share a cell of a half with a chance of about 2**-30 a pair of cells.
+HALF, SINGLES, WIDTH = 32, 24, 2
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
