@@ -58,7 +58,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     if path is None:
         path = f"{scratch_dir(spark)}/granary-{uuid.uuid4().hex}"
         _paths.append((spark, path))
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -193,7 +193,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame, tier: int) -> None:
         table = f"{self.name}_{self.made}"
         self.made += 1
-        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").format("parquet").saveAsTable(table)
+        rows.repartition(self.buckets, "anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("compression", "zstd").format("parquet").saveAsTable(table)
         self.runs.append((tier, table))
 
     def add(self, docs: DataFrame) -> DataFrame:
