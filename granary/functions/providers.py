@@ -73,3 +73,43 @@ def provider(name: str, local=None, online=None):
 
 def with_generation(df: DataFrame, generate, prompt: str = "final_prompt", reply: str = "reply") -> DataFrame:
     return df.withColumn(reply, generate(prompt))
+
+
+def online(model: str, base: str, key_env: str, system: str = "", seconds: int = 60):
+    """load for generator(): chat completions of an API over HTTP, at temperature 0. The key is read from the environment, on the executors."""
+
+    def load():
+        import json
+        import os
+        import urllib.request
+
+        from granary.functions.text import completions_url
+
+        url, key = completions_url(base), os.environ.get(key_env)
+        if not key:
+            raise ValueError(f"{key_env} is not set")
+
+        def run(prompts: list[str]) -> list[str]:
+            out = []
+            for p in prompts:
+                body = {"model": model, "temperature": 0, "messages": [{"role": "system", "content": system}, {"role": "user", "content": p}]}
+                request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
+                with urllib.request.urlopen(request, timeout=seconds) as answer:
+                    out.append(json.load(answer)["choices"][0]["message"]["content"].strip())
+            return out
+
+        return run
+
+    return load
+
+
+def rendered(load: Callable[[], Callable[[list[dict]], str]]):
+    """A column function from an array of (role, content) to a training text, by a tokenizer's chat template."""
+
+    @F.pandas_udf(StringType())
+    def render(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        template = load()
+        for rows in parts:
+            yield pd.Series([template([dict(t) for t in turns]) for turns in rows])
+
+    return render

@@ -210,3 +210,35 @@ def test_catalog_equals_its_sql():
     names = "vector_topk hybrid_rank rerank_rank weight_sweep hint_supplement keyword_rank toy_vector context_items greedy_dedupe mask_pii failure_attribution grounding_metrics report_compare ops_metrics kb_versions kb_audit".split()
     run = subprocess.run([sys.executable, str(ROOT / "tools/compare.py"), "/root/testdata/sf0.001", *names], capture_output=True, text=True, timeout=900)
     assert run.stdout.count(": same") == len(names), run.stdout
+
+
+def test_service(spark, tmp_path):
+    from granary.plans.service import Service
+
+    s = Service(spark, str(tmp_path), kb(spark))
+    assert s.categories() == sorted({r[3] for r in KB}) and s.examples_by_category("退款").count() == 2
+    with pytest.raises(KeyError):
+        s.examples_by_category("没有")
+    rows = s.chat_prompt(["退款多久到账"]).collect()
+    assert len(rows) == 1 and s.table("sessions").count() == 1 and s.ops_metrics()["request_count"] == 1
+    n = s.create_item({"question": "新问题", "answer": "新答案", "category": "新", "intent": "新意图"})
+    assert s.publish_approved() == "skipped"
+    s.review_item(n, "approved", "ok")
+    assert s.export_approved()[0] == 1 and s.publish_approved() == "succeeded" and s.search_examples("新问题").count() == 1
+    assert s.retrieval_search("新问题", min_score=0.0).count() > 0 and s.rollback_latest() == "succeeded" and s.search_examples("新问题").count() == 0
+    assert s.update_item(n, {"question": "q2"}) == 2 and [r.action for r in s.publish_history().collect()] == ["rollback", "publish", "publish"]
+    f = s.add_feedback({"query": "q", "reply": "r", "helpful": False, "reason": "bad", "trace_json": '{"top1_intent": "i"}'})
+    assert s.recent_feedback(helpful=False).count() == 1 and s.export_eval_case(f)["expected_intent"] == "i" and s.table("feedback").first().exported
+    assert s.prompt_preview("退款多久到账").first().final_prompt.endswith("最终客服回复：") and s.intent_hint("优惠券不能用") == "优惠券不可用"
+
+
+def test_evaluation_runs(spark):
+    from granary.plans import evaluation
+
+    cases = asked(spark, ["退款多久到账，重点是取消", "优惠券不能用", "zzz"]).withColumn("expected_intents", F.when(F.col("query_id") == 0, F.array(F.lit("退款进度"))).otherwise(F.array(F.lit("别的")))).withColumn("error_type", F.lit(""))
+    run = evaluation.retrieval_run(cases, kb(spark), min_score=0.9)
+    got = {r.query_id: r.judgement for r in run.collect()}
+    assert got == {0: "Top1 命中", 1: "未命中", 2: "未命中"}
+    assert {r.error_type: r.n for r in evaluation.error_types(run).collect()} == {"未标注": 2} and evaluation.bad_case_counts(run).first().miss_count == 2
+    rows = evaluation.hit_rates(spark.createDataFrame([("a b", ["a", "b"]), ("a", ["a", "b"]), ("z", ["a"]), ("z", [])], "answer string, expected_keywords array<string>"))
+    assert [r.band for r in rows.collect()] == ["OK", "部分命中", "未命中", "未命中"] and evaluation.hit_summary(rows).first().mean_hit_rate == 0.375
