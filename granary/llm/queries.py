@@ -57,4 +57,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_source_mixing, op3_url_filter, op4_html_extraction, op5_chat_formatting, op6_exact_dedup, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe)}
-SQL = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL}
+SQL = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL}
