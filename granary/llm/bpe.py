@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import small_batches
+
 #: A chunk ends at the first white space after a place where the rolling hash of WINDOW bytes has MASK's bits all zero: about every 512 bytes.
 WINDOW = 16
 MASK = 511
 #: Bytes of chunks, and words, that a worker keeps at most; when full, the older half goes.
-CHUNK_BYTES = 48 << 20
-WORDS = 600_000
+CHUNK_BYTES = 24 << 20
+WORDS = 300_000
 #: Bytes of a text whose chunks are found at once.
 BLOCK = 1 << 20
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -224,5 +226,5 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * full
-    out = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    out = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, schema)
     return out.withColumnRenamed("_id", id_col)

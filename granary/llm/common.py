@@ -52,6 +52,18 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch of texts. Spark's 64 MB would be held several times over by a JVM and its Python worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches, where they still have Spark's bound."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "") in ("67108864b", "64MB", "67108864"):
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, so a lost executor costs one read, and later passes read narrow columns."""
     spark = df.sparkSession

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import small_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
 HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist select".split())
@@ -300,5 +302,5 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, text. Ids may be null or repeat; other columns are not read; an empty table gives an empty result."""
     kind = pages.schema[id_col].dataType.simpleString()
-    out = pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).mapInArrow(_batches, f"_id {kind}, text string")
+    out = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).mapInArrow(_batches, f"_id {kind}, text string")
     return out.withColumnRenamed("_id", id_col)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import components, lookup, written
+from granary.llm.common import components, lookup, small_batches, written
 
 WORDS = 4
 DISTANCE = 4
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
             prints = [fingerprint(t.as_py().encode() if t.is_valid else b"", words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["_id", "_fp"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _fp long")
+    return small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _fp long")
 
 
 def popcounts(half: Column) -> Column:

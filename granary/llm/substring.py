@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import forget, lookup, release, written
+from granary.llm.common import forget, lookup, release, small_batches, written
 
 #: Words of a window, and of the anchors that stand for windows in the index.
 WORDS = 13
@@ -331,7 +331,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     each task first, and its rows then meet the result without a shuffle (see common.lookup). _row is a hash of the
     text, for rows that repeat an id with another text.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.xxhash64(F.col(text_col)).alias("_row")).filter("_id is not null")
     edges = texts.approxQuantile("_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(e) for e in edges})

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.common import small_batches
+
 #: Lengths of the n-grams, in bytes of the lower-cased text between two spaces, and bits of the feature space.
 NGRAMS = (3, 4, 5)
 BITS = 18
 #: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
-TRAIN_ROWS = 8000
+TRAIN_ROWS = 5000
 FOLDS = 5
 EPOCHS = 12
 BATCH = 256
@@ -123,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.filter(F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0)
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_label", "_text")
+    texts = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_label", "_text")
     got = texts.mapInArrow(_feature_batches, "label int, features array<int>").toArrow().combine_chunks()
     lists = got.column("features").combine_chunks() if got.num_rows else None
     features = [lists[i].values.to_numpy() for i in range(got.num_rows)]
@@ -145,7 +147,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], names)
 
     kinds = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
-    return docs.mapInArrow(run, kinds)
+    return small_batches(docs).mapInArrow(run, kinds)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
