@@ -59,7 +59,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(df: DataFrame) -> DataFrame:
     """df, after bounding the session's Arrow batches, where they still have Spark's bound."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, "") in ("67108864b", "64MB", "67108864"):
+    if conf.get(name) in ("67108864b", "64MB", "67108864"):
         conf.set(name, f"{BATCH_BYTES}b")
     return df
 
