@@ -17,8 +17,8 @@ from granary.llm.common import small_batches
 WINDOW = 16
 MASK = 511
 #: Bytes of chunks, and words, that a worker keeps at most; when full, the older half goes.
-CHUNK_BYTES = 24 << 20
-WORDS = 300_000
+CHUNK_BYTES = 48 << 20
+WORDS = 600_000
 #: Bytes of a text whose chunks are found at once.
 BLOCK = 1 << 20
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -58,9 +58,10 @@ def cuts(text: bytes) -> list[int]:
 class Codec:
     """Encodes and decodes texts as the tokenizer does, by chunks and, within new chunks, by words that were seen before."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int = WORDS, chunk_bytes: int = CHUNK_BYTES) -> None:
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_bytes = words, chunk_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -94,7 +95,7 @@ class Codec:
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes words. Those of letters only go together, as texts of 100 words, and fall apart after the tokens that end words; if their count differs, each goes alone."""
-        if len(self.words) + len(words) > WORDS:
+        if len(self.words) + len(words) > self.most_words:
             self.words.clear()
         text = [w.decode() for w in words]
         letters = [i for i, t in enumerate(text) if t.isalpha()] if self.by_words else []
@@ -119,10 +120,10 @@ class Codec:
         new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
         tokens = [self.leaves(c) for c in new]
         unknown = list({w for t in tokens for w in t if w not in self.words})
-        if unknown and (len(self.words) + len(unknown) > WORDS or len(unknown) > WORDS // 4):
+        if unknown and (len(self.words) + len(unknown) > self.most_words or len(unknown) > self.most_words // 4):
             self.words.clear()
             unknown = list({w for t in tokens for w in t})
-        if len(unknown) > WORDS // 4:  # a text of very many words: what is kept of them may not hold all
+        if len(unknown) > self.most_words // 4:  # a text of very many words: what is kept of them may not hold all
             own = {c: self.joined([x for i in range(0, len(t), 1000) for x in self._alone(t[i : i + 1000])]) for c, t in zip(new, tokens, strict=True)}
         else:
             if unknown:
@@ -132,7 +133,7 @@ class Codec:
         out = [own[c] if c in own else self.chunks[c] for c in chunks]
         for c, (ids, text) in own.items():
             self.chunk_bytes += len(c) + len(ids) + len(text)
-            if self.chunk_bytes > CHUNK_BYTES:
+            if self.chunk_bytes > self.most_bytes:
                 self.chunks.clear()
                 self.chunk_bytes = 0
                 break
@@ -140,7 +141,7 @@ class Codec:
         return out
 
     def _alone(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        self.learn(list({w for w in words if w not in self.words} if len(self.words) + len(words) <= WORDS else set(words)))
+        self.learn(list({w for w in words if w not in self.words} if len(self.words) + len(words) <= self.most_words else set(words)))
         return [self.words[w] for w in words]
 
     def agrees(self, left: bytes, right: bytes) -> bool:
@@ -155,7 +156,7 @@ class Codec:
             a, b = left[-256:].decode("utf-8", "ignore").split()[-1:], bare[:256].decode("utf-8", "ignore").split()[:1]
             if not a or not b:
                 return True
-            if len(self.joins) > WORDS:
+            if len(self.joins) > self.most_words:
                 self.joins.clear()
             sides = self.whole([a[0].encode(), b[0].encode(), a[0].encode() + gap + b[0].encode()])
             self.joins[key] = self.joined(sides[:2]) == sides[2]
@@ -181,14 +182,15 @@ class Codec:
         return self.joined(parts)
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, words: int = WORDS, chunk_bytes: int = CHUNK_BYTES) -> Codec:
     """One codec for each worker process: what it keeps serves all tasks of the worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    key = (path, words, chunk_bytes)
+    if key not in _codecs:
+        _codecs[key] = Codec(*key)
+    return _codecs[key]
 
 
 def default_path() -> str:
@@ -197,7 +199,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", full: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", full: bool = False, words: int = WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256, and with full ids (array<int>) and decoded.
 
     A null text counts as empty: no ids. Texts of any length are taken whole. The vocabulary's path is a parameter; it
@@ -207,7 +209,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = codec(at)
+        of = codec(at, words, chunk_bytes)
         for batch in batches:
             sizes, ids_sha, text_sha, ids, texts = [], [], [], [], []
             for t in batch.column(1):
