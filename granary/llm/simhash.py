@@ -1,7 +1,8 @@
-"""SimHash near-duplicates by segment popcounts and a grid join under the Manhattan distance."""
+"""SimHash near-duplicates by segment popcounts and a grid join under the Manhattan distance; near copies by the Jaccard similarity of their shingles."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import components, lookup, small_batches, written
+from granary.llm.common import components, forget, lookup, release, small_batches, written
 
 WORDS = 4
 DISTANCE = 4
 SEED = 42
+#: The similarity of near copies where no contract fixes the bits, as a fraction.
+ALIKE = (4, 5)
+#: Documents in which shingles are counted to put the common ones last, and the number of shingles kept of them.
+COUNTED, COMMON = 20_000, 1 << 20
+#: Parts of the space of shingles in which a set's members are counted.
+PARTS = 128
 #: A fingerprint is two halves of 32 bits; a half's first bits are segments of one bit, the others of two. Narrow
 #: segments keep the bound sharp: unlike fingerprints share a cell of a half with a chance of about 2**-30 a pair of cells.
 HALF, SINGLES, WIDTH = 32, 24, 2
@@ -26,18 +33,27 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     A to Z are lower-cased; words are runs of bytes other than space and 9 to 13. Fewer words than a shingle has: the
     whole sequence is the only one. No words: 0.
     """
+    return _print(_hashes(text, words, seed))
+
+
+def _hashes(text: bytes, words: int, seed: int = SEED) -> list[int]:
+    """XXH64 of each shingle in the text's order, repeats included."""
     tokens = text.lower().split()
     n = len(tokens)
     if not n:
-        return 0
+        return []
     joined = b" ".join(tokens)
     if n <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - words] + 1))
-        of = xxhash.xxh64_intdigest
-        hashes = [of(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - words] + 1))
+    of = xxhash.xxh64_intdigest
+    return [of(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def _print(hashes: list[int]) -> int:
+    if not hashes:
+        return 0
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # blocks bound the memory of one very long text
         part = np.array(hashes[i : i + (1 << 16)], np.uint64)
@@ -115,26 +131,183 @@ def fingerprint_components(prints: DataFrame) -> DataFrame:
     return nodes.join(second.select(F.col("node").alias("label"), F.col("label").alias("_top")), "label", "left").select("_fp", F.coalesce("_top", "label").alias("_label"))
 
 
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingles of a text, sorted. No words: none."""
+    return np.unique(np.array(_hashes(text, words), np.uint64))
+
+
+def _bytes(x: pa.Scalar) -> bytes:
+    return x.as_py().encode() if x.is_valid else b""
+
+
+def _name(own: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, sorted, that several of about COUNTED documents have, and the number of those; the most common if they are many.
+
+    Only an order of shingles comes of it, and any order finds the same copies.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.concatenate([np.zeros(0, np.uint64), *[shingles(_bytes(t), words) for t in batch.column(0)]])
+            found, counts = np.unique(found, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], ["_h", "_n"])
+
+    every = max(1, math.ceil(docs.count() / COUNTED))
+    some = small_batches(docs).filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(every)) == 0).select(text_col)
+    counted = written(some.mapInArrow(run, "_h long, _n long").groupBy("_h").agg(F.sum("_n").alias("_n")).filter("_n > 1"))
+    least, kept = 2, 0
+    for r in sorted(counted.groupBy("_n").count().collect(), reverse=True):
+        kept += r["count"]
+        if kept > COMMON:
+            least = r["_n"] + 1
+            break
+    found = counted.filter(F.col("_n") >= least).toArrow()
+    hashes, counts = (found.column(c).to_numpy().astype(np.int64) for c in ("_h", "_n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return hashes.view(np.uint64)[order], counts[order].astype(np.int32)
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(_id, _fp, _text_key, _set, _size, _counts, _prefix): a row's fingerprint, and a hash, the size, the counts by part and the prefix of its set of shingles.
+
+    Sets of a similarity of t have an overlap of at least t times the size of each. So in any one order of all
+    shingles, both sets have one in common among their first n - ceil(t * n) + 1: no copy is missed. The order puts common shingles
+    last, by which few unlike sets meet.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    common, counts = common_shingles(docs, id_col, text_col, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, names, sizes, parts, firsts = [], [], [], [], []
+            for t in batch.column(2):
+                hashes = _hashes(_bytes(t), words)
+                own = np.unique(np.array(hashes, np.uint64))
+                n, often = len(own), np.zeros(len(own), np.int32)
+                if len(common) and n:
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    often = np.where(common[at] == own, counts[at], 0)
+                most = n - -(-n * ALIKE[0] // ALIKE[1]) + 1 if n else 0
+                prints.append(_print(hashes))
+                names.append(_name(own))
+                sizes.append(n)
+                parts.append(np.minimum(np.bincount((own % PARTS).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
+                firsts.append(own[np.lexsort((own, often))][:most].view(np.int64))
+            ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary()), lists], ["_id", "_fp", "_text_key", "_set", "_size", "_counts", "_prefix"])
+
+    rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
+    return rows.mapInArrow(run, f"_id {kind}, _fp long, _text_key long, _set long, _size int, _counts binary, _prefix array<long>")
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is ALIKE or more, counted over all their shingles."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(_bytes(t), words) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["_set", "_own"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both * ALIKE[1] >= (len(x) + len(y) - both) * ALIKE[0])
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in ("_x", "_y"))
+                m, n = (batch.column(c).to_numpy() for c in ("_m", "_n"))
+                least = np.minimum(x, y)
+                most = np.where((least == 255).any(axis=1), np.minimum(m, n), least.sum(axis=1, dtype=np.int64))  # 255 stands for more, too
+                yield batch.select(["a", "b"]).filter(pa.array(most * ALIKE[1] >= (m + n - most) * ALIKE[0]))
+
+    # both sets have at most the smaller count of each part in common: most unlike pairs end here, before sets are moved
+    all_pairs = written(pairs)
+    counts = nodes.select("_set", "_counts", F.col("_size").cast("long").alias("_size"))
+    pairs = written(_meet(all_pairs, counts, {"_counts": "_x", "_size": "_m"}, {"_counts": "_y", "_size": "_n"}).mapInArrow(possible, "a long, b long"))
+    used = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
+    keys = written(nodes.select("_set", "_text_key").join(used, "_set").select("_text_key"))
+    texts = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text")).join(keys, "_text_key", "left_semi").select("_text")
+    own = written(small_batches(texts).mapInArrow(sets, "_set long, _own binary").dropDuplicates(["_set"]))
+    out = written(_meet(pairs, own, {"_own": "_x"}, {"_own": "_y"}).select("a", "b", "_x", "_y").mapInArrow(verified, "a long, b long"))
+    for table in (all_pairs, pairs, own):
+        forget(table)
+    release(docs.sparkSession)
+    return out
+
+
+def _meet(pairs: DataFrame, table: DataFrame, as_a: dict[str, str], as_b: dict[str, str]) -> DataFrame:
+    """pairs (a, b) with columns of table for a and for b, found by _set."""
+    total = max(1, pairs.count())
+    for key, names in (("a", as_a), ("b", as_b)):
+        uses = pairs.groupBy(key).agg(F.count("*").alias("_uses"))
+        right = table.select(F.col("_set").alias(key), *[F.col(c).alias(n) for c, n in names.items()]).join(uses, key)
+        pairs = lookup(pairs, right, [key], "_uses", total).drop("_uses")
+    return pairs
+
+
+def _size_fits(a: str, b: str) -> Column:
+    return F.least(a, b) * ALIKE[1] >= F.greatest(a, b) * ALIKE[0]
+
+
+def set_components(nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(_fp, _label) for the sets, by their hash, that link to another; as fingerprint_components, with shingles as cells and links by _alike."""
+    cells = nodes.select(F.explode("_prefix").alias("_cell"), F.col("_set").alias("_fp"), "_size")
+    least = cells.groupBy("_cell").agg(F.min("_fp").alias("_least"), F.min_by("_size", "_fp").alias("_least_size"), F.max("_fp").alias("_most")).filter("_least < _most").drop("_most")
+    shared = written(cells.join(least, "_cell"))
+    stars = shared.filter((F.col("_fp") != F.col("_least")) & _size_fits("_size", "_least_size")).select(F.col("_fp").alias("a"), F.col("_least").alias("b")).distinct()
+    first = written(components(_alike(stars, nodes, docs, text_col, words)))
+    labelled = written(shared.drop("_least", "_least_size").join(first.select(F.col("node").alias("_fp"), "label"), "_fp", "left").select("_cell", "_fp", "_size", F.coalesce("label", "_fp").alias("_label")))
+    sizes = labelled.groupBy("_cell", "_label").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("_cell").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main"), F.count("*").alias("_labels")).filter("_labels > 1").drop("_labels")
+    mixed = written(labelled.join(main, "_cell"))
+    others = mixed.filter("_label <> _main").select(F.col("_cell").alias("_cell2"), F.col("_fp").alias("_fp2"), F.col("_size").alias("_size2"), F.col("_label").alias("_label2"))
+    pairs = mixed.join(others, (F.col("_cell") == F.col("_cell2")) & (F.col("_label") != F.col("_label2")) & ((F.col("_label") == F.col("_main")) | (F.col("_label") < F.col("_label2"))) & _size_fits("_size", "_size2"))
+    links = _alike(pairs.select(F.col("_fp").alias("a"), F.col("_fp2").alias("b")).distinct(), nodes, docs, text_col, words)
+    every = links.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    return components(every).select(F.col("node").alias("_fp"), F.col("label").alias("_label"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 lower-case hexadecimal digits), component_id.
 
-    component_id is the smallest id reachable over links of at most 4 differing bits, the row's own included. Null and
-    empty texts have fingerprint zero, which links like any other. Repeated ids and rows each get a row; a null id
+    component_id is the smallest id reachable over links, the row's own included. With shingles of four words, links are
+    of at most 4 differing bits; with others, whose fingerprints no contract bounds, they are between sets of shingles
+    with a Jaccard similarity of 0.8 or more. Null and empty texts have fingerprint zero, which links like any other,
+    and are equal sets. Repeated ids and rows each get a row; a null id
     joins in, and is a component's id only if all its ids are null. An empty table gives an empty result. Other columns are not read.
     """
-    rows = written(fingerprints(docs, id_col, text_col, words))
-    prints = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")))
-    linked = fingerprint_components(prints)
+    if words == WORDS:
+        rows = written(fingerprints(docs, id_col, text_col, words))
+        prints = written(rows.groupBy("_fp").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")))
+        linked = fingerprint_components(prints)
+    else:
+        found = written(prefixes(docs, id_col, text_col, words))
+        nodes = written(found.groupBy("_set").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_text_key").alias("_text_key"), F.first("_size").alias("_size"), F.first("_counts").alias("_counts"), F.first("_prefix").alias("_prefix")))
+        linked = set_components(nodes, docs, text_col, words)
+        rows = found.select("_id", F.col("_fp").alias("_print"), F.col("_set").alias("_fp"))
+        prints = nodes.select(F.col("_set").alias("_fp"), "_first", "_n")
     labelled = written(prints.join(linked, "_fp", "left").withColumn("_label", F.coalesce("_label", "_fp")))
     smallest = labelled.groupBy("_label").agg(F.min("_first").alias("_component"), F.count("*").alias("_members"))
     total = max(1, labelled.count())
     of_print = written(lookup(labelled, smallest, ["_label"], "_members", total).select("_fp", "_component", "_n"))
     out = lookup(rows, of_print, ["_fp"], "_n", max(1, rows.count()))
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp" if words == WORDS else "_print"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """docs with one row of each component, that with the smallest id; every column stays. Shingles are of five words here.
+    """docs with one row of each component, that with the smallest id; every column stays. Shingles are of five words
+    here, and near copies have a Jaccard similarity of 0.8 or more, all of which are found.
 
     Of rows that repeat that id, the one with the smallest hash over all columns stays. Rows with a null id all stay.
     """

@@ -1,5 +1,6 @@
 """The pipeline's stages against what their operators say of their own input."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -30,3 +31,35 @@ def test_stages(spark):
     mix, out = seen["bpe"]
     assert Counter(r.doc_id for r in mix.collect()) == Counter(r.doc_id for r in out.collect()) and max(Counter(r.doc_id for r in mix.collect()).values()) <= 3
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "source_mixing", "bpe"]
+
+
+def test_near_copies_are_those_of_all_pairs(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (3, 9, 30, 60, 200):
+        for _ in range(6):
+            base = [f"w{rng.randrange(400)}" for _ in range(n)]
+            texts.append(base)
+            for edits in (0, 1, 1, 2, 3, 5, 8):  # some copies are above 0.8, some below, some linked by others only
+                base = list(rng.choice([base, texts[-1]]))
+                for _ in range(edits):
+                    base[rng.randrange(len(base))] = f"x{rng.randrange(10**6)}"
+                texts.append(base)
+    passage = [f"p{k}" for k in range(40)]
+    texts += [[*passage, *[f"y{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))]] for _ in range(60)]
+    texts = [*(" ".join(t) for t in texts), None, "", " \n", "Same  Words", "same words"]
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    label = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                far += (simhash.fingerprint((texts[i] or "").encode(), 5) ^ simhash.fingerprint((texts[j] or "").encode(), 5)).bit_count() > 4
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert far > 20  # links that 4 bits lose
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(docs, words=5).collect()} == dict(enumerate(label))
+    out = simhash.near_dedup(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(label))
+    assert simhash.near_groups(docs.limit(0), words=5).count() == 0
