@@ -225,7 +225,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     nearest = nearest.withColumn("n", F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k + 1)
     nearest = nearest.groupBy("asks").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("near"))
     answers = written(points.filter("n_asks > 0").select("h1", "h2", F.col("rep").alias("asks"), "n_asks").join(nearest, "asks").drop("asks"))
-    out = lookup(written(rows.filter(asking).select("_vid", "h1", "h2")), answers, ["h1", "h2"], "n_asks", max(1, total))
+    askers = written(rows.filter(asking).select("_vid", "h1", "h2"))
+    out = lookup(askers, answers, ["h1", "h2"], "n_asks", max(1, askers.count()))
     out = out.withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("_vid")), 1, k))
     out = out.select(F.col("_vid").alias("query_id"), F.posexplode("near").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias(id_col), F.col("x.score").alias("score"))

@@ -79,11 +79,12 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], count: str, total:
 
     count: right's column of left's rows with the key, out of total. Keys with over total / HOT rows are fewer than
     HOT, so they are broadcast and their rows stay where they are; only the rest meets its key by a shuffle, where no
-    task can get more than total / HOT rows of a key. left is read twice, so it should be a table.
+    task can get more than total / HOT rows of a key. left is read twice, so it should be a table. A total that is too
+    small makes more keys hot and the broadcast larger, but no row is dropped.
     """
     hot = right[count] * HOT > F.lit(total)
-    spread = left.join(F.broadcast(right.filter(hot).limit(HOT)), on)
-    rest = left.join(F.broadcast(right.filter(hot).limit(HOT).select(*on)), on, "left_anti").join(right.filter(~hot), on)
+    spread = left.join(F.broadcast(right.filter(hot)), on)
+    rest = left.join(F.broadcast(right.filter(hot).select(*on)), on, "left_anti").join(right.filter(~hot), on)
     return spread.unionByName(rest)
 
 

@@ -333,3 +333,16 @@ def test_a_wrong_join_is_repaired():
     text = (" ".join(f"word{i}" for i in range(3000))).encode()
     codec.agrees = lambda left, right, n=[0]: n.__setitem__(0, n[0] + 1) or n[0] % 7 > 0  # some joins are held to be wrong
     assert codec(text) == codec.whole([text])[0] and codec.repairs > 0
+
+
+def test_more_keys_than_the_broadcast_was_cut_to(spark):
+    left = spark.range(3600).select((F.col("id") % 1200).alias("k"), "id")
+    right = spark.range(1200).select(F.col("id").alias("k"), F.lit(3).alias("n"))
+    assert sorted(r.id for r in common.lookup(left, right, ["k"], "n", 1200).collect()) == list(range(3600))
+
+
+def test_neighbours_of_many_repeated_vectors(spark):
+    x = np.random.default_rng(6).normal(size=(1100, 4)).astype(np.float32)
+    table = spark.createDataFrame([(i, x[i // 40].tolist()) for i in range(44000)], "vec_id long, embedding array<float>")
+    got = {r.query_id: r["count"] for r in ann.search(table).groupBy("query_id").count().collect()}
+    assert got == dict.fromkeys(range(0, 44000, 20), 20)
