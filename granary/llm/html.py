@@ -15,7 +15,11 @@ from granary.llm.common import small_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown.
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist select".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist annotation annotation-xml".split())
+#: Elements of an svg that hold what is not drawn, and those that hold text.
+UNDRAWN, DRAWN = frozenset("defs symbol desc metadata clippath mask pattern marker".split()), frozenset("text foreignobject".split())
+#: The screen for which media queries are judged, in CSS pixels.
+SCREEN = {"width": 1280.0, "height": 800.0}
 #: Elements that begin and end a line; those of SPACED have an empty line around them.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr menu fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside main nav header footer address form li dt dd tr td th thead tbody tfoot caption center details summary figcaption legend option optgroup".split())
@@ -29,8 +33,8 @@ CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in I
 SCOPE = frozenset("table td th".split())
 PARTS = frozenset("tr td th thead tbody tfoot caption".split())
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_SHOWN = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?:;|$)", re.I)
+_RANGE = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([0-9.]+)(px|em|rem)\s*\)")
 _SIMPLE = re.compile(r"^([a-z][a-z0-9]*)?((?:[.#][\w-]+)*)$", re.I)
 GAP = "  "
 
@@ -75,7 +79,7 @@ class Tree(HTMLParser):
             return  # parts of a table mean nothing outside one
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        if tag in BLOCK:
+        if tag in BLOCK and tag not in ("option", "optgroup"):
             self._close(frozenset(["p"]), SCOPE | frozenset(["button"]))
         node = Node(tag, found)
         self.open[-1].children.append(node)
@@ -83,7 +87,9 @@ class Tree(HTMLParser):
             self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash means nothing but in a void element
+        self.handle_starttag(tag, attrs)  # a slash means nothing but in a void element and within svg and math
+        if tag not in VOID and self.open[-1].tag == tag and any(x.tag in ("svg", "math") for x in self.open):
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in ("html", "body"):
@@ -108,28 +114,104 @@ class Tree(HTMLParser):
             self.open[-1].children.append(data)
 
 
-def hidden_selectors(styles: list[str]) -> list[tuple[str, frozenset[str], str]]:
-    """(tag, classes, id) of the simple selectors that a page's own style sheets hide; others are not judged."""
+def on_screen(query: str) -> bool:
+    """Whether a media query holds on a screen of the size SCREEN. Features other than widths, heights and landscape do not hold."""
+    for one in query.lower().split(","):
+        m = re.match(r"\s*(not\s+|only\s+)?([a-z]+)?", one)
+        negated, kind = (m[1] or "").strip() == "not", m[2]
+        holds = kind in (None, "all", "screen")
+        for feature in re.findall(r"\([^()]*\)", one):
+            if r := _RANGE.fullmatch(feature):
+                size = float(r[3]) * (1 if r[4] == "px" else 16)
+                holds &= SCREEN[r[2]] >= size if r[1] == "min" else SCREEN[r[2]] <= size
+            else:
+                holds &= re.sub(r"\s", "", feature) == "(orientation:landscape)"
+        if holds != negated:
+            return True
+    return False
+
+
+def style_rules(styles: list[str]) -> list[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on a screen, in their order; those of nested at-rules included."""
+    css = re.sub(r"/\*.*?\*/|<!--|-->", "", "\n".join(styles), flags=re.S)
+    found, open_, head = [], [], ""
+    for part in re.split(r"([{};])", css):
+        if part == "{":
+            name = head.strip()
+            at = name.lower()
+            holds = on_screen(name[6:]) if at.startswith("@media") else at.startswith(("@supports", "@layer")) if at.startswith("@") else True
+            open_.append((name, holds, []))
+            head = ""
+        elif part == "}":
+            if open_:
+                name, holds, body = open_.pop()
+                body.append(head)
+                if not name.startswith("@") and holds and all(h and n.startswith("@") for n, h, _ in open_):
+                    found.append((name, ";".join(body)))
+            head = ""
+        elif part == ";":
+            if open_:
+                open_[-1][2].append(head)
+            head = ""
+        else:
+            head += part
+    return found
+
+
+def shown_rules(styles: list[str]) -> list[tuple]:
+    """(property, value, rank, tag, classes, id) of what the simple selectors of a page's own style sheets say of display and visibility; others are not judged."""
     found = []
-    for selectors, body in _RULE.findall(re.sub(r"/\*.*?\*/", "", " ".join(styles), flags=re.S)):
-        if _GONE.search(body):
+    for place, (selectors, body) in enumerate(style_rules(styles)):
+        for name, value, important in _SHOWN.findall(body):
             for one in selectors.split(","):
                 if (m := _SIMPLE.match(one.strip())) and one.strip():
                     parts = re.findall(r"([.#])([\w-]+)", m[2])
-                    found.append(((m[1] or "").lower(), frozenset(v for k, v in parts if k == "."), next((v for k, v in parts if k == "#"), "")))
-    return found
+                    classes, ids = [v for k, v in parts if k == "."], [v for k, v in parts if k == "#"]
+                    rank = (bool(important), False, len(ids), len(classes), bool(m[1]), place)
+                    found.append((name.lower(), value.lower(), rank, (m[1] or "").lower(), frozenset(classes), ids[0] if ids else ""))
+    return found if any(x[1] in ("none", "hidden", "collapse") for x in found) else []
 
 
-def visible(node: Node, gone: list[tuple[str, frozenset[str], str]]) -> bool:
+def visible(node: Node, rules: list[tuple]) -> bool:
+    """Of the declarations for a node the strongest holds: important ones, then its own style, then by selector and order."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or (node.tag == "input") or _GONE.search(a.get("style", "")):
+    if node.tag in HIDDEN or "hidden" in a or node.tag == "input":
         return False
-    if gone:
+    best: dict[str, tuple] = {}
+    for k, (name, value, important) in enumerate(_SHOWN.findall(a.get("style", ""))):
+        best[name.lower()] = max(best.get(name.lower(), ((),)), ((bool(important), True, 0, 0, False, k), value.lower()))
+    if rules:
         classes = frozenset(a.get("class", "").split())
-        for tag, needed, ident in gone:
+        for name, value, rank, tag, needed, ident in rules:
             if (not tag or tag == node.tag) and needed <= classes and (not ident or ident == a.get("id")):
-                return False
-    return True
+                best[name] = max(best.get(name, ((),)), (rank, value))
+    return not any(x[-1] in ("none", "hidden", "collapse") for x in best.values())
+
+
+def _within(node: Node, tags: frozenset[str], rules: list[tuple]) -> list[Node]:
+    """The visible nodes of some tags under a node, outermost only."""
+    found, stack = [], [c for c in reversed(node.children)]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.tag in UNDRAWN or not visible(x, rules):
+            continue
+        if x.tag in tags:
+            found.append(x)
+        else:
+            stack.extend(reversed(x.children))
+    return found
+
+
+def drawn(node: Node, rules: list[tuple]) -> list:
+    """What is shown of an svg: its texts; of a list of options: the chosen one, or all where several lines are shown."""
+    if node.tag == "svg":
+        return [x for t in _within(node, DRAWN, rules) for x in (t, " ")]
+    options = _within(node, frozenset(["option"]), rules)
+    size = node.attrs.get("size", "")
+    if "multiple" in node.attrs or (size.isdecimal() and int(size) > 1):
+        return options
+    chosen = [x for x in options if "selected" in x.attrs][-1:] or [x for x in options if "disabled" not in x.attrs][:1]
+    return [c for x in chosen for c in ([x.attrs["label"]] if x.attrs.get("label") else x.children)]
 
 
 class Lines:
@@ -200,8 +282,9 @@ def render(html: str | None) -> str:
     """The visible text of a page.
 
     Null and empty pages give an empty text. Hidden are: elements that show no text of their own (scripts, styles,
-    titles, form lists), the attribute hidden, and display: none or visibility: hidden in a style attribute or in a
-    simple selector (tag, class, id) of the page's own style sheets. Blocks end lines; paragraphs, headings, lists,
+    titles), the attribute hidden, and what display: none or visibility: hidden hides by a style attribute or by simple
+    selectors (tag, class, id) of the page's own style sheets, as far as they hold on a screen. Formulas, the texts of
+    svg and the chosen option of a list are shown. Blocks end lines; paragraphs, headings, lists,
     tables and the like have an empty line around them; items of lists are marked and indented; cells of a table are
     padded to columns; pre keeps its white space. The walk keeps its own stack, so no depth of nesting fails.
     """
@@ -210,7 +293,7 @@ def render(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    gone = hidden_selectors(tree.styles)
+    rules = shown_rules(tree.styles)
     flows, tables, lists, pre = [Lines()], [], [], 0
     stack: list[tuple[object, bool]] = [(tree.root, True)]
     while stack:
@@ -227,7 +310,7 @@ def render(html: str | None) -> str:
             continue
         tag = node.tag
         if enter:
-            if not visible(node, gone):
+            if not visible(node, rules):
                 continue
             flow = flows[-1]
             if tag == "br":
@@ -254,7 +337,7 @@ def render(html: str | None) -> str:
             elif tag == "pre":
                 pre += 1
             stack.append((node, False))
-            stack.extend((c, True) for c in reversed(node.children))
+            stack.extend((c, True) for c in reversed(drawn(node, rules) if tag in ("svg", "select") else node.children))
             continue
         flow = flows[-1]
         if tag in BLOCK:

@@ -346,3 +346,9 @@ def test_neighbours_of_many_repeated_vectors(spark):
     table = spark.createDataFrame([(i, x[i // 40].tolist()) for i in range(44000)], "vec_id long, embedding array<float>")
     got = {r.query_id: r["count"] for r in ann.search(table).groupBy("query_id").count().collect()}
     assert got == dict.fromkeys(range(0, 44000, 20), 20)
+
+
+def test_html_shows_what_a_screen_shows():
+    assert html.render("<style>@media print{nav{display:none}} @media (max-width:600px){.s{display:none}} @media screen and (min-width:100px){.g{display:none}}</style><nav>menu</nav><div class=s>side</div><div class=g>gone</div>") == "menu\nside"
+    assert html.render("<style>.x{display:none} .x{display:block} .y{display:block} .y{display:none} .z{display:none}</style><p class=x>a<p class=y>b<p class=z style='display:block'>c") == "a\n\nc"
+    assert html.render("<p>so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> and <svg><path d=''/><defs/><text>label</text></svg> pick <select><option>one<option selected>two</select> end") == "so a=2 and label pick two end"
