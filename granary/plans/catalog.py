@@ -227,10 +227,10 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a benchmark text. Both sides meet by the text's first words, as a join by `contains` alone would compare all pairs."""
+    """Documents with a benchmark text. The benchmark is broadcast whole and each document is compared with all of its texts."""
     b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
     d = _t(spark, sf, "documents").select("doc_id", "text")
-    # the benchmark is a fixed, small set; where it is not, its rows are taken in blocks
+    # only for a small, fixed benchmark: nothing bounds the broadcast
     return d.join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
 
 
