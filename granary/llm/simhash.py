@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import components, forget, lookup, release, small_batches, written
+from granary.llm.common import HOT, components, forget, lookup, release, small_batches, written
 
 WORDS = 4
 DISTANCE = 4
@@ -22,9 +22,13 @@ ALIKE = (4, 5)
 COUNTED, COMMON = 20_000, 1 << 20
 #: Parts of the space of shingles in which a set's members are counted.
 PARTS = 128
-#: A fingerprint is two halves of 32 bits; a half's first bits are segments of one bit, the others of two. Narrow
-#: segments keep the bound sharp: unlike fingerprints share a cell of a half with a chance of about 2**-30 a pair of cells.
-HALF, SINGLES, WIDTH = 32, 24, 2
+#: A fingerprint is two halves of 32 bits, a half is segments of equal width. The grid starts with the widest segments
+#: that leave few fingerprints to a cell; members of cells with over CROWDED of them go on to the next, narrower width.
+HALF, WIDTHS, CROWDED = 32, (4, 2, 1), 64
+#: Bits of information in the counts of a half, for the widths: what random fingerprints spread over.
+SPREAD = {4: 16, 2: 24, 1: 32}
+#: Fingerprints of a crowded cell of the narrowest width that are compared in a task; of more, each two parts meet.
+CHUNK = 4096
 
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
@@ -72,63 +76,158 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
     return small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, _fp long")
 
 
-def popcounts(half: Column) -> Column:
+def popcounts(half: Column, width: int) -> Column:
     """The bit counts of the segments of a half; a segment's count stays in the segment's own bits."""
-    ones, pairs = (1 << SINGLES) - 1, 0x55555555 & ~((1 << SINGLES) - 1)
-    both = half.bitwiseAND(F.lit(pairs).cast("long")) + F.shiftright(half, 1).bitwiseAND(F.lit(pairs).cast("long"))
-    return both + half.bitwiseAND(F.lit(ones).cast("long"))
+    counts = half
+    for step, mask in ((1, 0x55555555), (2, 0x33333333)):
+        if step < width:
+            part = F.lit(mask).cast("long")
+            counts = counts.bitwiseAND(part) + F.shiftright(counts, step).bitwiseAND(part)
+    return counts
 
 
-def _cells(counts: Column, which: int) -> list[Column]:
-    """The grid cell of a vector of counts and those one step beside it, within the counts' bounds; null where there is none."""
-    found = [counts, *[counts.bitwiseXOR(F.lit(1 << i).cast("long")) for i in range(SINGLES)]]
-    for i in range(SINGLES, HALF, WIDTH):
-        at = F.shiftright(counts, i).bitwiseAND(F.lit(3))
-        found += [F.when(at < WIDTH, counts + F.lit(1 << i)), F.when(at > 0, counts - F.lit(1 << i))]
-    return [c + F.lit(which << HALF) for c in found]
+def grid(halves: DataFrame, width: int) -> DataFrame:
+    """(_cell, _fp, _half): the cells of fingerprints (_fp, _half) by the counts of one half's segments.
 
+    The Hamming distance is at least the Manhattan distance of the counts. Two fingerprints within 4 bits are within 2
+    in one half, so there their counts are within 2, and a vector of counts lies one step or less from both: if each
+    takes its own cell and those a step beside it, within the counts' bounds, they share one. No pair is missed.
+    """
+    low, high = F.col("_fp").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned("_fp", HALF)
+    rows = halves.select("_fp", "_half", popcounts(F.when(F.col("_half") == 0, low).otherwise(high), width).alias("_counts"))
+    counts, found = F.col("_counts"), [F.col("_counts")]
+    for i in range(0, HALF, width):
+        at = F.shiftright(counts, i).bitwiseAND(F.lit((1 << width) - 1))
+        found += [F.when(at < width, counts + F.lit(1 << i)), F.when(at > 0, counts - F.lit(1 << i))]
+    return rows.select(F.explode(F.array_compact(F.array(*found))).alias("_c"), "_fp", "_half").select((F.col("_c") + F.shiftleft(F.col("_half").cast("long"), HALF)).alias("_cell"), "_fp", "_half")
 
-def grid(prints: DataFrame) -> DataFrame:
-    """(_cell, _fp): the cells of each distinct fingerprint.
 
-    Hamming distance is at least the Manhattan distance of the popcounts. Two fingerprints within 4 bits are within 2
-    in one half, so in that half their popcounts are within 2, and a vector of counts lies one step or less from both:
-    they share a cell. No pair is missed.
+def _forest(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join what is linked among distinct fingerprints: one for each but the first of a component.
+
+    Whatever is reached goes out of the search, so a dense group costs little more than its size.
     """
-    low, high = F.col("_fp").bitwiseAND(F.lit((1 << HALF) - 1)), F.shiftrightunsigned("_fp", HALF)
-    halves = prints.select("_fp", popcounts(low).alias("_low"), popcounts(high).alias("_high"))
-    return halves.select(F.explode(F.array_compact(F.array(*_cells(F.col("_low"), 0), *_cells(F.col("_high"), 1)))).alias("_cell"), "_fp")
+    a, b, left = [own[:0]], [own[:0]], own
+    while len(left):
+        root, reached, left = left[0], left[:1], left[1:]
+        while len(reached) and len(left):
+            some, reached = reached[:64], reached[64:]
+            near = (np.bitwise_count(some[:, None] ^ left) <= DISTANCE).any(axis=0)
+            if near.any():
+                new, left = left[near], left[~near]
+                a.append(new)
+                b.append(np.full(len(new), root))
+                reached = np.concatenate([reached, new])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _small_cells(cell: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _forest, for many small cells at once; rows are in the order of cells."""
+    n, label = len(own), np.arange(len(own))
+    at, step, left, right = np.arange(n), 0, [label[:0]], [label[:0]]
+    while len(at):
+        step += 1
+        at = at[at + step < n]
+        at = at[cell[at + step] == cell[at]]
+        near = at[np.bitwise_count(own[at] ^ own[at + step]) <= DISTANCE]
+        left.append(near)
+        right.append(near + step)
+    left, right = np.concatenate(left), np.concatenate(right)
+    while len(left):
+        low = np.minimum(label[left], label[right])
+        before = label.copy()
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        if (before == label).all():
+            break
+    linked = np.flatnonzero(label != np.arange(n))
+    return own[linked], own[label[linked]]
+
+
+def _cell_links(crowded: int, last: bool):
+    """(a, b, half) of whole groups of rows (_fp, _half, _n, _g: group), which come in the order of groups: links, and with b null, but for the last width, what belongs to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            fp, half, n, group = (batch.column(c).to_numpy() for c in range(4))
+            rows = [fp.view(np.uint64), half, n, group]
+            if rest is not None:
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            if not len(rows[0]):
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], rows[3][1:] != rows[3][:-1])))
+            last = starts[-1]
+            whole = len(rows[0]) if len(rows[0]) - last == rows[2][last] else last
+            rest = [x[whole:] for x in rows]
+            fp, half, n, group = (x[:whole] for x in rows)
+            few = n <= crowded
+            links = [_small_cells(group[few], fp[few])]
+            if last:
+                links += [_forest(fp[s : s + n[s]]) for s in starts[starts < whole] if n[s] > crowded]
+            a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.zeros(len(a), np.int32))], ["a", "b", "half"])
+            if not last and not few.all():
+                more, which = np.unique(np.stack([fp[~few], half[~few].astype(np.uint64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(more.view(np.int64)), pa.nulls(len(more), pa.int64()), pa.array(which.astype(np.int32))], ["a", "b", "half"])
+
+    return run
+
+
+def _linked(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
+    """Rows (_cell, _fp, _half, more keys) -> the links within each group of keys, by one shuffle; a group of one row ends there."""
+    same = Window.partitionBy(*keys)
+    sized = rows.withColumn("_n", F.count("*").over(same)).filter("_n > 1").select("_fp", "_half", F.col("_n").cast("int").alias("_n"), F.xxhash64(*keys).alias("_g"))
+    return sized.mapInArrow(_cell_links(CROWDED, last), "a long, b long, half int")
+
+
+def _coarse(halves: DataFrame, width: int) -> DataFrame:
+    """Links of the cells of one width, and what its crowded cells hold.
+
+    Cells that a sample shows to hold a large share of all rows are known to be crowded: their members go on from where
+    they are, without a shuffle into one task. The sample decides about the way only.
+    """
+    cells = grid(halves, width)
+    some = grid(halves.filter(F.pmod(F.xxhash64("_fp"), F.lit(16)) == 0), width).groupBy("_cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWDED)
+    hot = written(some.orderBy(F.desc("_n"), "_cell").limit(HOT).select("_cell"))
+    links = _linked(cells.join(F.broadcast(hot), "_cell", "left_anti"), ["_cell"], False)
+    return links.unionByName(cells.join(F.broadcast(hot), "_cell", "left_semi").select(F.col("_fp").alias("a"), F.lit(None).cast("long").alias("b"), F.col("_half").alias("half")))
+
 
+def _fine(halves: DataFrame, width: int) -> DataFrame:
+    """Links of all cells of the narrowest width; large ones in parts, each two of which meet in a group of their own."""
+    cells = written(grid(halves, width))
+    sizes = written(cells.groupBy("_cell").agg(F.count("*").alias("_n")).filter("_n > 1"))
+    parts = F.ceil(F.col("_n") / CHUNK).cast("int")
+    rows = lookup(cells, sizes, ["_cell"], "_n", max(1, cells.count())).withColumn("_parts", parts).withColumn("_p", F.pmod(F.xxhash64("_fp"), F.col("_parts")).cast("int"))
+    rows = rows.select("_cell", "_fp", "_half", "_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_q"))
+    return _linked(rows.select("_cell", "_fp", "_half", F.least("_p", "_q").alias("_p"), F.greatest("_p", "_q").alias("_q")), ["_cell", "_p", "_q"], True)
 
-def _near(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
+
+def widths_for(n: int) -> tuple[int, ...]:
+    """The widths to begin with: the first leaves a cell a quarter of CROWDED on average; the others refine its crowded cells."""
+    found = [w for w in WIDTHS if n * (1 + min(HALF, 2 * HALF // w)) * 4 <= CROWDED << SPREAD[w]]
+    return WIDTHS[WIDTHS.index(found[0]) :] if found else WIDTHS[-1:]
 
 
 def fingerprint_components(prints: DataFrame) -> DataFrame:
     """(_fp, _label) for the distinct fingerprints that link to another; the label is the same within a component.
 
-    First every fingerprint of a cell is compared with the cell's smallest only, which joins large groups of near
-    copies by as many links as they have members. Then, in cells that still hold several components, fingerprints of
-    different components are compared, so no group's pairs are all emitted. Both steps verify the distance itself.
+    In each cell of the grid, fingerprints within 4 bits are joined by as few links as it takes, verified exactly; the
+    members of crowded cells meet again in the cells of narrower segments, where fewer unlike ones do. So no group's
+    pairs are all emitted, and no cell's size is cut.
     """
-    # cells are cheaper made twice than stored
-    least = grid(prints).groupBy("_cell").agg(F.min("_fp").alias("_least"), F.max("_fp").alias("_most")).filter("_least < _most").drop("_most")
-    shared = written(grid(prints).join(least, "_cell"))
-    first = components(shared.filter((F.col("_fp") != F.col("_least")) & _near("_fp", "_least")).select(F.col("_fp").alias("a"), F.col("_least").alias("b")))
-    first = written(first)
-    labelled = shared.drop("_least").join(first.select(F.col("node").alias("_fp"), "label"), "_fp", "left").select("_cell", "_fp", F.coalesce("label", "_fp").alias("_label"))
-    # within a cell, the rows of its most frequent component against the others, and the others among themselves
-    labelled = written(labelled)
-    sizes = labelled.groupBy("_cell", "_label").agg(F.count("*").alias("_n"))
-    main = sizes.groupBy("_cell").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main"), F.count("*").alias("_labels")).filter("_labels > 1").drop("_labels")
-    mixed = written(labelled.join(main, "_cell"))
-    others = mixed.filter("_label <> _main").select("_cell", F.col("_fp").alias("_fp2"), F.col("_label").alias("_label2"))
-    pairs = mixed.join(others, (mixed["_cell"] == others["_cell"]) & (F.col("_label") != F.col("_label2")) & ((F.col("_label") == F.col("_main")) | (F.col("_label") < F.col("_label2"))) & _near("_fp", "_fp2"))
-    second = components(pairs.select(F.col("_label").alias("a"), F.col("_label2").alias("b")).distinct())
-    nodes = first.select(F.col("node").alias("_fp"), "label").unionByName(second.select(F.col("node").alias("_fp"), F.col("node").alias("label"))).distinct()
-    # a fingerprint that only the second step linked is its own label in the first
-    nodes = nodes.groupBy("_fp").agg(F.min("label").alias("label"))
-    return nodes.join(second.select(F.col("node").alias("label"), F.col("label").alias("_top")), "label", "left").select("_fp", F.coalesce("_top", "label").alias("_label"))
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    halves = prints.select("_fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("_half")).repartition(tasks, "_fp", "_half")
+    links, widths = None, widths_for(prints.count())
+    for width in widths:
+        found = written((_fine if width == widths[-1] else _coarse)(halves, width))
+        own = found.filter("b is not null").select("a", "b")
+        links = own if links is None else links.unionByName(own)
+        halves = found.filter("b is null").select(F.col("a").alias("_fp"), F.col("half").alias("_half")).distinct()
+    return components(links).select(F.col("node").alias("_fp"), F.col("label").alias("_label"))
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:

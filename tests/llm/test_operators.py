@@ -215,7 +215,13 @@ def test_fingerprints(spark, odd_texts):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
-def test_links_of_fingerprints(spark):
+@pytest.mark.parametrize(("crowded", "chunk"), [(64, 4096), (3, 50)])
+def test_links_of_fingerprints(spark, monkeypatch, crowded, chunk):
+    """Small bounds send the same fingerprints through every width and through cells in parts."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    if crowded < 64:
+        monkeypatch.setattr(simhash, "widths_for", lambda n: simhash.WIDTHS)
     rng = random.Random(1)
     prints = {0, 1, 3, 7, 15, 31}
     for _ in range(60):
@@ -227,6 +233,12 @@ def test_links_of_fingerprints(spark):
             prints.add(y)
             x = y if rng.random() < 0.5 else x
     prints |= {0xFF00FF00FF00FF00 ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)}  # one group of many unlike copies
+    hub = rng.getrandbits(64)
+    for _ in range(600):  # a star of near copies, some further away than a link
+        x = hub
+        for b in rng.sample(range(64), rng.randint(1, 9)):
+            x ^= 1 << b
+        prints.add(x)
     u = np.array(sorted(prints), np.uint64)
     group = list(range(len(u)))
 
@@ -248,6 +260,10 @@ def test_links_of_fingerprints(spark):
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
 
 
+def test_widths_of_segments():
+    assert simhash.widths_for(1000) == (4, 2, 1) and simhash.widths_for(10**6) == (2, 1) and simhash.widths_for(10**11) == (1,)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(700, 8)).astype(np.float32)
