@@ -12,22 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.llm.common import small_batches
+from granary.llm.common import forget, small_batches, written
 
-#: Lengths of the n-grams, in bytes of the lower-cased text between two spaces, and bits of the feature space.
+#: Lengths of the n-grams, in characters of the lower-cased text between two spaces, and bits of the feature space.
 NGRAMS = (3, 4, 5)
 BITS = 18
-#: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids.
-TRAIN_ROWS = 5000
+#: Labelled rows that the model is fitted on at most: those with the smallest hashes of their ids, one text for an id,
+#: as far as their n-grams are no more than TRAIN_NGRAMS (4 bytes each) together.
+TRAIN_ROWS, TRAIN_NGRAMS = 5000, 24_000_000
 FOLDS = 5
 EPOCHS = 12
 BATCH = 256
 RATE = 0.3
-#: Bytes of a text that are hashed at once; one very long text takes several blocks, which overlap by an n-gram.
+#: Characters of a text that are hashed at once; one very long text takes several blocks, which overlap by an n-gram.
 BLOCK = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
-_BLANK = bytes(32 if 9 <= i <= 13 else i for i in range(256))
+#: White space of the word rules counts as a space.
+_BLANK = dict.fromkeys(range(9, 14), " ")
 
 
 class Features:
@@ -39,9 +41,9 @@ class Features:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)
-        raw = f" {text} ".lower().encode("utf-8", "replace").translate(_BLANK)
-        for at in range(0, len(raw), BLOCK):
-            data = np.frombuffer(raw[at : at + BLOCK + NGRAMS[-1] - 1], np.uint8).astype(np.uint64) + np.uint64(1)
+        chars = np.frombuffer(f" {text} ".lower().translate(_BLANK).encode("utf-32-le", "replace"), "<u4")
+        for at in range(0, len(chars), BLOCK):
+            data = chars[at : at + BLOCK + NGRAMS[-1] - 1].astype(np.uint64) + np.uint64(1)
             h = data * _K
             for n in range(2, NGRAMS[-1] + 1):
                 if len(data) < n:
@@ -70,28 +72,30 @@ class Model:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def fit(features: list[np.ndarray], labels: np.ndarray) -> Model:
+def fit(found: np.ndarray, ends: np.ndarray, labels: np.ndarray) -> Model:
     """Log-count ratios of the n-grams' document counts, then logistic regression on the ratios, scaled to length 1, by Adagrad over small batches.
 
-    With labels of one class only, or none, every text gets the smoothed share of label 1.
+    found: the n-grams of all texts one after the other, up to ends. With labels of one class only, or none, every text
+    gets the smoothed share of label 1.
     """
     size, n, ones = 1 << BITS, len(labels), int(labels.sum())
+    starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
     zero = Model(np.zeros(size, np.float32), np.zeros(size, np.float32), math.log((ones + 1) / (n - ones + 1)))
     if not 0 < ones < n:
         return zero
     counts = np.ones((2, size))
-    for found, y in zip(features, labels, strict=True):
-        counts[int(y), found] += 1
+    for i in range(n):
+        counts[int(labels[i]), found[starts[i] : ends[i]]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    norms = np.array([math.sqrt(float((ratio[f] ** 2).sum())) or 1.0 for f in features])
+    norms = np.array([math.sqrt(float((ratio[found[a:b]] ** 2).sum())) or 1.0 for a, b in zip(starts, ends, strict=True)])
     w, b, w2, b2 = np.zeros(size), 0.0, np.full(size, 1e-12), 1e-12
     order = np.random.default_rng(1)
     for _ in range(EPOCHS):
         shuffled = order.permutation(n)
         for at in range(0, n, BATCH):
             some = shuffled[at : at + BATCH]
-            index = np.concatenate([features[i] for i in some])
-            row = np.repeat(np.arange(len(some)), [len(features[i]) for i in some])
+            index = np.concatenate([found[starts[i] : ends[i]] for i in some])
+            row = np.repeat(np.arange(len(some)), ends[some] - starts[some])
             value = ratio[index] / norms[some][row]
             z = b + np.bincount(row, weights=value * w[index], minlength=len(some))
             e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[some]) / len(some)
@@ -104,38 +108,62 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> Model:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(order, label, n-grams as the bytes of 32-bit numbers)."""
     of = Features()
     for batch in batches:
-        found = [of(t.as_py()).astype(np.int32) for t in batch.column(1)]
-        offsets = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int32)
-        data = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), data)], ["label", "features"])
+        found = [of(t.as_py()).astype("<i4").tobytes() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["place", "label", "features"])
+
+
+def _fitted(bound: int):
+    """The model of the sample, whose rows come in order in one task, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, labels, total = [], [], 0
+        for batch in batches:
+            for label, ngrams in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ngrams = np.frombuffer(ngrams.as_buffer(), "<i4")
+                if total + len(ngrams) <= bound:
+                    total += len(ngrams)
+                    found.append(ngrams)
+                    labels.append(float(label))
+        ends = np.cumsum([len(x) for x in found]).astype(np.int64)
+        model = fit(np.concatenate([np.zeros(0, "<i4"), *found]), ends, np.array(labels, np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.square.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weight", "square", "bias"])
+
+    return run
 
 
 def held_out(docs: DataFrame, id_col: str = "doc_id"):
     return F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, ngrams: int = TRAIN_NGRAMS) -> Model:
     """Fits the model on labelled rows that are not held out, on at most `rows` of them, chosen by a hash of the id.
 
-    Rows without a label take no part; of several labels of an id the largest holds. What comes to the driver is the
-    n-grams of the sample, whose size has that bound.
+    Rows without a label take no part; of several labels of an id the largest holds, of several texts of an id the
+    first by their bytes. A text with whom the sample would have more than `ngrams` n-grams is left out of it. The
+    n-grams are made in the tasks that read the texts, and the model, of that bounded sample, in one task of an
+    executor; only the model's 2 MB come to the driver.
     """
-    known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
-    known = known.filter(F.crc32(F.coalesce(F.col("_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0)
-    sample = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    texts = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_label", "_text")
-    got = texts.mapInArrow(_feature_batches, "label int, features array<int>").toArrow().combine_chunks()
-    lists = got.column("features").combine_chunks() if got.num_rows else None
-    features = [lists[i].values.to_numpy() for i in range(got.num_rows)]
-    y = got.column("label").to_numpy().astype(np.float64) if got.num_rows else np.zeros(0)
-    order = sorted(range(len(features)), key=lambda i: (len(features[i]), features[i].tobytes(), y[i]))  # the same model whatever order the rows came in
-    return fit([features[i] for i in order], y[order] if len(order) else y)
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
+    known = known.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % FOLDS != 0)
+    order = F.struct(F.xxhash64("_id").alias("_h"), F.col("_id"))
+    sample = written(known.orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", order.alias("_place"), "_label"))
+    texts = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    texts = texts.groupBy("_place").agg(F.min("_label").alias("_label"), F.min("_text").alias("_text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    features = written(texts.mapInArrow(_feature_batches, f"place struct<_h:bigint,_id:{kind}>, label int, features binary"))
+    got = features.repartition(1).sortWithinPartitions("place").mapInArrow(_fitted(ngrams), "weight binary, square binary, bias double").collect()
+    forget(sample)
+    forget(features)
+    if not got:
+        return fit(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0))
+    return Model(np.frombuffer(got[0].weight, np.float32), np.frombuffer(got[0].square, np.float32), got[0].bias)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a column of the score of each whole text; a null text counts as empty."""
+    """docs with a column of the score of each whole text; a null text counts as empty. The new column's name must not be one of docs'."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 1 MB each
     names = [*docs.columns, score_col]
     at = docs.columns.index(text_col)
@@ -151,7 +179,13 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted. An empty table gives an empty result."""
+    """One row per row of docs: id, held_out, score, predicted.
+
+    Null and empty texts have no n-grams: they get the score of the bias alone. Texts of any length are scored whole,
+    in blocks. Rows that repeat an id, or a whole row, each get their own row and score; a row with a null id is scored
+    too, never trained on, and held out, as the empty text that stands for its id has a remainder of 0. Other columns
+    are not read, so their names do not matter. Without labels every score is 0.5. An empty table gives an empty result.
+    """
     model = train(docs, labels, id_col, text_col, label_col)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = scored(texts, model, "_text", "_score").drop("_text")
@@ -159,7 +193,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """docs without the rows that the model predicts to be toxic; every column stays."""
+    """docs without the rows that the model predicts to be toxic; every column stays, whatever its name. Rows are judged one by one: null, empty, very long and repeated ones as in toxicity."""
     name = "_toxicity"
     while name in docs.columns:
         name += "_"

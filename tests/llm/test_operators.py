@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -315,6 +316,44 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(3), labels.limit(0)).count() == 3 and toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_scores_are_those_of_a_plain_model(spark):
+    """Trainer and scorer against sums over dicts of n-grams, and odd rows."""
+    of = toxicity.Features()
+
+    def grams(t):
+        t = "".join(" " if "\t" <= c <= "\r" else c for c in f" {t} ".lower())
+        return {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+
+    texts = ["Äpfel sind gut", "du IDIOT", "idiot\tidiot", "gut gut", "😀 ok", "so so", "ein idiot 😀", "nichts"]
+    slot = {}
+    for t in texts:
+        for g in grams(t):  # the feature of a single n-gram, from a text of it alone
+            k = np.frombuffer(g.encode("utf-32-le"), "<u4").astype(object) + 1
+            h = int(k[0]) * int(toxicity._K) % 2**64
+            for c in k[1:]:
+                h = (h + int(c)) * int(toxicity._K) % 2**64
+            slot[g] = ((h ^ (h >> 29)) * int(toxicity._M) % 2**64) >> (64 - toxicity.BITS)
+        assert set(of(t).tolist()) == {slot[g] for g in grams(t)}
+    found = [of(t) for t in texts]
+    y = np.array([0, 1, 1, 0, 0, 0, 1, 0.0])
+    model = toxicity.fit(np.concatenate(found), np.cumsum([len(f) for f in found]), y)
+    size, sets = 1 << toxicity.BITS, [{slot[g] for g in grams(t)} for t in texts]
+    count = [Counter(s for k, own in enumerate(sets) if y[k] == c for s in own) for c in (0, 1)]
+    total = [size + sum(c.values()) for c in count]
+    ratio = lambda s: math.log((1 + count[1][s]) / total[1]) - math.log((1 + count[0][s]) / total[0])
+    for k, own in enumerate(sets):
+        assert np.allclose(model.square[sorted(own)], [ratio(s) ** 2 for s in sorted(own)], rtol=1e-4)
+        z = model.bias + sum(float(model.weight[s]) for s in own) / math.sqrt(sum(ratio(s) ** 2 for s in own))
+        assert model.score(found[k]) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4) and (model.score(found[k]) >= 0.5) == bool(y[k])
+    docs = spark.createDataFrame([(i, "you fool" if i % 2 else "fine day", "x") for i in range(60)] + [(7, "you fool", "x")] * 30 + [(7, "fine", "x"), (None, None, "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(i, i % 2, "y") for i in range(60)] + [(7, 0, "y"), (7, None, "y"), (None, 1, "y")], "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(docs, labels.select("doc_id", "toxic")).collect()
+    assert len(got) == 92 and [r.held_out for r in got if r.doc_id is None] == [True]
+    first = toxicity.train(docs, labels)
+    assert toxicity.train(docs.repartition(7), labels.repartition(3)).weight.tobytes() == first.weight.tobytes()
+    assert toxicity.train(docs, labels, ngrams=3).bias == 0.0  # no text is within the bound
+
+
 def test_bpe_round_trip(spark):
     codec = bpe.Codec(bpe.default_path())
     rng = random.Random(9)
