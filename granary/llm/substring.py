@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +25,12 @@ LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Bytes of text that are hashed at once.
 BLOCK = 1 << 20
 _RNG = np.random.default_rng(13)
-_BYTES = [_RNG.integers(1, 1 << 63, 256, dtype=np.uint64) for _ in range(2)]
+_SEED = [int(x) for x in _RNG.integers(1, 1 << 63, 2, dtype=np.uint64)]
+_ODD = [np.uint64(int(x) | 1) for x in _RNG.integers(1 << 40, 1 << 63, 2, dtype=np.uint64)]
 _BASE = [int(x) | 1 for x in _RNG.integers(1 << 40, 1 << 63, 2, dtype=np.uint64)]
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+#: Bytes of a word that are hashed eight at a time beside other words; a longer word goes through XXH64 alone.
+LONG = 256
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -46,7 +50,11 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of words and of runs of words: differences of a polynomial's prefix sums, modulo 2**64, mixed. Two families, which = 0 and 1, are independent."""
+    """Hashes of words and of runs of words. Two families, which = 0 and 1, are independent.
+
+    A word is mixed after every eight bytes, so that no structure of its letters carries over; a run of words, of which
+    spans have 21 at most, is a polynomial of its words' hashes modulo 2**64, mixed.
+    """
 
     def __init__(self) -> None:
         self.power = [_powers(b, 1) for b in _BASE]
@@ -66,14 +74,19 @@ class Hasher:
         return _mixed((sums[ends] - sums[starts]) * self.inverse[which][starts] + (ends - starts).astype(np.uint64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-        """One hash for each word of some text; blocks of text bound the memory."""
-        out = np.empty(len(starts), np.uint64)
-        a = 0
-        while a < len(starts):
-            b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK, "right")))
-            low = starts[a]
-            out[a:b] = self.between(_BYTES[which][data[low : ends[b - 1]]], starts[a:b] - low, ends[a:b] - low, which)
-            a = b
+        """One hash for each word of some text."""
+        size = ends - starts
+        out = _mixed(size.astype(np.uint64) * _MIX[0] + np.uint64(_SEED[which]))
+        lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))  # the eight bytes from each place
+        at, done = np.flatnonzero(size <= LONG), 0
+        while len(at):
+            lane, left = lanes[starts[at] + done], size[at] - done
+            lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.maximum(0, 8 - left) * 8).astype(np.uint64)
+            out[at] = _mixed((out[at] ^ lane) * _ODD[which])
+            done += 8
+            at = at[left > 8]
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), _SEED[which])
         return out
 
     def runs(self, words: np.ndarray, k: int, which: int) -> np.ndarray:
@@ -368,8 +381,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, n_words, n_removed, kept (the words that stay, joined by one space).
 
     A null text has no words. Texts of under 13 words, and rows with a null id, lose nothing. A window that repeats
-    within one document only, or in rows with the same id only, stays. Windows are judged on the input, not on what is
-    left. An empty table gives an empty result. Other columns are not read.
+    within one document only, or in rows with the same id only, stays: rows that repeat are one document here, each
+    with its own row of the result. Windows are judged on the input, not on what is left. Texts and words of any length
+    are hashed whole; a text of over 1 MB is a part of its own. An empty table gives an empty result. Other columns are
+    not read, so their names do not matter.
     """
     starts = repeated_windows(docs, id_col, text_col, batches)
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(F.col(text_col)).alias("_row"))
