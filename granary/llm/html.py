@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,14 @@ CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in I
 #: What an end tag does not reach over.
 SCOPE = frozenset("table td th".split())
 PARTS = frozenset("tr td th thead tbody tfoot caption".split())
+#: Elements whose content is text up to their end tag; in the first ones & stands for itself.
+RAW, ESCAPED = frozenset("script style xmp iframe noembed noframes".split()), frozenset("title textarea".split())
+#: Levels of lists and quotations that indent a line; deeper ones keep their marks only.
+INDENTS = 32
+_NAME = re.compile(r"[^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)\s*(=?)\s*")
+_BARE = re.compile(r"[^\s>]*")
+_SHORT_COMMENT, _COMMENT_END = re.compile("<!---?>"), re.compile("--!?>")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _SHOWN = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)[^;]*?(!\s*important)?\s*(?:;|$)", re.I)
 _RANGE = re.compile(r"\(\s*(min|max)-(width|height)\s*:\s*([0-9.]+)(px|em|rem)\s*\)")
@@ -46,72 +55,149 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-class Tree(HTMLParser):
-    """Builds the tree. Never fails: what doesn't fit is placed where the open elements allow it."""
+def attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from a place on, the first of a name, and where the tag ends; -1 if it does not."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTRIBUTE.match(html, at)
+        at, name = m.end(), m[1].lower()
+        if at >= len(html):
+            return found, -1
+        value = ""
+        if m[2]:
+            quote = html[at]
+            if quote in "\"'":
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                value = _BARE.match(html, at)[0]
+                at += len(value)
+        if name:
+            found.setdefault(name, unescape(value))
+        if at < len(html) and html[at] == ">":
+            return found, at + 1
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
+    """("data", text, None), ("start", tag, attributes) and ("end", tag, None) in order. Each place is read a bounded number of times; whatever does not end goes on to the end of the page."""
+    at, n = 0, len(html)
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0 or lt == n - 1:
+            yield "data", unescape(html[at:]), None
+            return
+        if lt > at:
+            yield "data", unescape(html[at:lt]), None
+        c = html[lt + 1]
+        end_tag = c == "/"
+        first = html[lt + 2 : lt + 3] if end_tag else c
+        if first.isascii() and first.isalpha():
+            name = _NAME.match(html, lt + 1 + end_tag)
+            tag = name[0].lower()
+            attrs, at = attributes(html, name.end())
+            if at < 0:
+                return
+            yield ("end", tag, None) if end_tag else ("start", tag, attrs)
+            if not end_tag and (tag in RAW or tag in ESCAPED):
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
+                text = html[at : end.start()] if end else html[at:]
+                if text:
+                    yield "data", unescape(text) if tag in ESCAPED else text, None
+                at = end.start() if end else n
+        elif html.startswith("<!--", lt):
+            end = _SHORT_COMMENT.match(html, lt) or _COMMENT_END.search(html, lt + 4)
+            if not end:
+                return
+            at = end.end()
+        elif c in "!?" or end_tag:
+            end = html.find(">", lt + 2)
+            if end < 0:
+                return
+            at = end + 1
+        else:
+            yield "data", "<", None
+            at = lt + 1
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+
+class Tree:
+    """Builds the tree. Never fails: what doesn't fit is placed where the open elements allow it.
+
+    The places of open elements are kept by name, so no tag searches them: the time is linear however deep they nest.
+    """
+
+    def __init__(self, html: str) -> None:
         self.root = Node("html", {})
-        self.open = [self.root]
+        self.open: list[Node] = []
+        self.places: dict[str, list[int]] = {}
         self.styles: list[str] = []
+        self._push(self.root)
+        for kind, value, attrs in tokens(html):
+            if kind == "start":
+                self._start(value, attrs)
+            elif kind == "end":
+                self._end(value)
+            elif self.open[-1].tag == "style":
+                self.styles.append(value)
+            else:
+                self.open[-1].children.append(value)
 
-    def _close(self, names: frozenset[str], stop: frozenset[str]) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in stop:
-                return
-            if self.open[i].tag in names:
-                at = i
-                # all of these names above the stop go, as with a cell and its row
-                while at > 1 and self.open[at - 1].tag in names:
-                    at -= 1
-                del self.open[at:]
-                return
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        found = {k: v or "" for k, v in attrs}
-        if tag == "html" or (tag == "body" and any(n.tag == "body" for n in self.open)):
-            for k, v in found.items():
-                (self.root if tag == "html" else next(n for n in self.open if n.tag == "body")).attrs.setdefault(k, v)
+    def _cut(self, at: int) -> None:
+        while len(self.open) > max(at, 1):
+            self.places[self.open.pop().tag].pop()
+
+    def _last(self, names: frozenset[str]) -> int:
+        """The place of the innermost open element of some names; 0 if there is none."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def _close(self, names: frozenset[str], stop: frozenset[str]) -> None:
+        at = self._last(names)
+        if at and at > self._last(stop):
+            # all of these names above the stop go, as with a cell and its row
+            while at > 1 and self.open[at - 1].tag in names:
+                at -= 1
+            self._cut(at)
+
+    def _start(self, tag: str, attrs: dict[str, str]) -> None:
+        body = self._last(_BODY)
+        if tag == "html" or (tag == "body" and body):
+            for k, v in attrs.items():
+                self.open[body if tag == "body" else 0].attrs.setdefault(k, v)
             return
         if tag == "body" or (tag in BLOCK and tag not in HIDDEN):
-            self._close(frozenset(["head"]), frozenset())
-        if tag in PARTS and not any(n.tag == "table" for n in self.open):
+            self._close(_HEAD, _NONE)
+        if tag in PARTS and not self.places.get("table"):
             return  # parts of a table mean nothing outside one
         if tag in CLOSES:
             self._close(*CLOSES[tag])
         if tag in BLOCK and tag not in ("option", "optgroup"):
-            self._close(frozenset(["p"]), SCOPE | frozenset(["button"]))
-        node = Node(tag, found)
+            self._close(_P, _P_STOP)
+        node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
-            self.open.append(node)
+            self._push(node)
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)  # a slash means nothing but in a void element and within svg and math
-        if tag not in VOID and self.open[-1].tag == tag and any(x.tag in ("svg", "math") for x in self.open):
-            self.open.pop()
-
-    def handle_endtag(self, tag: str) -> None:
+    def _end(self, tag: str) -> None:
         if tag in ("html", "body"):
             return
         if tag == "br":
-            self.handle_starttag("br", [])
+            self._start("br", {})
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                break
-        if tag == "p":
-            self.handle_starttag("p", [])
-            self.open.pop()
+        at = self._last(frozenset([tag]))
+        if at and (tag in _TABLE or at > self._last(SCOPE)):
+            self._cut(at)
+        elif tag == "p":
+            self._start("p", {})
+            self._cut(len(self.open) - 1)
+
 
-    def handle_data(self, data: str) -> None:
-        if self.open[-1].tag == "style":
-            self.styles.append(data)
-        elif data:
-            self.open[-1].children.append(data)
+_NONE, _BODY, _HEAD, _P = frozenset(), frozenset(["body"]), frozenset(["head"]), frozenset(["p"])
+_P_STOP, _TABLE = SCOPE | frozenset(["button"]), frozenset("table tr tbody thead tfoot td th".split())
 
 
 def on_screen(query: str) -> bool:
@@ -131,22 +217,36 @@ def on_screen(query: str) -> bool:
     return False
 
 
+def uncommented(css: str) -> str:
+    """Without comments; one that does not end reaches to the end."""
+    found, at = [], 0
+    while (start := css.find("/*", at)) >= 0:
+        found.append(css[at:start])
+        end = css.find("*/", start + 2)
+        if end < 0:
+            return "".join(found)
+        at = end + 2
+    return "".join(found) + css[at:]
+
+
 def style_rules(styles: list[str]) -> list[tuple[str, str]]:
     """(selectors, declarations) of the rules that hold on a screen, in their order; those of nested at-rules included."""
-    css = re.sub(r"/\*.*?\*/|<!--|-->", "", "\n".join(styles), flags=re.S)
-    found, open_, head = [], [], ""
+    css = uncommented("\n".join(styles)).replace("<!--", "").replace("-->", "")
+    found, open_, head = [], [], ""  # open_: (selectors or at-rule, whether what is in it holds, declarations)
     for part in re.split(r"([{};])", css):
         if part == "{":
             name = head.strip()
             at = name.lower()
-            holds = on_screen(name[6:]) if at.startswith("@media") else at.startswith(("@supports", "@layer")) if at.startswith("@") else True
+            holds = not open_ or (open_[-1][1] and open_[-1][0].startswith("@"))
+            if at.startswith("@"):
+                holds = holds and (on_screen(name[6:]) if at.startswith("@media") else at.startswith(("@supports", "@layer")))
             open_.append((name, holds, []))
             head = ""
         elif part == "}":
             if open_:
                 name, holds, body = open_.pop()
                 body.append(head)
-                if not name.startswith("@") and holds and all(h and n.startswith("@") for n, h, _ in open_):
+                if not name.startswith("@") and holds:
                     found.append((name, ";".join(body)))
             head = ""
         elif part == ";":
@@ -158,70 +258,100 @@ def style_rules(styles: list[str]) -> list[tuple[str, str]]:
     return found
 
 
-def shown_rules(styles: list[str]) -> list[tuple]:
-    """(property, value, rank, tag, classes, id) of what the simple selectors of a page's own style sheets say of display and visibility; others are not judged."""
-    found = []
-    for place, (selectors, body) in enumerate(style_rules(styles)):
-        for name, value, important in _SHOWN.findall(body):
-            for one in selectors.split(","):
+class Rules:
+    """What the simple selectors of a page's own style sheets say of display and visibility; other selectors are not judged."""
+
+    def __init__(self, styles: list[str]) -> None:
+        self.by_key: dict[str, list[tuple]] = {}  # a rule stands under its id, else a class, else its tag
+        for place, (selectors, body) in enumerate(style_rules(styles)):
+            said = _SHOWN.findall(body)
+            for one in selectors.split(",") if said else ():
                 if (m := _SIMPLE.match(one.strip())) and one.strip():
                     parts = re.findall(r"([.#])([\w-]+)", m[2])
-                    classes, ids = [v for k, v in parts if k == "."], [v for k, v in parts if k == "#"]
-                    rank = (bool(important), False, len(ids), len(classes), bool(m[1]), place)
-                    found.append((name.lower(), value.lower(), rank, (m[1] or "").lower(), frozenset(classes), ids[0] if ids else ""))
-    return found if any(x[1] in ("none", "hidden", "collapse") for x in found) else []
-
-
-def visible(node: Node, rules: list[tuple]) -> bool:
-    """Of the declarations for a node the strongest holds: important ones, then its own style, then by selector and order."""
-    a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "input":
-        return False
-    best: dict[str, tuple] = {}
-    for k, (name, value, important) in enumerate(_SHOWN.findall(a.get("style", ""))):
-        best[name.lower()] = max(best.get(name.lower(), ((),)), ((bool(important), True, 0, 0, False, k), value.lower()))
-    if rules:
-        classes = frozenset(a.get("class", "").split())
-        for name, value, rank, tag, needed, ident in rules:
-            if (not tag or tag == node.tag) and needed <= classes and (not ident or ident == a.get("id")):
-                best[name] = max(best.get(name, ((),)), (rank, value))
-    return not any(x[-1] in ("none", "hidden", "collapse") for x in best.values())
-
-
-def _within(node: Node, tags: frozenset[str], rules: list[tuple]) -> list[Node]:
-    """The visible nodes of some tags under a node, outermost only."""
-    found, stack = [], [c for c in reversed(node.children)]
+                    classes, ids = frozenset(v for k, v in parts if k == "."), [v for k, v in parts if k == "#"]
+                    tag = (m[1] or "").lower()
+                    key = f"#{ids[0]}" if ids else f".{min(classes)}" if classes else tag
+                    for k, (name, value, important) in enumerate(said):
+                        rank = (bool(important), False, len(ids), len(classes), bool(tag), place, k)
+                        self.by_key.setdefault(key, []).append((name.lower(), value.lower(), rank, tag, classes, ids))
+
+    def shown(self, node: Node, seen: bool) -> tuple[bool, bool]:
+        """(whether the node has a place, whether its own text is seen), where seen is its parent's. Of the declarations for a property the strongest holds: important ones, then its own style, then by selector and order."""
+        a = node.attrs
+        if node.tag in HIDDEN or node.tag == "input":
+            return False, False
+        best: dict[str, tuple] = {}
+        for k, (name, value, important) in enumerate(_SHOWN.findall(a["style"]) if "style" in a else ()):
+            rank = (bool(important), True, 0, 0, False, 0, k)
+            best[name.lower()] = max(best.get(name.lower(), ((),)), (rank, value.lower()))
+        if self.by_key:
+            classes = frozenset(a["class"].split()) if "class" in a else _NONE
+            for key in (node.tag, *[f".{c}" for c in classes], f"#{a.get('id', '')}"):
+                for name, value, rank, tag, needed, ids in self.by_key.get(key, ()):
+                    if (not tag or tag == node.tag) and needed <= classes and all(i == a.get("id") for i in ids):
+                        best[name] = max(best.get(name, ((),)), (rank, value))
+        display, visibility = best.get("display"), best.get("visibility")
+        if display[-1] == "none" if display else "hidden" in a or (node.tag == "dialog" and "open" not in a):
+            return False, False
+        if visibility and visibility[-1] != "inherit":
+            seen = visibility[-1] not in ("hidden", "collapse")
+        return True, seen
+
+
+def _within(node: Node, tags: frozenset[str], rules: Rules, seen: bool) -> list[tuple[Node, bool]]:
+    """The nodes of some tags under a node that have a place, outermost only, and whether their parents are seen."""
+    found, stack = [], [(c, seen) for c in reversed(node.children)]
     while stack:
-        x = stack.pop()
-        if isinstance(x, str) or x.tag in UNDRAWN or not visible(x, rules):
+        x, seen = stack.pop()
+        if isinstance(x, str) or x.tag in UNDRAWN:
             continue
-        if x.tag in tags:
-            found.append(x)
-        else:
-            stack.extend(reversed(x.children))
+        placed, own = rules.shown(x, seen)
+        if placed and x.tag in tags:
+            found.append((x, seen))
+        elif placed:
+            stack.extend((c, own) for c in reversed(x.children))
     return found
 
 
-def drawn(node: Node, rules: list[tuple]) -> list:
-    """What is shown of an svg: its texts; of a list of options: the chosen one, or all where several lines are shown."""
+def inside(node: Node, rules: Rules, seen: bool) -> list[tuple[Node | str, bool]]:
+    """What is shown of a node, and whether it is seen unless it says so itself: of an svg its texts; of a list of options the chosen one, or all where several lines are shown; of closed details the summary."""
     if node.tag == "svg":
-        return [x for t in _within(node, DRAWN, rules) for x in (t, " ")]
-    options = _within(node, frozenset(["option"]), rules)
-    size = node.attrs.get("size", "")
-    if "multiple" in node.attrs or (size.isdecimal() and int(size) > 1):
-        return options
-    chosen = [x for x in options if "selected" in x.attrs][-1:] or [x for x in options if "disabled" not in x.attrs][:1]
-    return [c for x in chosen for c in ([x.attrs["label"]] if x.attrs.get("label") else x.children)]
+        return [x for t in _within(node, DRAWN, rules, seen) for x in (t, (" ", seen))]
+    if node.tag == "select":
+        options = _within(node, frozenset(["option"]), rules, seen)
+        size = node.attrs.get("size", "")
+        if "multiple" in node.attrs or (size.isdecimal() and int(size) > 1):
+            return options
+        chosen = [x for x in options if "selected" in x[0].attrs][-1:] or [x for x in options if "disabled" not in x[0].attrs][:1]
+        return [(c, s) for x, s in chosen for c in ([x.attrs["label"]] if x.attrs.get("label") else x.children)]
+    if node.tag == "details" and "open" not in node.attrs:
+        return [(c, seen) for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
+    return [(c, seen) for c in node.children]
 
 
 class Lines:
-    """Text of one flow: words are joined over inline elements, blocks make lines, spaced blocks an empty line."""
+    """Text of one flow: words are joined over inline elements, blocks make lines, spaced blocks an empty line.
+
+    Items of lists and quotations are levels: a level's first line has its mark, the others are indented.
+    """
 
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.gap = False  # white space is due before the next text
         self.blank = False  # an empty line is due before the next line
+        self.levels: list[tuple[str, str, bool]] = []  # mark, indent, whether an empty line is due before the level
+        self.fresh = 0  # innermost levels that have no line yet
+
+    def enter(self, mark: str) -> None:
+        self.levels.append((mark, " " * len(mark), self.blank))
+        self.fresh += 1
+        self.blank = False
+
+    def leave(self) -> None:
+        _, _, due = self.levels.pop()
+        self.blank = due if self.fresh else False
+        self.fresh = max(0, self.fresh - 1)
 
     def text(self, data: str) -> None:
         plain = _SPACE.sub(" ", data)
@@ -242,77 +372,111 @@ class Lines:
         self.blank |= spaced
 
     def line(self, text: str) -> None:
+        if self.fresh:
+            if not text:
+                return
+            self.blank = self.levels[-self.fresh][2]
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
+        if text and self.levels:
+            old = len(self.levels) - self.fresh
+            marks = [x[0] for x in self.levels[old:]]
+            text = ("".join(x[1] for x in self.levels[: min(old, INDENTS)]) + "".join(marks) + text).rstrip()
+            self.fresh = 0
         self.lines.append(text)
 
-    def add(self, lines: list[str], first: str = "", rest: str = "") -> None:
-        for i, x in enumerate(lines):
-            self.line(((first if i == 0 else rest) + x).rstrip() if x else "")
-
 
 def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns spanned), each column as wide as its widest cell that spans no other."""
-    widths: dict[int, int] = {}
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns and rows spanned) as lines.
+
+    Cells stand on the table's grid: a cell that spans rows keeps its columns free below it. A column is as wide as its
+    widest cell that spans no other; columns in which no cell begins have no width.
+    """
+    placed: list[list[tuple[int, list[str], int]]] = []
+    taken: dict[int, int] = {}  # columns that a cell from above still fills, and for how many rows
     for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), *(_width(x) for x in lines), 0)
-            at += span
+        at, here = 0, []
+        below = {c: n - 1 for c, n in taken.items() if n > 1}
+        for lines, columns, down in row:
+            while at in taken:
+                at += 1
+            here.append((at, lines, columns))
+            if down > 1:
+                below.update((c, down - 1) for c in range(at, at + columns))
+            at += columns
+        placed.append(here)
+        taken = below
+    starts = sorted({at for row in placed for at, _, _ in row})
+    widths = dict.fromkeys(starts, 0)
+    for row in placed:
+        for at, lines, columns in row:
+            if bisect_left(starts, at + columns) - bisect_left(starts, at) == 1:
+                widths[at] = max(widths[at], *(_width(x) for x in lines), 0)
+    offsets, total = {}, 0
+    for c in starts:
+        offsets[c] = total
+        total += widths[c] + len(GAP)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            text, at = "", 0
-            for lines, span in row:
+    for row in placed:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            text, used = "", 0
+            for at, lines, _ in row:
                 cell = lines[k] if k < len(lines) else ""
-                room = sum(widths.get(i, 0) for i in range(at, at + span)) + len(GAP) * (span - 1)
-                text += cell + " " * max(0, room - _width(cell)) + GAP
-                at += span
+                if cell:
+                    room = max(offsets[at] - used, len(GAP) if used else 0)
+                    text += " " * room + cell
+                    used += room + _width(cell)
             out.append(text.rstrip())
     return out
 
 
+def _number(value: str | None, least: int, most: int, other: int) -> int:
+    return min(most, max(least, int(value))) if value and re.fullmatch("[0-9]{1,9}", value.strip()) else other
+
+
 def render(html: str | None) -> str:
     """The visible text of a page.
 
     Null and empty pages give an empty text. Hidden are: elements that show no text of their own (scripts, styles,
-    titles), the attribute hidden, and what display: none or visibility: hidden hides by a style attribute or by simple
-    selectors (tag, class, id) of the page's own style sheets, as far as they hold on a screen. Formulas, the texts of
-    svg and the chosen option of a list are shown. Blocks end lines; paragraphs, headings, lists,
-    tables and the like have an empty line around them; items of lists are marked and indented; cells of a table are
-    padded to columns; pre keeps its white space. The walk keeps its own stack, so no depth of nesting fails.
+    titles), the attribute hidden, what is not the summary of closed details, closed dialogs, and what display: none or
+    visibility: hidden hides by a style attribute or by simple selectors (tag, class, id) of the page's own style
+    sheets, as far as they hold on a screen; visibility is inherited, so what is visible within what is hidden is
+    shown. Formulas, the texts of svg and the chosen option of a list are shown. Blocks end lines; paragraphs,
+    headings, lists, tables and the like have an empty line around them; items of lists are marked and indented; cells
+    of a table are padded to the columns of its grid; pre keeps its white space. No input fails, and the time is linear
+    in its length: neither the tree nor the walk recurse or search what is open.
     """
     if not html:
         return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    rules = shown_rules(tree.styles)
+    tree = Tree(html)
+    rules = Rules(tree.styles)
     flows, tables, lists, pre = [Lines()], [], [], 0
-    stack: list[tuple[object, bool]] = [(tree.root, True)]
+    stack: list[tuple[object, bool, bool]] = [(tree.root, True, True)]
     while stack:
-        node, enter = stack.pop()
+        node, seen, enter = stack.pop()
+        flow = flows[-1]
         if isinstance(node, str):
+            if not seen:
+                continue
             if pre:
                 head, *more = node.split("\n")
-                flows[-1].parts.append(head)
+                flow.parts.append(head)
                 for x in more:
-                    flows[-1].line("".join(flows[-1].parts).rstrip())
-                    flows[-1].parts = [x]
+                    flow.line("".join(flow.parts).rstrip())
+                    flow.parts = [x]
             else:
-                flows[-1].text(node)
+                flow.text(node)
             continue
         tag = node.tag
         if enter:
-            if not visible(node, rules):
+            placed, seen = rules.shown(node, seen)
+            if not placed:
                 continue
-            flow = flows[-1]
             if tag == "br":
                 if flow.parts:
                     flow.end()
@@ -326,8 +490,12 @@ def render(html: str | None) -> str:
             if tag in ("ul", "ol", "menu"):
                 start = node.attrs.get("start", "")
                 lists.append([tag == "ol", int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
-            elif tag in ("li", "dd", "blockquote"):
-                flows.append(Lines())
+            elif tag == "li":
+                flow.enter(f"{lists[-1][1]}. " if lists and lists[-1][0] else "- ")
+                if lists:
+                    lists[-1][1] += 1
+            elif tag in ("dd", "blockquote"):
+                flow.enter("  ")
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
@@ -336,39 +504,30 @@ def render(html: str | None) -> str:
                 flows.append(Lines())
             elif tag == "pre":
                 pre += 1
-            stack.append((node, False))
-            stack.extend((c, True) for c in reversed(drawn(node, rules) if tag in ("svg", "select") else node.children))
+            stack.append((node, seen, False))
+            stack.extend((c, s, True) for c, s in reversed(inside(node, rules, seen)))
             continue
-        flow = flows[-1]
         if tag in BLOCK:
             flow.end()
-        if tag == "li":
-            flows.pop()
-            ordered, number = lists[-1] if lists else (False, 0)
-            mark = f"{number}. " if ordered else "- "
-            if lists:
-                lists[-1][1] += 1
-            while flow.lines and not flow.lines[-1]:
-                flow.lines.pop()
-            if flow.lines:
-                flows[-1].add(flow.lines, mark, " " * len(mark))
-        elif tag in ("dd", "blockquote"):
-            flows.pop()
-            flows[-1].add(flow.lines, "  ", "  ")
+        if tag in ("li", "dd", "blockquote"):
+            flow.leave()
         elif tag in ("ul", "ol", "menu"):
             lists.pop()
         elif tag in ("td", "th") and tables:
             flows.pop()
             if not tables[-1]:
                 tables[-1].append([])
-            span = node.attrs.get("colspan", "")
-            tables[-1][-1].append(([x for x in flow.lines if x] or [""], min(1000, max(1, int(span))) if re.fullmatch("[0-9]{1,6}", span) else 1))
+            rows = _number(node.attrs.get("rowspan"), 0, 65534, 1)
+            tables[-1][-1].append(([x for x in flow.lines if x] or [""], _number(node.attrs.get("colspan"), 1, 1000, 1), rows or 65534))
         elif tag == "caption" and tables:
             flows.pop()
-            flows[-1].add([x for x in flow.lines if x])
+            for x in flow.lines:
+                if x:
+                    flows[-1].line(x)
         elif tag == "table":
-            found = [x for x in table_lines(tables.pop()) if x]
-            flows[-1].add(found)
+            for x in table_lines(tables.pop()):
+                if x:
+                    flow.line(x)
         elif tag == "pre":
             pre -= 1
         if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists):
@@ -383,7 +542,11 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: id, text. Ids may be null or repeat; other columns are not read; an empty table gives an empty result."""
+    """One row per row of pages: id, and the text that render gives of the whole page, of any length.
+
+    Null pages have an empty text. Ids may be null or repeat, and rows that repeat each get their own; other columns are
+    not read, so their names do not matter; an empty table gives an empty result.
+    """
     kind = pages.schema[id_col].dataType.simpleString()
     out = small_batches(pages).select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).mapInArrow(_batches, f"_id {kind}, text string")
     return out.withColumnRenamed("_id", id_col)
