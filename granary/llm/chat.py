@@ -20,8 +20,10 @@ def preference_pairs(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
     the loss. A turn's own place is its order by _turn, then role, then text, so gaps and ties in _turn do no harm.
 
     Null roles and texts count as empty. Where one side is missing nothing is common: the prompt is empty and the missing
-    completion too. Equal sides are all prompt, with empty completions. Rows with a null pair take no part; an empty
-    table gives an empty result. A pair's turns meet in one shuffle; everything after it is done within the pair.
+    completion too. Equal sides are all prompt, with empty completions. Rows that repeat are turns of their own, next to
+    each other. Rows with a null pair take no part; an empty table gives an empty result. Columns of turns beside the
+    five are not read, so their names do not matter. A pair's turns meet in one shuffle; everything after it is done
+    within the pair, whose prompt and completions, however long, must fit in a row (2 GB).
     """
     rows = turns.filter("_pair is not null").select("_pair", "_side", "_turn", F.coalesce("_role", F.lit("")).alias("_role"), F.coalesce("_text", F.lit("")).alias("_text"))
     rows = rows.repartition("_pair")
@@ -51,12 +53,12 @@ def _parts(template: str) -> list[str]:
 
 
 def adjacent_pairs(conversations: DataFrame) -> DataFrame:
-    """The turns of conversations 2k as chosen and 2k + 1 as rejected of pair k."""
-    return conversations.select(F.floor(F.col("conv_id") / 2).alias("_pair"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("_side"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.col("text").alias("_text"))
+    """The turns of conversations 2k as chosen and 2k + 1 as rejected of pair k, for ids of any size; a null id has no pair."""
+    return conversations.select(F.shiftright(F.col("conv_id").cast("long"), 1).alias("_pair"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("_side"), F.col("turn").alias("_turn"), F.col("role").alias("_role"), F.col("text").alias("_text"))
 
 
 ORACLE_SQL = r"""
-WITH t AS (SELECT floor(conv_id / 2)::BIGINT AS pair, conv_id % 2 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
+WITH t AS (SELECT ((conv_id - (conv_id & 1)) // 2)::BIGINT AS pair, conv_id % 2 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
 d AS (SELECT pair, min(pos) AS first FROM (SELECT pair, pos FROM t GROUP BY pair, pos HAVING count(*) < 2 OR min(role) <> max(role) OR min(text) <> max(text)) GROUP BY pair),
 r AS (SELECT t.*, (first IS NULL OR pos < first) AS common, '<|im_start|>' || role || chr(10) AS head, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown FROM t LEFT JOIN d USING (pair)),
