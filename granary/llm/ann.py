@@ -131,16 +131,28 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """For each query of a pair of blocks its k best vectors of the other block: (asks, reps, scores)."""
+    """For each query of a pair of blocks its k best vectors of the other block: (asks, reps, scores).
+
+    The matrix product, whose last bits depend on the block, only chooses; the scores of the chosen are sums from the
+    first component to the last, so they are the same wherever a pair is met.
+    """
     for batch in batches:
         for at in range(batch.num_rows):
             row = {n: batch.column(n)[at].as_py() for n in ("ask_reps", "ask_vectors", "reps", "vectors")}
             asks, reps = np.frombuffer(row["ask_reps"], "<i8"), np.frombuffer(row["reps"], "<i8")
-            scores = np.frombuffer(row["ask_vectors"], "<f8").reshape(len(asks), -1) @ np.frombuffer(row["vectors"], "<f8").reshape(len(reps), -1).T
-            top = np.array([_top(s, reps, k) for s in scores])
-            lists = pa.array(np.arange(0, top.size + 1, top.shape[1]), pa.int32())
-            chosen = np.take_along_axis(scores, top, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(asks), pa.ListArray.from_arrays(lists, pa.array(reps[top].ravel())), pa.ListArray.from_arrays(lists, pa.array(chosen.ravel()))], ["asks", "reps", "scores"])
+            queries, vectors = np.frombuffer(row["ask_vectors"], "<f8").reshape(len(asks), -1), np.frombuffer(row["vectors"], "<f8").reshape(len(reps), -1)
+            found, exact = [], []
+            for q, s in zip(queries, queries @ vectors.T, strict=True):
+                some = np.arange(len(s))
+                if len(s) > k:
+                    bound = np.partition(s, len(s) - k)[len(s) - k]
+                    some = np.flatnonzero(s >= bound - 1e-9 * abs(bound))
+                scores = np.cumsum(vectors[some] * q, axis=1)[:, -1]
+                top = _top(scores, reps[some], k)
+                found.append(reps[some[top]])
+                exact.append(scores[top])
+            lists = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(asks), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(found))), pa.ListArray.from_arrays(lists, pa.array(np.concatenate(exact)))], ["asks", "reps", "scores"])
 
 
 def _top(scores: np.ndarray, reps: np.ndarray, k: int) -> np.ndarray:
@@ -178,7 +190,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """(query_id, rank, <id>, score): for each row whose id is divisible by `every`, the k rows with the largest inner products that the curves find.
 
     Rows with a null id, a null, empty or zero vector, or with null or non-finite components take no part; nor do rows
-    whose vector has another length than most. Rows that repeat an id and a vector count once. Equal vectors, whatever
+    whose vector has another length than most. Rows that repeat an id and a vector count once; rows that repeat an id
+    with another vector are rows of their own: each asks, if the id does, and each finds the other. Equal vectors, whatever
     their number, are one point on the curves, with their k + 1 smallest ids; they are dealt out again at the end, so a
     group with a third of all rows is neither compared with itself nor gathered in a task. Ties go to the smaller id.
     With no more than k other rows all are returned; an empty table gives an empty result. Other columns are not read.
@@ -199,8 +212,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     same = Window.partitionBy("h1", "h2").orderBy("_vid")
     few = rows.select("_vid", "h1", "h2").withColumn("n", F.row_number().over(same)).filter(F.col("n") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("_vid")).alias("ids"))
     asking = F.pmod("_vid", F.lit(every)) == 0
-    groups = rows.groupBy("h1", "h2").agg(F.min_by("v", "_vid").alias("v"), F.min("_vid").alias("rep"), F.count_if(asking).alias("n_asks"))
-    points = written(groups.join(few, ["h1", "h2"]))
+    groups = rows.groupBy("h1", "h2").agg(F.min_by("v", "_vid").alias("v"), F.min("_vid").alias("first"), F.count_if(asking).alias("n_asks"))
+    # rep numbers the points in the order of their smallest ids, by which ties are decided
+    by_id = groups.join(few, ["h1", "h2"]).repartitionByRange("first", "h1", "h2").sortWithinPartitions("first", "h1", "h2")
+    points = written(by_id.withColumn("rep", F.monotonically_increasing_id()).drop("first"))
     total = points.count()
     sample = _matrix(points.orderBy("h1", "h2").limit(FIT).select("v").toArrow().column("v").combine_chunks())
     longest = math.sqrt(points.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0])
@@ -221,13 +236,13 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     lists = pairs.mapInArrow(lambda b: _best(b, k + 1), "asks long, reps array<long>, scores array<double>")
     best = written(lists.groupBy("asks").applyInArrow(_merged(k + 1), "asks long, rep long, score double"))
     # copies are dealt out: the k + 1 best rows of each distinct query, itself included
-    nearest = best.join(points.select("rep", "ids"), "rep").select("asks", "score", F.explode("ids").alias("id"))
+    nearest = best.join(points.select("rep", "ids"), "rep").select("asks", "score", (F.col("asks") == F.col("rep")).alias("own"), F.explode("ids").alias("id"))
     nearest = nearest.withColumn("n", F.row_number().over(Window.partitionBy("asks").orderBy(F.desc("score"), "id"))).filter(F.col("n") <= k + 1)
-    nearest = nearest.groupBy("asks").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score"))).alias("near"))
+    nearest = nearest.groupBy("asks").agg(F.sort_array(F.collect_list(F.struct("n", "id", "score", "own"))).alias("near"))
     answers = written(points.filter("n_asks > 0").select("h1", "h2", F.col("rep").alias("asks"), "n_asks").join(nearest, "asks").drop("asks"))
     askers = written(rows.filter(asking).select("_vid", "h1", "h2"))
     out = lookup(askers, answers, ["h1", "h2"], "n_asks", max(1, askers.count()))
-    out = out.withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("_vid")), 1, k))
+    out = out.withColumn("near", F.slice(F.filter("near", lambda x: (x["id"] != F.col("_vid")) | ~x["own"]), 1, k))
     out = out.select(F.col("_vid").alias("query_id"), F.posexplode("near").alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias(id_col), F.col("x.score").alias("score"))
 
