@@ -28,10 +28,6 @@ RATE = 0.3
 BLOCK = 1 << 20
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
-#: White space of the word rules counts as a space.
-_BLANK = dict.fromkeys(range(9, 14), " ")
-
-
 class Features:
     """The set of n-grams of a text, as sorted indexes. The table of what was seen is reused from text to text."""
 
@@ -41,9 +37,11 @@ class Features:
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)
-        chars = np.frombuffer(f" {text} ".lower().translate(_BLANK).encode("utf-32-le", "replace"), "<u4")
+        chars = np.frombuffer(f" {text} ".lower().encode("utf-32-le", "replace"), "<u4")
         for at in range(0, len(chars), BLOCK):
-            data = chars[at : at + BLOCK + NGRAMS[-1] - 1].astype(np.uint64) + np.uint64(1)
+            data = chars[at : at + BLOCK + NGRAMS[-1] - 1].astype(np.uint64)
+            data[(data >= 9) & (data <= 13)] = 32  # white space of the word rules counts as a space
+            data += np.uint64(1)
             h = data * _K
             for n in range(2, NGRAMS[-1] + 1):
                 if len(data) < n:
