@@ -20,8 +20,6 @@ SEED = 42
 ALIKE = (4, 5)
 #: Documents in which shingles are counted to put the common ones last, and the number of shingles kept of them.
 COUNTED, COMMON = 20_000, 1 << 20
-#: Parts of the space of shingles in which a set's members are counted.
-PARTS = 128
 #: A fingerprint is two halves of 32 bits, a half is segments of equal width. The grid starts with the widest segments
 #: that leave few fingerprints to a cell; members of cells with over CROWDED of them go on to the next, narrower width.
 HALF, WIDTHS, CROWDED = 32, (4, 2, 1), 64
@@ -183,15 +181,15 @@ def _linked(rows: DataFrame, keys: list[str], last: bool) -> DataFrame:
     return sized.mapInArrow(_cell_links(CROWDED, last), "a long, b long, half int")
 
 
-def _coarse(halves: DataFrame, width: int) -> DataFrame:
-    """Links of the cells of one width, and what its crowded cells hold.
+def _hot(sample: DataFrame) -> DataFrame:
+    """(_cell) of at most HOT cells that many rows of a sample share, so that their rows need not meet in a task. The sample decides about the way only, not about what is found."""
+    return written(sample.groupBy("_cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWDED).orderBy(F.desc("_n"), "_cell").limit(HOT).select("_cell"))
 
-    Cells that a sample shows to hold a large share of all rows are known to be crowded: their members go on from where
-    they are, without a shuffle into one task. The sample decides about the way only.
-    """
+
+def _coarse(halves: DataFrame, width: int) -> DataFrame:
+    """Links of the cells of one width, and what its crowded cells hold. The members of hot cells go on from where they are, without a shuffle into one task."""
     cells = grid(halves, width)
-    some = grid(halves.filter(F.pmod(F.xxhash64("_fp"), F.lit(16)) == 0), width).groupBy("_cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWDED)
-    hot = written(some.orderBy(F.desc("_n"), "_cell").limit(HOT).select("_cell"))
+    hot = _hot(grid(halves.filter(F.pmod(F.xxhash64("_fp"), F.lit(16)) == 0), width))
     links = _linked(cells.join(F.broadcast(hot), "_cell", "left_anti"), ["_cell"], False)
     return links.unionByName(cells.join(F.broadcast(hot), "_cell", "left_semi").select(F.col("_fp").alias("a"), F.lit(None).cast("long").alias("b"), F.col("_half").alias("half")))
 
@@ -271,18 +269,18 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) ->
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(_id, _fp, _text_key, _set, _size, _counts, _prefix): a row's fingerprint, and a hash, the size, the counts by part and the prefix of its set of shingles.
+    """(_id, _fp, _text_key, _set, _size, _prefix): a row's fingerprint, and a hash, the size and the prefix, in the order of all shingles, of its set of shingles.
 
     Sets of a similarity of t have an overlap of at least t times the size of each. So in any one order of all
     shingles, both sets have one in common among their first n - ceil(t * n) + 1: no copy is missed. The order puts common shingles
-    last, by which few unlike sets meet.
+    last, by which few unlike sets meet and a near copy's own changes come first.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     common, counts = common_shingles(docs, id_col, text_col, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, names, sizes, parts, firsts = [], [], [], [], []
+            prints, names, sizes, firsts = [], [], [], []
             for t in batch.column(2):
                 hashes = _hashes(_bytes(t), words)
                 own = np.unique(np.array(hashes, np.uint64))
@@ -294,14 +292,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 prints.append(_print(hashes))
                 names.append(_name(own))
                 sizes.append(n)
-                parts.append(np.minimum(np.bincount((own % PARTS).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes())
                 firsts.append(own[np.lexsort((own, often))][:most].view(np.int64))
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(parts, pa.binary()), lists], ["_id", "_fp", "_text_key", "_set", "_size", "_counts", "_prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], ["_id", "_fp", "_text_key", "_set", "_size", "_prefix"])
 
     rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, _fp long, _text_key long, _set long, _size int, _counts binary, _prefix array<long>")
+    return rows.mapInArrow(run, f"_id {kind}, _fp long, _text_key long, _set long, _size int, _prefix array<long>")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -321,25 +318,13 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, w
                 good.append(both * ALIKE[1] >= (len(x) + len(y) - both) * ALIKE[0])
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS) for c in ("_x", "_y"))
-                m, n = (batch.column(c).to_numpy() for c in ("_m", "_n"))
-                least = np.minimum(x, y)
-                most = np.where((least == 255).any(axis=1), np.minimum(m, n), least.sum(axis=1, dtype=np.int64))  # 255 stands for more, too
-                yield batch.select(["a", "b"]).filter(pa.array(most * ALIKE[1] >= (m + n - most) * ALIKE[0]))
-
-    # both sets have at most the smaller count of each part in common: most unlike pairs end here, before sets are moved
-    all_pairs = written(pairs)
-    counts = nodes.select("_set", "_counts", F.col("_size").cast("long").alias("_size"))
-    pairs = written(_meet(all_pairs, counts, {"_counts": "_x", "_size": "_m"}, {"_counts": "_y", "_size": "_n"}).mapInArrow(possible, "a long, b long"))
+    pairs = written(pairs)
     used = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
     keys = written(nodes.select("_set", "_text_key").join(used, "_set").select("_text_key"))
     texts = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text")).join(keys, "_text_key", "left_semi").select("_text")
     own = written(small_batches(texts).mapInArrow(sets, "_set long, _own binary").dropDuplicates(["_set"]))
     out = written(_meet(pairs, own, {"_own": "_x"}, {"_own": "_y"}).select("a", "b", "_x", "_y").mapInArrow(verified, "a long, b long"))
-    for table in (all_pairs, pairs, own):
+    for table in (pairs, keys, own):
         forget(table)
     release(docs.sparkSession)
     return out
@@ -355,26 +340,54 @@ def _meet(pairs: DataFrame, table: DataFrame, as_a: dict[str, str], as_b: dict[s
     return pairs
 
 
-def _size_fits(a: str, b: str) -> Column:
-    return F.least(a, b) * ALIKE[1] >= F.greatest(a, b) * ALIKE[0]
+def _fits(size: str, place: str, size2: str, place2: str) -> Column:
+    """Whether two sets whose first common shingle, in the order of all, stands at these places may be ALIKE: no more than what is left from there on is common.
 
+    For a later common shingle this is too strict, but the pair also meets at its first.
+    """
+    most = F.least(F.col(size) - F.col(place), F.col(size2) - F.col(place2))
+    return most * (ALIKE[0] + ALIKE[1]) >= (F.col(size) + F.col(size2)) * ALIKE[0]
+
+
+def set_components(nodes: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(_fp, _label) for the sets, by their hash, that link to another. nodes: (_set, _size, _prefix), a table that is deleted once read; texts: (_set, _text_key).
 
-def set_components(nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(_fp, _label) for the sets, by their hash, that link to another; as fingerprint_components, with shingles as cells and links by _alike."""
-    cells = nodes.select(F.explode("_prefix").alias("_cell"), F.col("_set").alias("_fp"), "_size")
-    least = cells.groupBy("_cell").agg(F.min("_fp").alias("_least"), F.min_by("_size", "_fp").alias("_least_size"), F.max("_fp").alias("_most")).filter("_least < _most").drop("_most")
-    shared = written(cells.join(least, "_cell"))
-    stars = shared.filter((F.col("_fp") != F.col("_least")) & _size_fits("_size", "_least_size")).select(F.col("_fp").alias("a"), F.col("_least").alias("b")).distinct()
-    first = written(components(_alike(stars, nodes, docs, text_col, words)))
-    labelled = written(shared.drop("_least", "_least_size").join(first.select(F.col("node").alias("_fp"), "label"), "_fp", "left").select("_cell", "_fp", "_size", F.coalesce("label", "_fp").alias("_label")))
-    sizes = labelled.groupBy("_cell", "_label").agg(F.count("*").alias("_n"))
-    main = sizes.groupBy("_cell").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main"), F.count("*").alias("_labels")).filter("_labels > 1").drop("_labels")
-    mixed = written(labelled.join(main, "_cell"))
-    others = mixed.filter("_label <> _main").select(F.col("_cell").alias("_cell2"), F.col("_fp").alias("_fp2"), F.col("_size").alias("_size2"), F.col("_label").alias("_label2"))
-    pairs = mixed.join(others, (F.col("_cell") == F.col("_cell2")) & (F.col("_label") != F.col("_label2")) & ((F.col("_label") == F.col("_main")) | (F.col("_label") < F.col("_label2"))) & _size_fits("_size", "_size2"))
-    links = _alike(pairs.select(F.col("_fp").alias("a"), F.col("_fp2").alias("b")).distinct(), nodes, docs, text_col, words)
-    every = links.unionByName(first.select(F.col("node").alias("a"), F.col("label").alias("b")))
-    return components(every).select(F.col("node").alias("_fp"), F.col("label").alias("_label"))
+    Sets meet at the shingles of their prefixes. First each meets the one that has the fewest rarer shingles there: in
+    a group of near copies that is the one the others were made from, as their changes are rare. Then, where a shingle
+    still has several components, sets of different components meet. Both steps keep a pair only if the places of the
+    shingle in both orders leave room for the similarity, and verify it over whole sets.
+    """
+    spark = docs.sparkSession
+    of = lambda n: n.select(F.posexplode("_prefix").alias("_place", "_cell"), F.col("_set").alias("_fp"), "_size")
+    cells, hot = of(nodes), _hot(of(nodes.filter(F.pmod(F.xxhash64("_set"), F.lit(16)) == 0)))
+    first, names = F.min(F.struct("_place", "_fp", "_size")), {"_place": "_place1", "_fp": "_fp1", "_size": "_size1"}
+    within = Window.partitionBy("_cell")
+    alone = cells.join(F.broadcast(hot), "_cell", "left_anti").withColumn("_first", first.over(within)).withColumn("_n", F.count("*").over(within)).filter("_n > 1").drop("_n")
+    of_hot = cells.join(F.broadcast(hot), "_cell", "left_semi").groupBy("_cell").agg(first.alias("_first"))
+    rows = alone.unionByName(cells.join(F.broadcast(of_hot), "_cell"), allowMissingColumns=False)
+    shared = written(rows.select("_cell", "_fp", "_size", "_place", *[F.col(f"_first.{c}").alias(n) for c, n in names.items()]))
+    forget(nodes)  # their prefixes are many bytes; what is read from here on is ids
+    release(spark)
+    stars = shared.filter((F.col("_fp") != F.col("_fp1")) & _fits("_size", "_place", "_size1", "_place1")).select(F.col("_fp").alias("a"), F.col("_fp1").alias("b")).distinct()
+    linked = written(components(_alike(stars, texts, docs, text_col, words)))
+    labelled = written(shared.drop("_fp1", "_size1", "_place1").join(linked.select(F.col("node").alias("_fp"), "label"), "_fp", "left").withColumn("_label", F.coalesce("label", "_fp")).drop("label"))
+    forget(shared)
+    # most shingles have one component by now: only the others' rows go on
+    several = written(labelled.groupBy("_cell").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).filter("_a < _b").select("_cell"))
+    open_ = written(labelled.join(several, "_cell", "left_semi"))
+    sizes = open_.groupBy("_cell", "_label").agg(F.count("*").alias("_n"))
+    mixed = written(open_.join(sizes.groupBy("_cell").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main")), "_cell"))
+    forget(labelled)
+    release(spark)
+    others = mixed.filter("_label <> _main").select(*[F.col(c).alias(f"{c}2") for c in ("_cell", "_fp", "_size", "_place", "_label")])
+    pairs = mixed.join(others, (F.col("_cell") == F.col("_cell2")) & (F.col("_label") != F.col("_label2")) & ((F.col("_label") == F.col("_main")) | (F.col("_label") < F.col("_label2"))) & _fits("_size", "_place", "_size2", "_place2"))
+    links = _alike(pairs.select(F.col("_fp").alias("a"), F.col("_fp2").alias("b")).distinct(), texts, docs, text_col, words)
+    every = links.unionByName(linked.select(F.col("node").alias("a"), F.col("label").alias("b")))
+    found = components(every).select(F.col("node").alias("_fp"), F.col("label").alias("_label"))
+    for table in (mixed, several, open_, linked, links):
+        forget(table)
+    release(spark)
+    return found
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -392,10 +405,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         linked = fingerprint_components(prints)
     else:
         found = written(prefixes(docs, id_col, text_col, words))
-        nodes = written(found.groupBy("_set").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_text_key").alias("_text_key"), F.first("_size").alias("_size"), F.first("_counts").alias("_counts"), F.first("_prefix").alias("_prefix")))
-        linked = set_components(nodes, docs, text_col, words)
-        rows = found.select("_id", F.col("_fp").alias("_print"), F.col("_set").alias("_fp"))
-        prints = nodes.select(F.col("_set").alias("_fp"), "_first", "_n")
+        rows = written(found.select("_id", F.col("_fp").alias("_print"), F.col("_set").alias("_fp")))
+        nodes = found.groupBy("_set").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_text_key").alias("_text_key"), F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"))
+        nodes = written(nodes)
+        forget(found)
+        texts = written(nodes.select("_set", "_text_key", "_first", "_n"))
+        prints = texts.select(F.col("_set").alias("_fp"), "_first", "_n")
+        release(docs.sparkSession)
+        linked = set_components(nodes, texts, docs, text_col, words)
     labelled = written(prints.join(linked, "_fp", "left").withColumn("_label", F.coalesce("_label", "_fp")))
     smallest = labelled.groupBy("_label").agg(F.min("_first").alias("_component"), F.count("*").alias("_members"))
     total = max(1, labelled.count())

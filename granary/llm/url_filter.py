@@ -36,30 +36,34 @@ def _digest(host: Column, path: Column) -> Column:
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = DEFAULT) -> DataFrame:
     """One row per row of pages: id, host, path, rule (like net/, else null), verdict.
 
-    Each url is expanded into its host suffixes times the prefixes of its path that have the length of some rule's
-    path; the expressions meet the rules by the first 32 bits of their SHA-256, then the full digest and the text
-    itself are compared. Of the rules that fit, the one with the longest text wins, then the longer host, then block.
-    Null urls and urls without :// have empty host and path, fit no rule and get the default. Ids may be null or
-    repeat. Rows that repeat an id and a url are expanded once. Other columns are not read.
+    Each url is expanded into the suffixes of its host that have as many labels as some rule's host, times the prefixes
+    of its path that have the length of some rule's path; the expressions meet the rules by the first 32 bits of their
+    SHA-256, then the full digest and the text itself are compared. Of the rules that fit, the one with the longest
+    text wins, then the longer host, then block. The work is linear in a url's length, however many labels it has.
+
+    Urls are expanded, joined and reduced to one row each where they are read; that row goes through one shuffle, in
+    which rows that repeat an id and a url are counted in each task first. Null urls and urls without :// have empty
+    host and path, fit no rule and get the default. Ids may be null or repeat. An empty table gives an empty result,
+    without rules all get the default. Other columns are not read, so their names do not matter.
     """
     known = rules.dropna().dropDuplicates().select("rule_host", "rule_path", "rule_verdict", _digest(F.col("rule_host"), F.col("rule_path")).alias("_sha"))
-    known = known.select("*", F.substring("_sha", 1, PREFIX).alias("_short"), F.concat("rule_host", "rule_path").alias("_rule"))
-    n_rules, lengths = known.agg(F.count("*"), F.sort_array(F.collect_set(F.length("rule_path")))).first()
+    rule = F.concat("rule_host", "rule_path")
+    known = known.select(F.substring("_sha", 1, PREFIX).alias("_short"), F.struct(F.length(rule).alias("n"), F.length("rule_host").alias("h_n"), F.col("rule_verdict").alias("v"), rule.alias("rule"), F.col("rule_host").alias("h"), F.col("rule_path").alias("p"), F.col("_sha").alias("sha")).alias("_r"))
+    labels = F.size(F.split(F.col("_r.h"), r"\.", -1))
+    n_rules, lengths, counts = known.agg(F.count("*"), F.sort_array(F.collect_set(F.length("_r.p"))), F.sort_array(F.collect_set(labels))).first()
+    by_short = known.groupBy("_short").agg(F.collect_list("_r").alias("_rules"))  # one row for a short hash: the join makes no rows
     if n_rules <= BROADCAST_RULES:
-        known = F.broadcast(known)
-    keys = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).groupBy("_id", "_url").agg(F.count("*").alias("_m"))
-    keys = keys.select("*", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    keys = keys.withColumn("_expressions", F.when(F.col("host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p")))))))
-    rows = keys.select("_id", "_url", "_m", "host", "path", F.explode_outer("_expressions").alias("_e")).withColumn("_sha_e", _digest(F.col("_e.h"), F.col("_e.p")))
-    rows = rows.withColumn("_short", F.substring("_sha_e", 1, PREFIX)).join(known, "_short", "left")
-    fits = (F.col("_sha") == F.col("_sha_e")) & (F.col("rule_host") == F.col("_e.h")) & (F.col("rule_path") == F.col("_e.p"))
-    rank = F.struct(F.length("_rule"), F.length("rule_host"), F.col("rule_verdict"), F.col("_rule"))
-    best = rows.groupBy("_id", "_url", "_m", "host", "path").agg(F.max(F.when(fits, rank)).alias("_best"))
+        by_short = F.broadcast(by_short)
+    urls = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")).select("*", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
+    suffixes = F.array_distinct(F.array(*[F.substring_index("_host", ".", -n) for n in counts]).cast("array<string>"))
+    prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda n: n <= F.length("_path")), lambda n: F.substring(F.col("_path"), F.lit(1), n))
+    expressions = F.when(F.col("_host") != "", F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("h"), p.alias("p"))))))
+    rows = urls.select("_id", "_url", F.posexplode_outer(expressions).alias("_at", "_e")).withColumn("_sha", _digest(F.col("_e.h"), F.col("_e.p")))
+    rows = rows.withColumn("_short", F.substring("_sha", 1, PREFIX)).join(by_short, "_short", "left")
+    fits = F.filter("_rules", lambda r: (r["sha"] == F.col("_sha")) & (r["h"] == F.col("_e.h")) & (r["p"] == F.col("_e.p")))
+    best = rows.groupBy("_id", "_url").agg(F.max(F.array_max(F.transform(fits, lambda r: F.struct(r["n"], r["h_n"], r["v"], r["rule"])))).alias("_best"), F.count_if(F.coalesce(F.col("_at"), F.lit(0)) == 0).alias("_m"))
     out = best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
-    return out.select(F.col("_id").alias(id_col), "host", "path", F.col("_best._rule").alias("rule"), F.coalesce(F.col("_best.rule_verdict"), F.lit(default)).alias("verdict"))
+    return out.select(F.col("_id").alias(id_col), host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.v"), F.lit(default)).alias("verdict"))
 
 
 ORACLE_SQL = r"""

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -138,9 +139,86 @@ def test_html():
     assert html.render("<td>a<td>b") == "ab" and html.render("<table><td>a<td>b</table>") == "a  b" and html.render("x<!-- no -->y") == "xy"
 
 
+def test_no_page_fails():
+    rng = random.Random(12)
+    bits = ["<", ">", "</", "<!", "<![", "<![CDATA[", "<!--", "-->", "<?x", "&amp", "&#x", "&#99999999;", "a", " ", "\n", "\"", "'", "=", "/", "\x00", "é", "<p", "<p>", "</p>", "<td rowspan=0>", "<td colspan=9>", "<table>", "</table>", "<tr>", "<li>", "<ul>", "</ul>", "<style>", "</style>", "p{", "}", "display:none", ";", "/*", "@media print{", "<svg>", "<select>", "<option label=x>", "<details>", "<summary>", "<pre>", "</pre>", "<br>", "<body>", "<html class=x>", "<title>", "</title>", "<blockquote>", "<caption>", "<b hidden>", "<ol start=-3>", "<math>"]
+    for _ in range(10_000):
+        assert isinstance(html.render("".join(rng.choice(bits) for _ in range(rng.randint(1, 30)))), str)
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<a ", "<!--", "<p><table><td>", "<ul><li>x", "<style>/*", "<style>a{", "<svg>", "<b class='x y'>", "<blockquote>"])
+def test_the_time_of_a_page_is_linear(piece):
+    began = time.process_time()
+    html.render(piece * 2000)
+    small = time.process_time() - began
+    began = time.process_time()
+    html.render(piece * 16000)
+    assert time.process_time() - began < max(16 * small, 4)
+
+
+def test_html_against_a_plain_renderer():
+    """Random trees whose visible words and cells are known by construction."""
+    rng = random.Random(5)
+    style = "<style>.n{display:none} .b{display:block} #i.n{display:inline} .h{visibility:hidden} .v{visibility:visible !important} @media print{.p{display:none}}</style>"
+
+    def made(depth, seen):
+        """(markup, visible words)"""
+        if depth == 0 or rng.random() < 0.2:
+            word = f"w{rng.randrange(10**6)}"
+            return f" {word} ", [word] if seen else []
+        tag = rng.choice(["div", "span", "b", "section", "ul", "blockquote", "details", "details open"])
+        kind = rng.choice(["", "", "", "n", "b", "n b", "h", "v", "h v", "p", "n b i", "hidden", "own"])
+        placed = kind not in ("n", "hidden")
+        seen = {"h": False, "v": True, "h v": True, "own": True}.get(kind, seen)
+        attrs = " hidden" if kind == "hidden" else " class='n h' style='display: inline; visibility:visible'" if kind == "own" else f" class='{kind}'" + " id=i" * (kind == "n b i") if kind else ""
+        parts = [made(depth - 1, seen) for _ in range(rng.randint(1, 3))]
+        if tag == "ul":
+            body = "".join(f"<li>{m}" for m, _ in parts)
+        elif tag.startswith("details"):
+            body = f"<summary>{parts[0][0]}</summary>" + "".join(m for m, _ in parts[1:])
+            parts = parts if tag == "details open" else parts[:1]
+        else:
+            body = "".join(m for m, _ in parts)
+        return f"<{tag}{attrs}>{body}</{tag.split()[0]}>", [w for _, own in parts for w in own] if placed else []
+
+    for _ in range(400):
+        markup, words = made(5, True)
+        assert re.findall(r"w[0-9]+", html.render(style + markup)) == words
+    number = 0
+    for _ in range(100):  # tables on a grid, with cells that span rows and columns
+        height, width = rng.randint(1, 5), rng.randint(1, 5)
+        grid = [[None] * width for _ in range(height)]
+        rows = []
+        for y in range(height):
+            row = []
+            for x in range(width):
+                if grid[y][x] is None:
+                    down, right = rng.randint(1, min(2, height - y)), 1
+                    if x + 1 < width and grid[y][x + 1] is None and down == 1:
+                        right = rng.randint(1, 2)
+                    number += 1
+                    word = f"w{number:0{rng.randint(1, 8)}d}"
+                    for i in range(y, y + down):
+                        for j in range(x, x + right):
+                            grid[i][j] = ""
+                    grid[y][x] = word
+                    row.append(f"<td rowspan={down} colspan={right}>{word}")
+            rows.append("<tr>" + "".join(row))
+        lines = html.render("<table>" + "".join(rows) + "</table>").split("\n")
+        want = [[(x, w) for x, w in enumerate(r) if w] for r in grid]
+        begun = {}
+        for line, cells in zip(lines, [c for c in want if c], strict=True):
+            assert re.findall(r"w[0-9]+", line) == [w for _, w in cells]
+            for x, w in cells:
+                begun.setdefault(x, set()).add(re.search(rf"{w}\b", line).start())
+        alone = all("colspan=2" not in r for r in rows)
+        assert not alone or all(len(p) == 1 for p in begun.values())
+
+
 def test_html_table(spark):
-    got = html.extract(spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, "u", None)], "page_id long, url string, html string")).collect()
-    assert Counter(map(tuple, got)) == Counter([(1, "a"), (1, "a"), (None, "")])
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "x"), (1, "u", "<p>a</p>", "x"), (None, "u", None, "x")], "page_id long, url string, html string, text string")
+    assert Counter(map(tuple, html.extract(pages).collect())) == Counter([(1, "a"), (1, "a"), (None, "")])
+    assert html.extract(pages.limit(0)).count() == 0
 
 
 def test_preference_pairs(spark):
@@ -159,6 +237,41 @@ def test_preference_pairs(spark):
             assert [text[s.start : s.end] for s in spans] == [f"{t or ''}<|im_end|>" for role, t in turns if role == "assistant"]
 
 
+def test_pairs_of_large_ids(spark):
+    rows = [(2**60 + i, 0, "user", f"t{i}", "x") for i in range(6)] + [(-3, 0, "user", "a", "x"), (-4, 0, "user", "b", "x"), (None, 0, "user", "c", "x"), (8, 0, "user", "long " * 50000, "x")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, prompt string")
+    got = {r._pair: r for r in chat.preference_pairs(chat.adjacent_pairs(table)).collect()}
+    assert sorted(got) == [-2, 4, 2**59, 2**59 + 1, 2**59 + 2]
+    assert ("b" in got[-2].chosen, "a" in got[-2].rejected, "t0" in got[2**59].chosen, "t5" in got[2**59 + 2].rejected) == (True,) * 4
+    assert len(got[4].chosen) > 250000 and got[4].rejected == "" and chat.preference_pairs(chat.adjacent_pairs(table.limit(0))).count() == 0
+
+
+def test_a_host_of_many_labels(spark):
+    host = "a." * 100_000 + "example.org"
+    pages = spark.createDataFrame([(i, f"https://{host}/es/{i}") for i in range(3)] + [(9, "https://" + "x" * 10**6 + ".com/de/" + "y" * 10**6)], "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, url_filter.RULES)).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("example.org/es/", "block"), 2: ("example.org/es/", "block"), 9: ("com/de/", "block")} and time.time() - began < 20
+
+
+def test_words_of_one_structure_are_not_one_word(spark):
+    """Words on which polynomials modulo 2**64 agree, and long words that differ in a letter."""
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    filler = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{morse} {filler}", f"{other} {filler}", f"{'x' * 300}y {filler}", f"{'x' * 300}z {filler}", f"{'x' * 8} {filler}", f"{'x' * 9} {filler}", f"{'x' * 8}\0 {filler}", f"{morse} {filler}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.substring_dedup(docs).collect()} == {**dict.fromkeys(range(7), 0), 7: 13}
+
+
+def test_substrings_of_a_long_text(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(400_000)]  # 3 MB, several parts
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(["a", *words[300_000:300_020], "b"]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept[:5]) for r in substring.substring_dedup(docs).collect()}
+    assert got[1][:2] == (400_000, 0) and got[2] == (22, 20, "a b")
+
+
 def test_substrings(spark, odd_texts):
     docs = spark.createDataFrame(rows_of(odd_texts), DOCS)
     tokens = [(i, WORD.findall(t or "")) for i, t in odd_texts]
@@ -288,6 +401,22 @@ def test_neighbours(spark):
     assert few == {0: 1} and ann.search(table.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0, 1.0]), (20, [1.0, 0.0])]
+    got = Counter((r.query_id, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter({(20, 20, 0.0): 2, (20, 21, 1.0): 2})
+
+
+def test_scores_do_not_depend_on_the_way(spark):
+    x = np.random.default_rng(3).normal(size=(3000, 16))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(table).collect()
+    other = {(r.query_id, r.vec_id): r.score for r in ann.search(table.repartition(5)).collect()}
+    both = [r for r in got if (r.query_id, r.vec_id) in other]  # blocks, and so what is found, may differ
+    assert len(both) > 0.8 * len(got) and all(r.score == other[r.query_id, r.vec_id] for r in both)
+    assert all(r.score == np.cumsum(x[r.query_id] * x[r.vec_id])[-1] for r in got[:500])
+
+
 def test_hilbert_neighbours_are_neighbours():
     for dims in (2, 3):
         grid = np.stack(np.meshgrid(*[np.arange(8)] * dims, indexing="ij"), -1).reshape(-1, dims)
