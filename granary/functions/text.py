@@ -67,7 +67,9 @@ def match_key(c: Column) -> Column:
 
 def bigrams(key: Column) -> Column:
     """The distinct pairs of neighbouring characters of a key; one character is a set of its own, none an empty set."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substring(key, i, F.lit(2)))
+    # by an array of characters, as a substring is found by counting from the text's start
+    chars = F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))
+    pairs = F.array_compact(F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b)))
     return F.when(F.length(key) >= 2, F.array_distinct(pairs)).when(F.length(key) == 1, F.array(key)).otherwise(F.array().cast("array<string>"))
 
 

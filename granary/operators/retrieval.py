@@ -22,6 +22,8 @@ ORIGIN_HIT, ORIGIN_HINT = "faiss", "intent_hint_supplement"
 #: Queries that are sent to all executors at once, as one matrix: 4,096 of 1,024 dimensions are 32 MB. More are taken in several passes.
 QUERY_BLOCK = 4096
 DIGITS = 6
+#: Bytes of phrases that are searched for at once, and query terms that are broadcast at most.
+PHRASE_BYTES, BROADCAST_TERMS = 8 << 20, 200_000
 
 
 def document_text(category: Column, intent: Column, question: Column, answer: Column) -> Column:
@@ -118,21 +120,69 @@ def toy_topk(queries: DataFrame, kb: DataFrame, limit: int = LIMIT, dimensions=f
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))).filter(F.col("rank") <= limit)
 
 
+def containing(rows: DataFrame, phrases: DataFrame, body: str, id_col: str, block: int = PHRASE_BYTES) -> DataFrame:
+    """rows without body, with the id of each phrase (id_col, phrase) that their body contains; exact, with no pair compared.
+
+    Phrases go to the executors in blocks of about `block` bytes, dealt by hash, as one automaton each: a body is read
+    once for all phrases of a block, and nothing is shuffled. Null bodies and phrases contain nothing; an empty phrase is
+    contained in every body.
+    """
+    spark, names = rows.sparkSession, [c for c in rows.columns if c != body]
+    known = phrases.filter("phrase is not null").select(F.col(id_col).alias("_phrase_id"), "phrase")
+    total = known.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
+    blocks, found = max(1, -(-total // block)), None
+    kind = known.schema["_phrase_id"].dataType.simpleString()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != body) + f", `{id_col}` {kind}"
+    for k in range(blocks):
+        some = known.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k) if blocks > 1 else known
+        table = some.toArrow()
+        shared = spark.sparkContext.broadcast((table.column("phrase").to_pylist(), table.column("_phrase_id").to_pylist()))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            ids: dict[str, list] = {}
+            for phrase, i in zip(*shared.value, strict=True):
+                ids.setdefault(phrase, []).append(i)
+            automaton = ahocorasick.Automaton()
+            for phrase in ids:
+                if phrase:
+                    automaton.add_word(phrase, phrase)
+            automaton.make_automaton()
+            always, search = ids.get("", []), len(automaton) > 0
+            for batch in batches:
+                at, which = [], []
+                for r, text_ in enumerate(batch.column(body)):
+                    if text_.is_valid:
+                        hits = {p for _, p in automaton.iter(text_.as_py())} if search else set()
+                        own = [*always, *[i for p in hits for i in ids[p]]]
+                        at += [r] * len(own)
+                        which += own
+                part = batch.select(names).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(which, table.schema.field("_phrase_id").type)], [*names, id_col])
+
+        part = rows.select(*names, body).mapInArrow(run, schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 def keyword_scores(queries: DataFrame, kb: DataFrame, weights=fixed.FIELD_WEIGHTS) -> DataFrame:
     """(query_id, pos, score, matched_term_count, details) of the pairs that score above 0.
 
     Points are the terms that query and field share times the field's weight, and the weight and two more where a field
-    contains the whole query. Queries and rows meet by equal terms; only the test for the whole query, which no key can
-    find, runs over all rows, as one pass with the queries sent to the executors.
+    contains the whole query. Queries and rows meet by equal terms: the queries' terms are broadcast if they are few,
+    which a count checks, else both sides are shuffled. Fields that contain a whole query are found by `containing`.
     """
     fields = [f for f in weights if f in kb.columns]
     rows = kb.select("pos", *[F.lower(text.text(f)).alias(f) for f in fields])
     asked = queries.select("query_id", text.text("query").alias("query")).withColumn("terms", text.terms(F.col("query")))
     parts = rows.select("pos", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(weights[f]).alias("weight"), F.col(f).alias("body")) for f in fields])).alias("x")).select("pos", "x.*").filter("body <> ''")
     words = parts.select("pos", "field", "weight", F.explode(text.terms(F.col("body"))).alias("term"))
-    by_term = asked.select("query_id", F.explode("terms").alias("term")).join(words, "term").groupBy("query_id", "pos", "field", "weight").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    wanted = asked.select("query_id", F.explode("terms").alias("term"))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    by_term = words.join(wanted, "term").groupBy("query_id", "pos", "field", "weight").agg(F.sort_array(F.collect_list("term")).alias("terms"))
     matched = by_term.select("query_id", "pos", "field", F.lit("matched_terms").alias("reason"), "terms", (F.size("terms") * F.col("weight")).alias("points"))
-    whole = parts.join(F.broadcast(asked.select("query_id", "query")), F.col("body").contains(F.lower("query")))
+    whole = containing(parts, asked.select("query_id", F.lower("query").alias("phrase")), "body", "query_id").join(asked.select("query_id", "query"), "query_id")
     whole = whole.select("query_id", "pos", "field", F.lit("full_query_match").alias("reason"), F.array("query").alias("terms"), (F.col("weight") + 2).alias("points"))
     detail = F.struct("field", "reason", "terms", "points")
     count = F.sum(F.when(F.col("reason") == "matched_terms", F.size("terms")).otherwise(0))
@@ -188,12 +238,15 @@ def raw_candidates(hits: DataFrame, queries: DataFrame, kb: DataFrame, min_score
 def hint_supplements(candidates: DataFrame, queries: DataFrame, kb: DataFrame, limit: int = SUPPLEMENTS) -> DataFrame:
     """The first rows, in the order of the base, of the intent that a query hints at, whose questions the query has not got yet; one for each question.
 
-    queries: query_id, query, intent_hint. The rows of an intent are cut to the first of each question, and those a
-    query takes are cut to the limit before the shuffle.
+    queries: query_id, query, intent_hint. The rows of an intent are cut to the first of each question, and of those to
+    as many as a query can look at: its limit and the questions that it has. So a query meets a bounded part of its
+    intent, and the result is the same.
     """
+    most = limit + (candidates.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
     asked = queries.filter("intent_hint <> ''").select("query_id", text.text("query").alias("query"), F.col("intent_hint").alias("intent"))
     base = kb.select("pos", *[text.text(c).alias(c) for c in ("question", "answer", "category", "intent")])
-    base = base.withColumn("_n", F.row_number().over(Window.partitionBy("intent", "question").orderBy("pos"))).filter("_n = 1").drop("_n")
+    base = base.withColumn("_n", F.row_number().over(Window.partitionBy("intent", "question").orderBy("pos"))).filter("_n = 1")
+    base = base.withColumn("_n", F.row_number().over(Window.partitionBy("intent").orderBy("pos"))).filter(F.col("_n") <= most).drop("_n")
     new = asked.join(base, "intent").join(candidates.select("query_id", "question").distinct(), ["query_id", "question"], "left_anti")
     new = new.withColumn("hit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).filter(F.col("hit_rank") <= limit)
     return new.withColumns({"vector_score": F.lit(0.0), "keyword_bonus": F.lit(0.0), "direction_penalty": F.lit(0.0), "score": F.lit(SUPPLEMENT_SCORE), "retrieval_origin": F.lit(ORIGIN_HINT)})

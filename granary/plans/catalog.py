@@ -1,8 +1,8 @@
 """Every query on the driver's tables by name, with its SQL.
 
 The knowledge base is documents joined to embeddings by id: pos and question key are the id, answer the text, category
-the source, intent the label. Queries are its rows with id % 25 = 7, as the feature asks for a stated query set; all
-rows are searched.
+the source, intent the label. The base holds documents that have an embedding. Searches take as queries, whole, every
+row whose id is divisible by 20, a stated query set; all rows are searched.
 """
 
 from __future__ import annotations
@@ -46,12 +46,12 @@ def kb_view(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked(kb: DataFrame) -> DataFrame:
-    return kb.filter(F.col("pos") % 25 == 7).select(F.col("pos").alias("query_id"), F.substring("answer", 1, 200).alias("query"), F.col("embedding").alias("q_embedding"))
+    return kb.filter(F.col("pos") % 20 == 0).select(F.col("pos").alias("query_id"), F.col("answer").alias("query"), F.col("embedding").alias("q_embedding"))
 
 
 KB_SQL = """
 kb AS (SELECT d.doc_id AS pos, d.text AS answer, d.source AS category, e.label::VARCHAR AS intent, 'q' || d.doc_id AS question, e.embedding::DOUBLE[] AS v FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id),
-q AS (SELECT pos AS query_id, substr(answer, 1, 200) AS query, v AS qv FROM kb WHERE pos % 25 = 7),
+q AS (SELECT pos AS query_id, answer AS query, v AS qv FROM kb WHERE pos % 20 = 0),
 pairs AS (SELECT query_id, query, kb.*, round(list_cosine_similarity(qv, v), 6) + 0.0 AS vector_score FROM q JOIN kb ON kb.pos <> q.query_id),
 hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vector_score DESC, pos) AS hit_rank FROM pairs) WHERE hit_rank <= 20)
 """
@@ -182,20 +182,20 @@ def context_items(spark: SparkSession, sf: str) -> DataFrame:
     return context.context_items(rows).select("query_id", "place", "pos", "intent", "role", "evidence_strength", "evidence_summary")
 
 
-#: The greedy walk is over a bounded group: the documents under 600 characters of a language in one block of 500 ids.
+#: The greedy walk is over the candidates of a query, a group that the search bounds.
 KEY_SQL = "regexp_replace(lower({0}), '[\\s!\"#$%&''()*+,\\-./:;<=>?@\\[\\\\\\]^_`{{|}}~，。！？；：、（）《》“”‘’]', '', 'g')"
 
 
-@query(f"""WITH a AS (SELECT doc_id, lang, doc_id // 500 AS block, text AS answer, {KEY_SQL.format('text')} AS k FROM documents WHERE n_chars < 600),
-u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, block, answer ORDER BY doc_id) AS n FROM a) WHERE n = 1),
+@query(f"""WITH {RERANK_SQL}, a AS (SELECT query_id, pos, rank, answer, {KEY_SQL.format('answer')} AS k FROM rk WHERE w = 0.01),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, answer ORDER BY rank) AS n FROM a) WHERE n = 1),
 g AS (SELECT *, CASE WHEN length(k) >= 2 THEN list_distinct(list_transform(range(1, length(k)), lambda i: substr(k, i::INT, 2))) WHEN length(k) = 1 THEN [k] ELSE []::VARCHAR[] END AS b FROM u),
-f AS (SELECT lang, block, list_reduce(list([{{'i': doc_id, 'k': k, 'b': b}}] ORDER BY doc_id), lambda x, y: CASE WHEN len(list_filter(x, lambda z: z.k <> '' AND y[1].k <> '' AND
+f AS (SELECT query_id, list_reduce(list([{{'i': pos, 'k': k, 'b': b}}] ORDER BY rank), lambda x, y: CASE WHEN len(list_filter(x, lambda z: z.k <> '' AND y[1].k <> '' AND
  CASE WHEN contains(z.k, y[1].k) OR contains(y[1].k, z.k) THEN least(length(z.k), length(y[1].k)) / greatest(length(z.k), length(y[1].k)) >= 0.6
- ELSE len(list_intersect(z.b, y[1].b)) / greatest(1, len(z.b) + len(y[1].b) - len(list_intersect(z.b, y[1].b))) >= 0.72 END)) > 0 THEN x ELSE x || y END) AS l FROM g GROUP BY lang, block)
-SELECT lang, block, unnest(list_transform(l, lambda x: x.i)) AS doc_id FROM f""")
+ ELSE len(list_intersect(z.b, y[1].b)) / greatest(1, len(z.b) + len(y[1].b) - len(list_intersect(z.b, y[1].b))) >= 0.72 END)) > 0 THEN x ELSE x || y END) AS l FROM g GROUP BY query_id)
+SELECT query_id, unnest(list_transform(l, lambda x: x.i)) AS pos, unnest(range(1, len(l) + 1)) AS rank FROM f""")
 def greedy_dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "documents").filter("n_chars < 600").select("doc_id", "lang", F.expr("doc_id div 500").alias("block"), F.col("text").alias("answer"))
-    return retrieval.greedy_dedupe(rows, ["lang", "block"], [F.col("doc_id")], None).select("lang", "block", "doc_id")
+    rows = _reranked(spark, sf).filter("w = 0.01").select("query_id", "pos", F.col("rank").alias("place"), "answer")
+    return retrieval.greedy_dedupe(rows, ["query_id"], [F.col("place")], None).select("query_id", "pos", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}', '[phone]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[mail]', 'g') AS t FROM documents),
@@ -227,11 +227,10 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a benchmark text. The benchmark is broadcast whole and each document is compared with all of its texts."""
-    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    d = _t(spark, sf, "documents").select("doc_id", "text")
-    # only for a small, fixed benchmark: nothing bounds the broadcast
-    return d.join(F.broadcast(b), F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    """Documents with a benchmark text, by one pass over each document for all texts (retrieval.containing)."""
+    b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    d = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
+    return retrieval.containing(d, b, "body", "item_id").select("item_id", "doc_id")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text AS reply FROM conversations WHERE role = 'assistant'),
