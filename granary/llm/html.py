@@ -58,6 +58,8 @@ class Node:
 def attributes(html: str, at: int) -> tuple[dict[str, str], int]:
     """The attributes of a tag from a place on, the first of a name, and where the tag ends; -1 if it does not."""
     found: dict[str, str] = {}
+    if html.startswith(">", at):
+        return found, at + 1
     while True:
         m = _ATTRIBUTE.match(html, at)
         at, name = m.end(), m[1].lower()
@@ -81,7 +83,7 @@ def attributes(html: str, at: int) -> tuple[dict[str, str], int]:
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
-    """("data", text, None), ("start", tag, attributes) and ("end", tag, None) in order. Each place is read a bounded number of times; whatever does not end goes on to the end of the page."""
+    """("data", text, None), ("start", tag, attributes), ("slash", tag, None) after a start tag that ends in one, and ("end", tag, None) in order. Each place is read a bounded number of times; whatever does not end goes on to the end of the page."""
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -100,6 +102,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, dict[str, str] | None]]:
             if at < 0:
                 return
             yield ("end", tag, None) if end_tag else ("start", tag, attrs)
+            if not end_tag and html[at - 2] == "/":
+                yield "slash", tag, None
             if not end_tag and (tag in RAW or tag in ESCAPED):
                 end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 text = html[at : end.start()] if end else html[at:]
@@ -138,6 +142,9 @@ class Tree:
                 self._start(value, attrs)
             elif kind == "end":
                 self._end(value)
+            elif kind == "slash":  # means nothing but within svg and math
+                if self.open[-1].tag == value and value not in VOID and (self.places.get("svg") or self.places.get("math")):
+                    self._cut(len(self.open) - 1)
             elif self.open[-1].tag == "style":
                 self.styles.append(value)
             else:
@@ -164,18 +171,18 @@ class Tree:
             self._cut(at)
 
     def _start(self, tag: str, attrs: dict[str, str]) -> None:
-        body = self._last(_BODY)
-        if tag == "html" or (tag == "body" and body):
+        places, block = self.places, tag in BLOCK
+        if tag == "html" or (tag == "body" and places.get("body")):
             for k, v in attrs.items():
-                self.open[body if tag == "body" else 0].attrs.setdefault(k, v)
+                self.open[places["body"][-1] if tag == "body" else 0].attrs.setdefault(k, v)
             return
-        if tag == "body" or (tag in BLOCK and tag not in HIDDEN):
+        if block and places.get("head"):
             self._close(_HEAD, _NONE)
-        if tag in PARTS and not self.places.get("table"):
+        if tag in PARTS and not places.get("table"):
             return  # parts of a table mean nothing outside one
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        if tag in BLOCK and tag not in ("option", "optgroup"):
+        if block and places.get("p") and tag not in ("option", "optgroup"):
             self._close(_P, _P_STOP)
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
@@ -188,7 +195,8 @@ class Tree:
         if tag == "br":
             self._start("br", {})
             return
-        at = self._last(frozenset([tag]))
+        own = self.places.get(tag)
+        at = own[-1] if own else 0
         if at and (tag in _TABLE or at > self._last(SCOPE)):
             self._cut(at)
         elif tag == "p":
@@ -196,7 +204,7 @@ class Tree:
             self._cut(len(self.open) - 1)
 
 
-_NONE, _BODY, _HEAD, _P = frozenset(), frozenset(["body"]), frozenset(["head"]), frozenset(["p"])
+_NONE, _HEAD, _P = frozenset(), frozenset(["head"]), frozenset(["p"])
 _P_STOP, _TABLE = SCOPE | frozenset(["button"]), frozenset("table tr tbody thead tfoot td th".split())
 
 
@@ -280,6 +288,8 @@ class Rules:
         a = node.attrs
         if node.tag in HIDDEN or node.tag == "input":
             return False, False
+        if not a and not self.by_key:
+            return node.tag != "dialog", seen
         best: dict[str, tuple] = {}
         for k, (name, value, important) in enumerate(_SHOWN.findall(a["style"]) if "style" in a else ()):
             rank = (bool(important), True, 0, 0, False, 0, k)
@@ -329,6 +339,9 @@ def inside(node: Node, rules: Rules, seen: bool) -> list[tuple[Node | str, bool]
     return [(c, seen) for c in node.children]
 
 
+_OWN = frozenset("svg select details".split())
+
+
 class Lines:
     """Text of one flow: words are joined over inline elements, blocks make lines, spaced blocks an empty line.
 
@@ -505,7 +518,10 @@ def render(html: str | None) -> str:
             elif tag == "pre":
                 pre += 1
             stack.append((node, seen, False))
-            stack.extend((c, s, True) for c, s in reversed(inside(node, rules, seen)))
+            if tag in _OWN:
+                stack.extend([(c, s, True) for c, s in reversed(inside(node, rules, seen))])
+            else:
+                stack.extend([(c, seen, True) for c in reversed(node.children)])
             continue
         if tag in BLOCK:
             flow.end()
