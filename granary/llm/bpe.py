@@ -16,7 +16,7 @@ from granary.llm.common import small_batches
 #: A chunk ends at the first white space after a place where the rolling hash of WINDOW bytes has MASK's bits all zero: about every 512 bytes.
 WINDOW = 16
 MASK = 511
-#: Bytes of chunks, and words, that a worker keeps at most; when full, the older half goes.
+#: Bytes of chunks, and words, that a worker keeps at most; when full, it starts anew.
 CHUNK_BYTES = 48 << 20
 WORDS = 600_000
 #: Bytes of a text whose chunks are found at once.
@@ -202,8 +202,10 @@ def default_path() -> str:
 def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", full: bool = False, words: int = WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256, and with full ids (array<int>) and decoded.
 
-    A null text counts as empty: no ids. Texts of any length are taken whole. The vocabulary's path is a parameter; it
-    must be readable on every executor. Other columns are not read.
+    A null text counts as empty: no ids. Texts of any length are taken whole. Rows that repeat an id or a text each get
+    their own row, the text encoded once by a worker that still has its chunks; a null id is kept. An empty table gives
+    an empty result. The vocabulary's path is a parameter; it must be readable on every executor. Other columns are not
+    read, so their names do not matter.
     """
     at = path or default_path()
     kind = docs.schema[id_col].dataType.simpleString()

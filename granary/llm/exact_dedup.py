@@ -60,8 +60,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; empty texts equal each other. Of equal texts the row with the smallest id stays (a null
-    id comes first); of rows that repeat that id, one is marked kept. An empty table gives an empty result. Other
-    columns are not read.
+    id comes first); of rows that repeat that id, one is marked kept. Texts of any length are read whole. An empty table
+    gives an empty result. Other columns are not read, so their names do not matter.
     """
     keys = written(docs.select(F.col(id_col).alias("_id"), digest(text_col).alias("_sha")))
     n = keys.count()

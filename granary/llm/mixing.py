@@ -78,7 +78,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' rows and columns, each row as often as it is taken."""
+    """The mix itself: docs' rows and columns, whatever their names, each row as often as it is taken, by the rules of copies: whole texts of any length, rows with null ids, texts or sources among them."""
     found = copies(docs, keep=True, **options).filter("_copies > 0")
     return found.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 

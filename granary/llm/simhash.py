@@ -397,7 +397,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of at most 4 differing bits; with others, whose fingerprints no contract bounds, they are between sets of shingles
     with a Jaccard similarity of 0.8 or more. Null and empty texts have fingerprint zero, which links like any other,
     and are equal sets. Repeated ids and rows each get a row; a null id
-    joins in, and is a component's id only if all its ids are null. An empty table gives an empty result. Other columns are not read.
+    joins in, and is a component's id only if all its ids are null. Texts of any length are read whole, their shingles
+    counted in blocks. An empty table gives an empty result. Other columns are not read, so their names do not matter.
     """
     if words == WORDS:
         rows = written(fingerprints(docs, id_col, text_col, words))
