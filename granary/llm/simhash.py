@@ -20,6 +20,8 @@ SEED = 42
 ALIKE = (4, 5)
 #: Documents in which shingles are counted to put the common ones last, and the number of shingles kept of them.
 COUNTED, COMMON = 20_000, 1 << 20
+#: Ids that are broadcast at most, 16 MB of them; more are joined by a shuffle.
+BROADCAST_IDS = 1 << 20
 #: A fingerprint is two halves of 32 bits, a half is segments of equal width. The grid starts with the widest segments
 #: that leave few fingerprints to a cell; members of cells with over CROWDED of them go on to the next, narrower width.
 HALF, WIDTHS, CROWDED = 32, (4, 2, 1), 64
@@ -428,8 +430,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that repeat that id, the one with the smallest hash over all columns stays. Rows with a null id all stay.
     """
-    stay = near_groups(docs, id_col, text_col, words).filter(F.col(id_col) == F.col("component_id")).select(F.col("component_id").alias("_id")).distinct()
+    ids = near_groups(docs, id_col, text_col, words).filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"), F.bool_or(F.col(id_col) == F.col("component_id")).alias("_stays"))
+    # ids that go, and those that stay but repeat; all others pass straight through, so whole rows hardly move
+    odd = written(ids.filter("not _stays or _n > 1").select("_id", "_stays"))
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_IDS else odd
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"))
     first = Window.partitionBy("_id").orderBy(F.xxhash64("_row"))
-    kept = rows.join(stay, "_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return kept.select("_row.*").unionByName(rows.filter("_id is null").select("_row.*"))
+    again = rows.join(odd.filter("_stays"), "_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return rows.join(odd, "_id", "left_anti").select("_row.*").unionByName(again.select("_row.*"))
