@@ -63,6 +63,35 @@ def generator(load: Callable[[], Callable[[list[str]], list[str]]]):
     return generate
 
 
+def replies(load: Callable[[], Callable[[list[str]], list[str]]]):
+    """A column function prompt -> (reply, error) for chat.answers: what a model raises is the error of that prompt, with a null reply, and not the end of the job.
+
+    A batch that fails is tried again prompt by prompt, so that one prompt doesn't fail its neighbours.
+    """
+
+    @F.pandas_udf("reply string, error string")
+    def generate(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            run, broken = load(), None
+        except Exception as e:  # the model itself is missing: every reply fails, with the reason
+            run, broken = None, str(e)
+        for prompts in parts:
+            asked = prompts.tolist()
+            yield pd.DataFrame([(None, broken)] * len(asked) if run is None else _answered(run, asked), columns=["reply", "error"])
+
+    return generate
+
+
+def _answered(run: Callable[[list[str]], list[str]], prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    try:
+        found = list(run(prompts))
+        if len(found) != len(prompts):
+            raise ValueError("The number of replies must match the number of prompts.")
+        return [(r, "empty reply" if r is None else None) for r in found]
+    except Exception as e:  # whatever a provider raises is that prompt's failure
+        return [(None, str(e))] if len(prompts) == 1 else [_answered(run, [p])[0] for p in prompts]
+
+
 def provider(name: str, local=None, online=None):
     """The generator of a provider's name."""
     known = {"local": local, "online": online}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import text
+
 ITEMS = "id long, base_id string, version int, question string, answer string, category string, intent string, status string, review_note string, created_at timestamp, updated_at timestamp, reviewed_at timestamp"
 HISTORY = "id long, publish_id string, action string, status string, merged_count int, item_ids array<long>, backup_path string, knowledge_path string, index_path string, note string, created_at timestamp"
 FIELDS = ("question", "answer", "category", "intent")
@@ -17,6 +19,25 @@ PUBLISHED = {"source": "knowledge_ops", "dialogue_type": "single_turn", "quality
 RISK = "待确认"
 
 
+def categories(kb: DataFrame) -> DataFrame:
+    """(category, n) of the base; null counts as empty."""
+    return kb.groupBy(text.text("category").alias("category")).agg(F.count("*").alias("n"))
+
+
+def of_category(kb: DataFrame, category: str, limit: int = 10) -> DataFrame:
+    """The first rows of a category by pos."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is 1 to 100")
+    return kb.filter(F.col("category") == category).orderBy("pos").limit(limit)
+
+
+def containing(kb: DataFrame, keyword: str, limit: int = 10, fields: tuple[str, ...] = ("question", "answer")) -> DataFrame:
+    """The first rows by pos of which a field contains the keyword."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit is 1 to 100")
+    return kb.filter(F.exists(F.array(*fields), lambda c: F.coalesce(c.contains(keyword), F.lit(False)))).orderBy("pos").limit(limit)
+
+
 def next_versions(items: DataFrame, edits: DataFrame) -> DataFrame:
     """Items plus one draft for each edit (id, base_id or null for a new item, FIELDS, at): the next version of its base, 1 for a new one.
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions import providers, rules, text
+from granary.functions import providers, rules
 from granary.operators import context, feedback, knowledge, retrieval
 from granary.plans import chat
 from granary.sources import readers
@@ -48,10 +49,14 @@ class Service:
     # chat and retrieval
 
     def chat_prompt(self, queries: list[str], metadata: DataFrame | None = None) -> DataFrame:
-        """Answers with prompts, traces and diagnostics; each is kept as a session."""
+        """Answers with prompts, traces and diagnostics; each is kept as a session. Every query of a batch waits for the whole batch, so that time is its latency."""
+        started = time.perf_counter()
         rows = chat.answers(self.asked(queries), self.kb(), self.settings, self.generate, metadata).withColumn("request_id", F.expr("replace(uuid(), '-', '')")).cache()
+        rows.count()
+        latency = round((time.perf_counter() - started) * 1000, 2)
+        rows = rows.withColumn("trace", F.col("trace").withField("request_id", F.col("request_id")).withField("latency_ms", F.lit(latency)))
         at = F.lit(_now()).cast("timestamp")
-        self.put("sessions", feedback.upsert(self.table("sessions"), chat.session_rows(rows, F.col("request_id"), at)))
+        self.put("sessions", feedback.upsert(self.table("sessions"), chat.session_rows(rows, F.col("request_id"), at, latency)))
         return rows
 
     def retrieval_search(self, query: str, limit: int = 3, min_score: float | None = None) -> DataFrame:
@@ -78,18 +83,16 @@ class Service:
     # examples
 
     def categories(self) -> list[str]:
-        return [r.category for r in self.kb().select(text.text("category").alias("category")).distinct().orderBy("category").collect()]
+        return [r.category for r in knowledge.categories(self.kb()).orderBy("category").collect()]
 
     def examples_by_category(self, category: str, limit: int = 10) -> DataFrame:
-        if not 1 <= limit <= 100:
-            raise ValueError("limit is 1 to 100")
-        found = self.kb().filter(F.col("category") == category)
+        found = knowledge.of_category(self.kb(), category, limit)
         if found.isEmpty():
             raise KeyError(f"category not found: {category}")
-        return found.orderBy("pos").limit(limit)
+        return found
 
     def search_examples(self, keyword: str, limit: int = 10) -> DataFrame:
-        return self.kb().filter(F.col("question").contains(keyword) | F.col("answer").contains(keyword)).orderBy("pos").limit(limit)
+        return knowledge.containing(self.kb(), keyword, limit)
 
     # knowledge
 
@@ -121,11 +124,12 @@ class Service:
         return len(lines), "\n".join(lines)
 
     def publish_approved(self) -> str:
-        """Appends the approved items to the knowledge base, embeds them, and points to the new base; on a failure the old one stays. Gives the status."""
+        """Appends the approved items to the knowledge base, embeds them, and points to the new base; on any failure the old one is the current one again. Gives the status."""
         items, old, run = self.table("items"), self.kb(), f"pub_{datetime.now(timezone.utc):%Y%m%d%H%M%S}_{uuid.uuid4().hex[:8]}"
         ids = [r.id for r in items.filter("status = 'approved'").select("id").orderBy("id").collect()]
         if not ids:
             return self._record(run, "publish", "skipped", note="no approved knowledge")
+        backup = None
         try:
             backup = readers.swap(old, os.path.join(self._folder("kb")), f"backup_{run}")
             after, merged = knowledge.publish(items, old)
@@ -133,6 +137,8 @@ class Service:
             self.put("kb", new)
             self.put("items", after)
         except Exception as e:
+            if backup:
+                readers.point(self._folder("kb"), backup)
             self._record(run, "publish", "failed", note=str(e)[:500])
             raise
         return self._record(run, "publish", "succeeded", merged_count=len(ids), item_ids=ids, backup_path=backup)

@@ -158,11 +158,16 @@ def swap(rows: DataFrame, folder: str, version: str) -> str:
     """Writes a version of a table beside the others and points to it by one rename, so readers see the old or the new one whole."""
     target = os.path.join(folder, f"v_{version}")
     rows.write.mode("errorifexists").parquet(target)
+    point(folder, target)
+    return target
+
+
+def point(folder: str, target: str) -> None:
+    """Makes a version that swap() wrote the current one."""
     pointer = os.path.join(folder, "CURRENT")
     with open(pointer + ".new", "w", encoding="utf-8") as f:
         f.write(target)
     os.replace(pointer + ".new", pointer)
-    return target
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:

@@ -106,6 +106,26 @@ def test_chat_answers_are_one_row_each(spark):
     assert rows[1].trace.used_fallback_prompt and rows[1].confidence_score == 0.5 and rows[1].suggested_layer == "retrieval"
 
 
+def test_failures_of_stages_are_answered(spark):
+    from granary.functions.providers import replies
+    from granary.plans import chat
+
+    def run(prompts):
+        if any("zzz" in p for p in prompts):
+            raise RuntimeError("no model for this")
+        return ["ok"] * len(prompts)
+
+    def missing():
+        raise ValueError("no key")
+
+    queries = asked(spark, ["退款多久到账", "zzz", "发票怎么开"]).withColumn("q_embedding", F.when(F.col("query_id") < 2, F.col("q_embedding")))
+    rows = chat.answers(queries, kb(spark), generate=replies(lambda: run)).orderBy("query_id").collect()
+    assert [(r.trace.failure_stage, r.trace.degraded, r.confidence_score) for r in rows] == [("none", False, 0.95), ("generation", True, 0.2), ("retrieval", True, 0.5)]
+    assert rows[1].trace.fallback_reason == "generation_failed: no model for this" and rows[1].trace.answer_source == "fallback" and rows[2].trace.used_fallback_prompt and not rows[2].retrieved_items
+    rows = chat.answers(queries, kb(spark), generate=replies(missing)).collect()
+    assert {r.trace.fallback_reason for r in rows} == {"generation_failed: no key"} and len(rows) == 3
+
+
 def test_knowledge_versions(spark):
     at = F.lit("2024-01-01").cast("timestamp")
     items = spark.createDataFrame([], knowledge.ITEMS)
@@ -227,6 +247,20 @@ def test_service(spark, tmp_path):
     assert s.export_approved()[0] == 1 and s.publish_approved() == "succeeded" and s.search_examples("新问题").count() == 1
     assert s.retrieval_search("新问题", min_score=0.0).count() > 0 and s.rollback_latest() == "succeeded" and s.search_examples("新问题").count() == 0
     assert s.update_item(n, {"question": "q2"}) == 2 and [r.action for r in s.publish_history().collect()] == ["rollback", "publish", "publish"]
+    assert s.table("sessions").first().latency_ms > 0 and s.ops_metrics()["average_latency_ms"] > 0 and json.loads(s.table("sessions").first().trace_json)["request_id"] == rows[0].request_id
+    s.review_item(2, "approved", "ok")
+    put = s.put
+
+    def failing(name, rows):
+        if name == "items":
+            raise OSError("disk")
+        put(name, rows)
+
+    s.put = failing
+    with pytest.raises(OSError, match="disk"):
+        s.publish_approved()
+    s.put = put
+    assert s.search_examples("q2").count() == 0 and s.kb().count() == len(KB) and s.publish_history().first().status == "failed" and s.items(status="approved")[0] >= 1
     f = s.add_feedback({"query": "q", "reply": "r", "helpful": False, "reason": "bad", "trace_json": '{"top1_intent": "i"}'})
     assert s.recent_feedback(helpful=False).count() == 1 and s.export_eval_case(f)["expected_intent"] == "i" and s.table("feedback").first().exported
     assert s.prompt_preview("退款多久到账").first().final_prompt.endswith("最终客服回复：") and s.intent_hint("优惠券不能用") == "优惠券不可用"
