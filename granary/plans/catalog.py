@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions import text
+from granary.functions import rules, text
 from granary.operators import context, feedback, grounding, knowledge, retrieval, training
 
 MIN_SCORE, LIMIT = 0.20, 3
@@ -367,19 +367,26 @@ def confusion_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return training.confusion_pairs(rows, [("src0", "src1"), ("src2", "src19"), ("src3", "nosuch")]).select("pair", "left_count", "right_count")
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents as a base without vectors."""
+    return _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("answer"), F.col("source").alias("category"), "lang")
+
+
 @query("SELECT source AS category, count(*) AS n FROM documents GROUP BY source")
 def category_list(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n"))
+    return knowledge.categories(_documents(spark, sf))
 
 
 @query("SELECT doc_id, md5(text) AS m FROM documents WHERE source = 'src3' ORDER BY doc_id LIMIT 10")
 def by_category(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").filter("source = 'src3'").orderBy("doc_id").limit(10).select("doc_id", F.md5(F.col("text").cast("binary")).alias("m"))
+    return knowledge.of_category(_documents(spark, sf), "src3").select(F.col("pos").alias("doc_id"), F.md5(F.col("answer").cast("binary")).alias("m"))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE contains(text, 'ightly') OR contains(source, 'src1') ORDER BY doc_id LIMIT 10")
 def search_examples(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").filter(F.col("text").contains("ightly") | F.col("source").contains("src1")).orderBy("doc_id").limit(10).select("doc_id", "lang")
+    docs = _documents(spark, sf)
+    found = knowledge.containing(docs, "ightly", fields=("answer",)).unionByName(knowledge.containing(docs, "src1", fields=("category",)))
+    return found.select(F.col("pos").alias("doc_id"), "lang").distinct().orderBy("doc_id").limit(10)
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, '“') THEN 5 ELSE 3 END AS turns, md5(text) AS answer FROM documents")
@@ -399,6 +406,97 @@ def dataset_profile(spark: SparkSession, sf: str) -> DataFrame:
     return training.profile(_t(spark, sf, "documents").select(F.col("source").alias("category"), F.col("lang").alias("dialogue_type"), F.when(F.col("n_chars") > 1000, "high").otherwise("medium").alias("quality")))
 
 
+def _hint_queries() -> list[str]:
+    """Queries that meet each alternative of each hint by its first and by its last terms, and those cut short by a clause."""
+    found = []
+    for rule, _ in rules.INTENT_HINTS:
+        for way in rule.split(" OR "):
+            terms = [c[2:].split("|") for c in way.split(" & ") if c.startswith("q:")]
+            found += ["，".join(t[0] for t in terms), "，".join(t[-1] for t in terms), "，".join(t[0] for t in terms[1:])]
+    return found
+
+
+def _rule_sql(rule: str, columns: dict[str, str]) -> str:
+    """A condition of the rules in SQL."""
+    ways = []
+    for way in rule.split(" OR "):
+        clauses = []
+        for c in way.split(" & "):
+            bare = c.strip().removeprefix("!")
+            terms = ["'" + t.replace("'", "''") + "'" for t in bare[2:].split("|")]
+            column = columns[bare[0]]
+            any_of = f"{column} IN ({', '.join(terms)})" if bare[1] == "=" else "(" + " OR ".join(f"contains({column}, {t})" for t in terms) + ")"
+            clauses.append(f"NOT {any_of}" if c.strip().startswith("!") else any_of)
+        ways.append("(" + " AND ".join(clauses) + ")")
+    return " OR ".join(ways)
+
+
+HINT_ROWS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_hint_queries()))
+HINT_CASE = "CASE " + " ".join(f"WHEN {_rule_sql(r, {'q': 'query'})} THEN '{i}'" for r, i in rules.INTENT_HINTS) + " ELSE '' END"
+
+
+@query(f"WITH q(query_id, query) AS (VALUES {HINT_ROWS}) SELECT query_id, {HINT_CASE} AS intent FROM q")
+def intent_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """The hinted intents of constant queries: the test tables' words are invented, so no rule applies to them."""
+    rows = spark.createDataFrame(list(enumerate(_hint_queries())), "query_id int, query string")
+    return rows.select("query_id", rules.intent_hint(F.col("query")).alias("intent"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS evidence FROM conversations),
+k AS (SELECT conv_id, turn, text AS reply, list_filter({list(WORDS)}, lambda w: contains(coalesce(evidence, ''), w)) AS expected FROM t WHERE role = 'assistant'),
+h AS (SELECT conv_id, turn, CASE WHEN len(expected) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(expected, lambda w: contains(coalesce(reply, ''), w)))::DOUBLE / len(expected) END AS hit_rate FROM k)
+SELECT conv_id, turn, round(hit_rate, 6) AS hit_rate, CASE WHEN hit_rate = 1 THEN 'OK' WHEN hit_rate >= 0.5 THEN '部分命中' WHEN hit_rate > 0 THEN '弱命中' ELSE '未命中' END AS band FROM h""")
+def hit_rates(spark: SparkSession, sf: str) -> DataFrame:
+    from granary.plans import evaluation
+
+    rows = evaluation.hit_rates(_turns(spark, sf), "reply", "expected")
+    return rows.select("conv_id", "turn", F.round("hit_rate", 6).alias("hit_rate"), "band")
+
+
+@query("""WITH old AS (SELECT o_orderkey::VARCHAR AS request_id, o_orderstatus AS query FROM orders WHERE o_orderkey % 3 > 0),
+new AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE o_orderkey::VARCHAR END AS request_id, o_orderpriority AS query FROM orders WHERE o_orderkey % 2 = 0), real AS (SELECT * FROM new WHERE trim(request_id) <> '')
+SELECT * FROM real UNION ALL SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM real WHERE real.request_id = old.request_id)""")
+def session_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions with new ones in place of those of their ids; blank ids are left out."""
+    o = _t(spark, sf, "orders").withColumn("key", F.col("o_orderkey").cast("string"))
+    old = o.filter("o_orderkey % 3 > 0").select(F.col("key").alias("request_id"), F.col("o_orderstatus").alias("query"), F.col("o_orderdate").alias("created_at"))
+    new = o.filter("o_orderkey % 2 = 0").select(F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise(F.col("key")).alias("request_id"), F.col("o_orderpriority").alias("query"), F.col("o_orderdate").alias("created_at"))
+    return feedback.upsert(old, new).select("request_id", "query")
+
+
+@query("""SELECT 'feedback_' || doc_id AS id, 'feedback_bad_case' AS scenario, 'feedback' AS case_type, CASE WHEN doc_id % 3 = 0 THEN '待人工确认' ELSE 'i' || quality END AS expected_intent,
+ 'reason=' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'r' || toxic END || '; expected_reply=e' || doc_id AS notes FROM labels""")
+def feedback_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Feedback as drafts of evaluation cases, its intent read from the trace."""
+    i = F.col("doc_id")
+    trace = F.to_json(F.struct(F.when(i % 3 > 0, F.concat(F.lit("i"), "quality")).alias("top1_intent")))
+    rows = _t(spark, sf, "labels").select(i.alias("id"), F.lit("").alias("request_id"), F.lit("q").alias("query"), F.lit("").alias("reply"), F.lit(False).alias("helpful"), F.when(i % 5 > 0, F.concat(F.lit("r"), "toxic")).alias("reason"), F.concat(F.lit("e"), i).alias("expected_reply"), trace.alias("trace_json"), F.lit(0).alias("created_at"))
+    return feedback.eval_cases(feedback.feedback_rows(rows)).select("id", "scenario", "case_type", "expected_intent", "notes")
+
+
+def _calibration_rows() -> list[tuple[str, str, str, str]]:
+    """Query, intent, documents and reply that meet each alternative of each calibration by its first terms, and the same with an empty reply."""
+    found = []
+    for _, _, rule in rules.CALIBRATION:
+        for way in rule.split(" OR "):
+            own = {f: "，".join(c.strip()[2:].split("|")[0] for c in way.split(" & ") if c.strip()[0] == f) for f in "qidr"}
+            found += [(own["q"], own["i"], own["d"], own["r"]), (own["q"], own["i"], own["d"], "")]
+    return found
+
+
+CALIBRATION_ROWS = ", ".join(f"({i}, '{q}', '{n}', '{d}', '{r}')" for i, (q, n, d, r) in enumerate(_calibration_rows()))
+CALIBRATION_LIST = ", ".join("CASE WHEN " + _rule_sql(r, {"q": "q", "i": "i", "d": "d", "r": "r"}) + f" THEN '{n}' END" for n, _, r in rules.CALIBRATION)
+
+
+@query(f"WITH c(id, q, i, d, r) AS (VALUES {CALIBRATION_ROWS}) SELECT id, array_to_string(list_filter([{CALIBRATION_LIST}], lambda x: x IS NOT NULL), ',') AS rules FROM c")
+def calibration_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The calibrations whose conditions constant cases meet, in order."""
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(_calibration_rows())], "id int, q string, i string, d string, r string")
+    fields = {f: F.col(f) for f in "qidr"}
+    met = [F.when(rules.condition(rule, fields), name) for name, _, rule in rules.CALIBRATION]
+    return rows.select("id", F.array_join(F.array_compact(F.array(*met)), ",").alias("rules"))
+
+
 @query()
 def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The whole answer to every query: one row each."""
