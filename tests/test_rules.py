@@ -7,16 +7,13 @@ from granary.functions import rules, text
 from granary.operators import compose, grounding
 
 HINTS = [
-    ("我都没吃上凭什么还扣我钱", "退款金额咨询"), ("别让我点联系商家了，你能直接给我店家手机号吗", "商家电话咨询"), ("商家能看到我的真实手机号吗", "隐私保护咨询"), ("平台客服可以看我的手机号吗", "隐私保护咨询"),
-    ("我不要在线联系，你直接帮我打给店家可以吗", "联系商家咨询"), ("骑手说到了但定位还在很远，我该怎么办", "配送异常追问"), ("骑手联系不上怎么办", "配送异常追问"), ("配送员电话打不通，我应该继续等还是反馈异常", "配送异常追问"),
-    ("优惠券不能用怎么办", "优惠券不可用"), ("红包结算时用不了", "优惠券不可用"), ("店家已经开始做了我不想要了还能退全款吗", "接单后取消"), ("商家一直不接单我想取消订单", "取消订单"), ("显示送到了但我真没拿到", "未收到餐"),
-    ("给我送错了，能处理不", "错送餐品"), ("外卖超时我取消了，重点是钱什么时候退回来", "退款进度"), ("没收到餐还扣了配送费，我不是问骑手在哪，我想问扣费能不能核实", "退款金额咨询"),
-    ("我地址写成公司了但人已经回家，骑手好像快到公司地址了，我现在还能不能让他改送到家", "地址修改追问"), ("超时这么久你能不能保证给我赔钱", "延误补偿"), ("少送了一份你直接让商家马上补送可以吗", "少送漏送"),
-    ("商家取消了订单，你直接承诺我全额退款可以吗", "退款进度"), ("没收到餐你直接说一定给我退全款吧", "未收到餐"), ("你别让我自己联系了，直接私下打给商家让他退款", "联系商家咨询"), ("我没拍照也没包装了，你就说一定能赔可以吗", "食品安全投诉"),
-    ("红包咋突然不能抵了", "优惠券不可用"), ("骑首让我加微信转运费，行不", "私下收费风险"), ("你们必须现在就保证把钱退我，不然我投诉", "退款进度"), ("饭都洒烂了，你别让我举证，直接赔我", "餐品撒漏售后"), ("送错餐还少送饮料，我应该选哪个售后", "错送餐品"),
-    ("店家接单了但我还没吃上，你帮我强制全额退吧", "接单后取消"), ("订单显示送达，可我门口没有，骑手电话也打不通", "未收到餐"), ("预计时间一直往后跳，骑手也不接电话，我还要等吗", "配送异常追问"), ("我付款失败又被扣了一次，这种钱去哪看进度", "退款失败"),
-    ("商家一直不回复，我可以让平台介入催一下吗", "联系商家咨询"), ("骑手让我转钱又要验证码，说能优先处理退款", "验证码诈骗提醒"), ("商家半小时没接单，我现在取消会不会马上退钱", "取消订单"), ("汤全漏了咋弄", "餐品撒漏售后"), ("优惠券没用上，满减也没减，我该先看哪个规则", "优惠券不可用"),
-    ("你好", ""),
+    ("外卖员把别家的饭送错到我这里", "错送餐品"), ("有人打电话要我报校验码", "验证码诈骗提醒"), ("店家到现在没接单，那我不要了，可以取消吗", "取消订单"), ("配送员叫我微信上另付路费", "私下收费风险"),
+    ("申请的退款现在走到哪一步", "退款进度"), ("粥洒了一袋子，怎么申请售后", "餐品撒漏售后"), ("页面写已送达，我下楼没拿到", "未收到餐"), ("送达时间越来越晚是怎么回事", "配送异常追问"), ("支付失败却扣款，钱去哪了", "退款失败"),
+    ("给店家留言一直没回复，平台能帮忙催一下吗", "联系商家咨询"), ("下单用了旧地址，骑手快到了能改送新家吗", "地址修改追问"), ("晚了四十分钟，有补偿吗", "延误补偿"), ("两杯奶茶缺少一杯", "少送漏送"),
+    ("吃坏了但没留证据，还能赔偿吗", "食品安全投诉"), ("那个配送员态度不好", "骑手态度投诉"), ("没收到餐，可以全额退款吗", "未收到餐"), ("店家取消的单子什么时候退回", "退款进度"), ("商家刚接单，能不能取消", "接单后取消"),
+    ("你保证这单不会扣钱", "退款金额咨询"), ("骑手打不通", "配送异常追问"), ("满减券今天用不了", "优惠券不可用"), ("我想问少退的那部分", "退款金额咨询"), ("钱多久退，我就想问这个", "退款进度"), ("骑手知道我的手机号吗", "隐私保护咨询"),
+    ("平台客服会查手机号吗", "隐私保护咨询"), ("客服联系商家行吗", "联系商家咨询"), ("骑手显示到了可定位不对", "配送异常追问"), ("商家电话是多少", "商家电话咨询"), ("没用餐怎么还扣了钱", "退款金额咨询"),
+    ("送错了还少送一份", "错送餐品"), ("缺少发票", ""), ("今天天气不错", ""),
 ]
 
 
