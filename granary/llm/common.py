@@ -17,14 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT = 1000
 
 _paths: list[tuple[SparkSession, str]] = []
+#: Folders of applications on one machine that name none, by their ids.
+_folders: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a new one where it is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a new one, on one machine only, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        name = spark.sparkContext.applicationId
+        if name not in _folders:
+            _folders[name] = "file://" + tempfile.mkdtemp(prefix="granary-")
+        found = _folders[name]
     return found.rstrip("/")
 
 
@@ -34,8 +40,8 @@ def _drop_scratch() -> None:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the session may be gone by now
-            return
+        except Exception:  # the session of this one may be gone by now
+            continue
 
 
 def forget(table: DataFrame) -> None:
@@ -104,7 +110,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(lookup(both.filter("b > a").select("a", "b"), least, ["a"], "n", 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = lookup(large, least, ["a"], "n", max(1, large.count()))
-        now = written(small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct())
+        old, now = now, written(small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct())
+        for table in (both, large, old):
+            forget(table)
         before, state = state, _state(now)
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
