@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
 from datetime import datetime, timezone
@@ -32,16 +31,15 @@ class Service:
     # tables
 
     def table(self, name: str) -> DataFrame:
-        path = os.path.join(self.folder, name)
-        return readers.current(self.spark, path) if os.path.exists(os.path.join(path, "CURRENT")) else self.spark.createDataFrame([], self.SCHEMAS[name])
+        path = f"{self.folder}/{name}"
+        return readers.current(self.spark, path) if readers.has_version(self.spark, path) else self.spark.createDataFrame([], self.SCHEMAS[name])
 
     def put(self, name: str, rows: DataFrame) -> None:
-        os.makedirs(os.path.join(self.folder, name), exist_ok=True)
-        readers.swap(rows, os.path.join(self.folder, name), uuid.uuid4().hex)
+        readers.swap(rows, f"{self.folder}/{name}", uuid.uuid4().hex)
 
     def kb(self) -> DataFrame:
-        path = os.path.join(self.folder, "kb")
-        return readers.current(self.spark, path) if os.path.exists(os.path.join(path, "CURRENT")) else self.base
+        path = f"{self.folder}/kb"
+        return readers.current(self.spark, path) if readers.has_version(self.spark, path) else self.base
 
     def asked(self, queries: list[str]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string").withColumn("q_embedding", self.embed("query"))
@@ -131,14 +129,14 @@ class Service:
             return self._record(run, "publish", "skipped", note="no approved knowledge")
         backup = None
         try:
-            backup = readers.swap(old, os.path.join(self._folder("kb")), f"backup_{run}")
+            backup = readers.swap(old, f"{self.folder}/kb", f"backup_{run}")
             after, merged = knowledge.publish(items, old)
             new = merged.withColumn("embedding", F.coalesce("embedding", self.embed(retrieval.document_text(*[F.col(c) for c in ("category", "intent", "question", "answer")]))))
             self.put("kb", new)
             self.put("items", after)
         except Exception as e:
             if backup:
-                readers.point(self._folder("kb"), backup)
+                readers.point(self.spark, f"{self.folder}/kb", backup)
             self._record(run, "publish", "failed", note=str(e)[:500])
             raise
         return self._record(run, "publish", "succeeded", merged_count=len(ids), item_ids=ids, backup_path=backup)
@@ -154,11 +152,6 @@ class Service:
     def publish_history(self, limit: int = 20) -> DataFrame:
         return knowledge.listed(self.table("history"), limit)
 
-    def _folder(self, name: str) -> str:
-        path = os.path.join(self.folder, name)
-        os.makedirs(path, exist_ok=True)
-        return path
-
     def _record(self, run: str, action: str, status: str, **values) -> str:
         values = {"created_at": datetime.now(timezone.utc).replace(tzinfo=None)} | values
         self.put("history", knowledge.recorded(self.table("history"), self.spark, publish_id=run, action=action, status=status, **values))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
@@ -142,37 +143,59 @@ def append_lines(path: str, lines: list[str]) -> None:
         f.write("\n" * need + "\n".join(lines) + "\n")
 
 
-def save_report(folder: str, payload: dict, now: datetime) -> str:
+def _file(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, so that tables and reports may lie in any store that Spark reads."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _write_new(spark: SparkSession, path: str, content: str) -> None:
+    """Writes a file; an error if there is one."""
+    found, files = _file(spark, path)
+    out = files.create(found, False)
+    try:
+        out.write(content.encode())
+    finally:
+        out.close()
+
+
+def save_report(spark: SparkSession, folder: str, payload: dict, now: datetime) -> str:
     """A report as one JSON file, named by its time, with a number behind it if the name is taken."""
-    os.makedirs(folder, exist_ok=True)
     run = now.strftime("%Y-%m-%d_%H-%M-%S")
-    path, k = os.path.join(folder, f"{run}.json"), 1
-    while os.path.exists(path):
-        path, k = os.path.join(folder, f"{run}-{k}.json"), k + 1
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"run_id": run, "created_at": now.isoformat(timespec="seconds")} | payload, f, ensure_ascii=False, indent=2)
+    path, k = f"{folder}/{run}.json", 1
+    while (taken := _file(spark, path))[1].exists(taken[0]):
+        path, k = f"{folder}/{run}-{k}.json", k + 1
+    _write_new(spark, path, json.dumps({"run_id": run, "created_at": now.isoformat(timespec="seconds")} | payload, ensure_ascii=False, indent=2))
     return path
 
 
 def swap(rows: DataFrame, folder: str, version: str) -> str:
     """Writes a version of a table beside the others and points to it by one rename, so readers see the old or the new one whole."""
-    target = os.path.join(folder, f"v_{version}")
+    target = f"{folder}/v_{version}"
     rows.write.mode("errorifexists").parquet(target)
-    point(folder, target)
+    point(rows.sparkSession, folder, target)
     return target
 
 
-def point(folder: str, target: str) -> None:
+def point(spark: SparkSession, folder: str, target: str) -> None:
     """Makes a version that swap() wrote the current one."""
-    pointer = os.path.join(folder, "CURRENT")
-    with open(pointer + ".new", "w", encoding="utf-8") as f:
-        f.write(target)
-    os.replace(pointer + ".new", pointer)
+    new = f"{folder}/CURRENT.{uuid.uuid4().hex}"
+    _write_new(spark, new, target)
+    found, files = _file(spark, new)
+    fs = spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    place = fs.Path(f"{folder}/CURRENT")
+    fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(found.makeQualified(files.getUri(), files.getWorkingDirectory()), place.makeQualified(files.getUri(), files.getWorkingDirectory()), how)
+
+
+def has_version(spark: SparkSession, folder: str) -> bool:
+    found, files = _file(spark, f"{folder}/CURRENT")
+    return files.exists(found)
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    with open(os.path.join(folder, "CURRENT"), encoding="utf-8") as f:
-        return spark.read.parquet(f.read())
+    return spark.read.parquet(spark.read.text(f"{folder}/CURRENT", wholetext=True).first().value)
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:

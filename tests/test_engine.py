@@ -4,6 +4,7 @@ import json
 import random
 import subprocess
 import sys
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -181,6 +182,14 @@ def test_sources(spark, tmp_path):
     readers.swap(spark.range(3).toDF("id"), str(tmp_path), "1")
     readers.swap(spark.range(5).toDF("id"), str(tmp_path), "2")
     assert readers.current(spark, str(tmp_path)).count() == 5
+    readers.point(spark, str(tmp_path), f"{tmp_path}/v_1")
+    assert readers.current(spark, str(tmp_path)).count() == 3 and not [x for x in tmp_path.iterdir() if x.name.startswith("CURRENT.")]
+    readers.swap(spark.range(7).toDF("id"), f"file://{tmp_path}/other", "1")
+    assert readers.current(spark, f"file://{tmp_path}/other").count() == 7 and not readers.has_version(spark, f"{tmp_path}/none")
+    at = datetime(2024, 1, 2, 3, 4, 5)
+    paths = [readers.save_report(spark, f"{tmp_path}/reports", {"n": i}, at) for i in range(3)]
+    assert [x.rpartition("/")[2] for x in paths] == ["2024-01-02_03-04-05.json", "2024-01-02_03-04-05-1.json", "2024-01-02_03-04-05-2.json"]
+    assert json.loads(Path(paths[1]).read_text(encoding="utf-8")) == {"run_id": "2024-01-02_03-04-05", "created_at": "2024-01-02T03:04:05", "n": 1}
     base = kb(spark)
     assert readers.compatible(base, base.repartition(3)) and not readers.compatible(base, base.withColumn("answer", F.lit("z")))
     assert readers.markdown_table([{"a": "x|y\nz"}], ["a"]).splitlines()[2] == "| x\\|y<br>z |"
