@@ -497,6 +497,28 @@ def calibration_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.array_join(F.array_compact(F.array(*met)), ",").alias("rules"))
 
 
+@query("""WITH t AS (SELECT doc_id, quality = 1 AS a, toxic = 1 AS b, doc_id % 4 = 0 AS c FROM labels),
+r AS (SELECT doc_id::VARCHAR AS query, CASE WHEN a THEN 0 WHEN c THEN 1 ELSE 2 END AS x, CASE WHEN b THEN 1 WHEN c THEN 0 ELSE 2 END AS y FROM t)
+SELECT query, ['top1', 'ranking_error', 'miss'][x + 1] AS base_type, ['top1', 'ranking_error', 'miss'][y + 1] AS target_type, CASE WHEN y < x THEN 'improved' WHEN y > x THEN 'worsened' ELSE 'unchanged' END AS transition FROM r""")
+def retrieval_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Two retrieval runs over the labelled documents, each case's judgement made from its labels."""
+    rows, judgements = _t(spark, sf, "labels"), ("Top1 命中", "Top3 召回但 Top1 错误", "未命中")
+    run = lambda first, second, k: rows.select(F.col("doc_id").cast("string").alias("query"), F.col("doc_id").alias("pos"), F.when(first, judgements[k]).when(second, judgements[1 - k]).otherwise(judgements[2]).alias("judgement"))
+    c = F.col("doc_id") % 4 == 0
+    return grounding.compare_retrieval(run(F.col("quality") == 1, c, 0), run(F.col("toxic") == 1, c, 1)).select("query", "base_type", "target_type", "transition")
+
+
+@query(f"""WITH r AS (SELECT l.doc_id AS id, 'i' || quality AS expected, 'i' || toxic AS got, list_filter({list(WORDS[:2])}, lambda w: NOT contains(coalesce(d.text, ''), w)) AS missing, list_filter({list(WORDS[2:])}, lambda w: contains(coalesce(d.text, ''), w)) AS hits FROM labels l JOIN documents d USING (doc_id))
+SELECT id, expected = got AND len(missing) = 0 AND len(hits) = 0 AS passed, concat_ws('|', CASE WHEN expected <> got THEN 'top1 intent expected ' || expected || ', got ' || got END, CASE WHEN len(missing) > 0 THEN 'missing reply keywords: [''' || array_to_string(missing, ''', ''') || ''']' END,
+ CASE WHEN len(hits) > 0 THEN 'forbidden reply hits: [''' || array_to_string(hits, ''', ''') || ''']' END) AS failures FROM r""")
+def smoke_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled documents as replies of a smoke test, checked for intents and for wanted and unwanted words."""
+    labels = _t(spark, sf, "labels")
+    cases = labels.select(F.col("doc_id").alias("id"), F.concat(F.lit("i"), "quality").alias("expected_top1_intent"), F.array(*map(F.lit, WORDS[:2])).alias("expected_reply_keywords"), F.array(*map(F.lit, WORDS[2:])).alias("forbidden_reply_keywords"))
+    replies = _t(spark, sf, "documents").join(labels, "doc_id").select(F.col("doc_id").alias("id"), F.col("text").alias("reply"), F.array(F.struct(F.concat(F.lit("i"), "toxic").alias("intent"))).alias("retrieved_items"))
+    return grounding.smoke(cases, replies).select("id", "passed", F.array_join("failures", "|").alias("failures"))
+
+
 @query()
 def chat_answers(spark: SparkSession, sf: str) -> DataFrame:
     """The whole answer to every query: one row each."""
