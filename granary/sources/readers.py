@@ -111,11 +111,11 @@ def compatible(stored: DataFrame, kb: DataFrame, dimension: int | None = None) -
     return (a.rows, a.key) == (b.rows, b.key) and (dimension is None or a.dimension == dimension)
 
 
-def ensured(spark: SparkSession, path: str, kb: DataFrame, embed) -> DataFrame:
-    """The stored vector base at path, or, where there is none that fits, a new one made by embed(DataFrame with text)."""
+def ensured(spark: SparkSession, path: str, kb: DataFrame, embed, dimension: int | None = None) -> DataFrame:
+    """The stored vector base at path, or, where there is none that fits, a new one made by embed(DataFrame with text); dimension: of the embeddings of the model in use."""
     try:
         stored = spark.read.parquet(path)
-        if compatible(stored, kb):
+        if compatible(stored, kb, dimension):
             return stored
     except Exception as e:  # only a path without a table
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
