@@ -157,8 +157,8 @@ def _cell_links(crowded: int, last: bool):
             if not len(rows[0]):
                 continue
             starts = np.flatnonzero(np.concatenate(([True], rows[3][1:] != rows[3][:-1])))
-            last = starts[-1]
-            whole = len(rows[0]) if len(rows[0]) - last == rows[2][last] else last
+            tail = starts[-1]
+            whole = len(rows[0]) if len(rows[0]) - tail == rows[2][tail] else tail
             rest = [x[whole:] for x in rows]
             fp, half, n, group = (x[:whole] for x in rows)
             few = n <= crowded

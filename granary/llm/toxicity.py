@@ -63,6 +63,11 @@ class Model:
     square: np.ndarray
     bias: float
 
+    @property
+    def learnt(self) -> bool:
+        """Whether labels of both classes were there to learn from."""
+        return bool(self.square.any())
+
     def score(self, found: np.ndarray) -> float:
         z = self.bias
         if len(found) and (norm := float(self.square[found].sum(dtype=np.float64))) > 0:
@@ -139,13 +144,15 @@ def held_out(docs: DataFrame, id_col: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, ngrams: int = TRAIN_NGRAMS) -> Model:
     """Fits the model on labelled rows that are not held out, on at most `rows` of them, chosen by a hash of the id.
 
-    Rows without a label take no part; of several labels of an id the largest holds, of several texts of an id the
-    first by their bytes. A text with whom the sample would have more than `ngrams` n-grams is left out of it. The
+    Rows without a label and labels without a text take no part, and the sample is drawn from the others; of several
+    labels of an id the largest holds, of several texts of an id the first by their bytes. A text with whom the sample would have more than `ngrams` n-grams is left out of it. The
     n-grams are made in the tasks that read the texts, and the model, of that bounded sample, in one task of an
     executor; only the model's 2 MB come to the driver.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label"))
     known = known.filter(F.crc32(F.col("_id").cast("string").cast("binary")) % FOLDS != 0)
+    has_text = docs.filter(F.col(text_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")).select("_id")
+    known = known.join(has_text, "_id", "left_semi")
     order = F.struct(F.xxhash64("_id").alias("_h"), F.col("_id"))
     sample = written(known.orderBy(F.xxhash64("_id"), "_id").limit(rows).select("_id", order.alias("_place"), "_label"))
     texts = small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
@@ -182,7 +189,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Null and empty texts have no n-grams: they get the score of the bias alone. Texts of any length are scored whole,
     in blocks. Rows that repeat an id, or a whole row, each get their own row and score; a row with a null id is scored
     too, never trained on, and held out, as the empty text that stands for its id has a remainder of 0. Other columns
-    are not read, so their names do not matter. Without labels every score is 0.5. An empty table gives an empty result.
+    are not read, so their names do not matter. Without labels that have a text every score is 0.5. An empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col, label_col)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -191,8 +198,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """docs without the rows that the model predicts to be toxic; every column stays, whatever its name. Rows are judged one by one: null, empty, very long and repeated ones as in toxicity."""
+    """docs without the rows that the model predicts to be toxic; every column stays, whatever its name.
+
+    Rows are judged one by one: null, empty, very long and repeated ones as in toxicity. Where no text has a label, or
+    all labels are the same, nothing was learnt and all rows stay.
+    """
+    model = train(docs, labels, id_col, text_col, label_col)
+    if not model.learnt:
+        return docs
     name = "_toxicity"
     while name in docs.columns:
         name += "_"
-    return scored(docs, train(docs, labels, id_col, text_col, label_col), text_col, name).filter(F.col(name) < 0.5).drop(name)
+    return scored(docs, model, text_col, name).filter(F.col(name) < 0.5).drop(name)

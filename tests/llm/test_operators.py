@@ -536,3 +536,38 @@ def test_html_shows_what_a_screen_shows():
     assert html.render("<style>@media print{nav{display:none}} @media (max-width:600px){.s{display:none}} @media screen and (min-width:100px){.g{display:none}}</style><nav>menu</nav><div class=s>side</div><div class=g>gone</div>") == "menu\nside"
     assert html.render("<style>.x{display:none} .x{display:block} .y{display:block} .y{display:none} .z{display:none}</style><p class=x>a<p class=y>b<p class=z style='display:block'>c") == "a\n\nc"
     assert html.render("<p>so <math><mi>a</mi><mo>=</mo><mn>2</mn></math> and <svg><path d=''/><defs/><text>label</text></svg> pick <select><option>one<option selected>two</select> end") == "so a=2 and label pick two end"
+
+
+@pytest.mark.parametrize("last", [False, True])
+@pytest.mark.parametrize("others", [0, 3])
+def test_a_crowded_group_is_refined_or_linked_wherever_it_stands(last, others):
+    """One group of linked fingerprints over CROWDED, alone in its batch or behind others: linked at the last width, handed on whole before."""
+    import pyarrow as pa
+
+    crowd = np.array([0xF0F0 ^ (1 << a) ^ (1 << b) for a in range(16) for b in range(a)][:110], np.uint64)
+    small = np.array([x for g in range(others) for x in (g << 40, (g << 40) + 1)], np.uint64)
+    own = np.concatenate([small, crowd])
+    group = np.concatenate([np.repeat(np.arange(others), 2), np.full(len(crowd), 99)]).astype(np.int64)
+    size = np.concatenate([np.full(len(small), 2), np.full(len(crowd), len(crowd))]).astype(np.int32)
+    whole = pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.zeros(len(own), np.int32)), pa.array(size), pa.array(group)], ["_fp", "_half", "_n", "_g"])
+    for batches in ([whole], [whole.slice(0, 50), whole.slice(50)]):
+        rows = [r for b in simhash._cell_links(64, last)(iter(batches)) for r in b.to_pylist()]
+        links = {(r["a"], r["b"]) for r in rows if r["b"] is not None}
+        on = {r["a"] for r in rows if r["b"] is None}
+        members = set(crowd.view(np.int64).tolist())
+        assert sum(1 for a, b in links if a not in members) == others
+        if last:
+            assert not on and len({a for a, _ in links if a in members}) == len(crowd) - 1
+        else:
+            assert on == members and not any(a in members for a, _ in links)
+
+
+def test_toxicity_learns_from_labels_that_have_a_text(spark):
+    """Labels of a million other ids change nothing; without usable labels all rows stay."""
+    texts = spark.createDataFrame([(i * 7, ("you vile foul pest " if i % 2 else "a calm kind day ") * 3 + f"n{i}") for i in range(200)], "doc_id long, text string")
+    own = spark.createDataFrame([(i * 7, i % 2) for i in range(200)], "doc_id long, toxic int")
+    many = spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 == 0, (F.col("id") / 7 % 2).cast("int")).otherwise(1).alias("toxic"))
+    got = sorted(map(tuple, toxicity.toxicity(texts, own).collect()))
+    assert got == sorted(map(tuple, toxicity.toxicity(texts, many).collect())) and sum(r[3] for r in got) == 100
+    for none in (own.limit(0), own.select("doc_id", F.lit(1).alias("toxic")), own.select((-F.col("doc_id") - 1).alias("doc_id"), "toxic"), own.select("doc_id", F.lit(None).cast("int").alias("toxic"))):
+        assert toxicity.without_toxic(texts, none).count() == 200
