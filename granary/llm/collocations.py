@@ -276,15 +276,15 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 ORACLE_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
-i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
-g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
 f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
 t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND n >= 30),
-s AS (SELECT c.lang, c.phrase, c.a, x.n AS l, y.n AS r, 2000000::HUGEINT * c.a // (x.n + y.n) AS score, cut FROM c, (SELECT unnest([1, 2, 3]) AS cut)
-  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[cut + 1 :], ' ') WHERE cut < c.k),
+e AS (SELECT lang, phrase, a, cut, array_to_string(ws[1 : cut], ' ') AS x, array_to_string(ws[cut + 1 :], ' ') AS y FROM c, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
+s AS (SELECT e.lang, e.phrase, a, x.n AS l, y.n AS r, 2000000::HUGEINT * a // (x.n + y.n) AS score, cut FROM e JOIN f x ON x.lang = e.lang AND x.phrase = e.x JOIN f y ON y.lang = e.lang AND y.phrase = e.y),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
-o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c q WHERE q.lang = b.lang AND contains(' ' || q.phrase || ' ', ' ' || b.phrase || ' ') AND q.phrase <> b.phrase AND 100::HUGEINT * q.a >= 80 * b.a)),
+u AS (SELECT lang, c.a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')] || CASE WHEN k = 4 THEN [array_to_string(ws[3:4], ' '), array_to_string(ws[1:3], ' '), array_to_string(ws[2:4], ' ')] ELSE [] END) AS phrase FROM c WHERE k > 2),
+o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.lang = b.lang AND u.phrase = b.phrase AND 100::HUGEINT * u.a >= 80 * b.a)),
 z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score::BIGINT AS score FROM o)
 SELECT z.lang, z.rank, z.phrase, z.a, z.l, z.r, t.n, z.score FROM z JOIN t USING (lang) WHERE rank <= 2000
 """
