@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import ann, bpe, chat, collocations, exact_dedup, html, mixing, simhash, substring, toxicity, trie, url_filter
+from granary.llm import ann, bpe, brown, chat, collocations, exact_dedup, html, mixing, simhash, substring, toxicity, trie, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.class_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents").select("text", "lang"))
 
@@ -64,5 +68,5 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_source_mixing, op3_url_filter, op4_html_extraction, op5_chat_formatting, op6_exact_dedup, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe, op12_collocations, op13_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_source_mixing, op3_url_filter, op4_html_extraction, op5_chat_formatting, op6_exact_dedup, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_bpe, op11_brown_classes, op12_collocations, op13_prefix_trie)}
 SQL = {"op2_source_mixing": mixing.ORACLE_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op6_exact_dedup": exact_dedup.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_prefix_trie": trie.ORACLE_SQL}
