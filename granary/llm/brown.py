@@ -25,6 +25,8 @@ PRIOR, STRENGTH = 0.1, 64.0
 FOLDS = 10
 #: Tokens that a task pairs at once, different words that it counts at once, words of a cell of the contexts' table.
 BLOCK, DISTINCT, CELL = 1 << 22, 1 << 18, 256
+#: The most frequent words, which a sweep moves one by one, and how many of the others it judges at once.
+FIRST, TOGETHER = 4096, 32
 #: The token at the end of each text, which also stands before its first word. No word is empty.
 END = b""
 
@@ -223,10 +225,12 @@ def _swept(classes: np.ndarray, matrix: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, wide, at = matrix.copy(), len(matrix), classes.astype(np.int64)
         for own, near in _cells(batches, at, wide):
-            for k in range(0, len(own), 32):
-                words, some = own[k : k + 32], near[k : k + 32]
+            single = int(np.searchsorted(own, FIRST))  # the most frequent words one by one
+            for k in [*range(single), *range(single, len(own), TOGETHER)]:
+                upto = k + (1 if k < single else TOGETHER)
+                words, some = own[k:upto], near[k:upto]
                 left, right, old, i = some[:, :wide], some[:, wide:], at[words], np.arange(len(words))
-                # each word out of its class, one after the other for those that share one
+                # words that are judged together are out of their classes together
                 without = now.copy()
                 np.add.at(without.T, old, -left)
                 np.add.at(without, old, -right)
