@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from html import unescape
 
 import pyarrow as pa
@@ -33,8 +35,12 @@ CLOSES = {tag: (frozenset(a.split()), frozenset(b.split())) for tag, (a, b) in I
 #: What an end tag does not reach over.
 SCOPE = frozenset("table td th".split())
 PARTS = frozenset("tr td th thead tbody tfoot caption".split())
-#: Elements whose content is text up to their end tag; in the first ones & stands for itself.
-RAW, ESCAPED = frozenset("script style xmp iframe noembed noframes".split()), frozenset("title textarea".split())
+#: What may stand in a head. Any other tag, and text, ends it.
+OF_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Inputs that show their value as a label.
+BUTTONS = frozenset("submit reset button".split())
+#: Elements whose content is text up to their end tag; in the first ones & stands for itself. A page is read as by one whose browser runs scripts, so noscript is one.
+RAW, ESCAPED = frozenset("script style xmp iframe noembed noframes noscript".split()), frozenset("title textarea".split())
 #: Levels of lists and quotations that indent a line; deeper ones keep their marks only.
 INDENTS = 32
 _NAME = re.compile(r"[^\s/>]*")
@@ -148,6 +154,8 @@ class Tree:
             elif self.open[-1].tag == "style":
                 self.styles.append(value)
             else:
+                if self.open[-1].tag == "head" and value.strip():
+                    self._close(_HEAD, _NONE)
                 self.open[-1].children.append(value)
 
     def _push(self, node: Node) -> None:
@@ -176,7 +184,7 @@ class Tree:
             for k, v in attrs.items():
                 self.open[places["body"][-1] if tag == "body" else 0].attrs.setdefault(k, v)
             return
-        if block and places.get("head"):
+        if tag not in OF_HEAD and places.get("head") and not (places.get("template") and places["template"][-1] > places["head"][-1]):
             self._close(_HEAD, _NONE)
         if tag in PARTS and not places.get("table"):
             return  # parts of a table mean nothing outside one
@@ -267,39 +275,55 @@ def style_rules(styles: list[str]) -> list[tuple[str, str]]:
 
 
 class Rules:
-    """What the simple selectors of a page's own style sheets say of display and visibility; other selectors are not judged."""
+    """What the simple selectors of a page's own style sheets say of display and visibility; other selectors are not judged.
+
+    Of rules with the same selector and property only the strongest is kept, a rule stands under the rarest of its ids and
+    classes, else its tag, and nodes of the same tag, classes and id are judged once.
+    """
 
     def __init__(self, styles: list[str]) -> None:
-        self.by_key: dict[str, list[tuple]] = {}  # a rule stands under its id, else a class, else its tag
+        strongest: dict[tuple, tuple] = {}
         for place, (selectors, body) in enumerate(style_rules(styles)):
             said = _SHOWN.findall(body)
             for one in selectors.split(",") if said else ():
                 if (m := _SIMPLE.match(one.strip())) and one.strip():
                     parts = re.findall(r"([.#])([\w-]+)", m[2])
-                    classes, ids = frozenset(v for k, v in parts if k == "."), [v for k, v in parts if k == "#"]
+                    classes, ids = frozenset(v for k, v in parts if k == "."), tuple(v for k, v in parts if k == "#")
                     tag = (m[1] or "").lower()
-                    key = f"#{ids[0]}" if ids else f".{min(classes)}" if classes else tag
                     for k, (name, value, important) in enumerate(said):
                         rank = (bool(important), False, len(ids), len(classes), bool(tag), place, k)
-                        self.by_key.setdefault(key, []).append((name.lower(), value.lower(), rank, tag, classes, ids))
+                        rule = (tag, classes, ids, name.lower())
+                        strongest[rule] = max(strongest.get(rule, ((),)), (rank, value.lower()))
+        names = [[f"#{i}" for i in ids] + [f".{c}" for c in sorted(classes)] or [tag] for tag, classes, ids, _ in strongest]
+        uses = Counter(n for own in names for n in own)
+        self.by_key: dict[str, list[tuple]] = {}
+        for own, (rule, best) in zip(names, strongest.items(), strict=True):
+            self.by_key.setdefault(min(own, key=lambda n: uses[n]), []).append((*rule, best))
+        self.judged: dict[tuple, dict[str, tuple]] = {}
+
+    def _said(self, tag: str, of_class: str, own_id: str | None) -> dict[str, tuple]:
+        if (found := self.judged.get((tag, of_class, own_id))) is not None:
+            return found
+        best: dict[str, tuple] = {}
+        classes = frozenset(of_class.split())
+        for key in (tag, *[f".{c}" for c in classes], f"#{own_id or ''}"):
+            for of_tag, needed, ids, name, said in self.by_key.get(key, ()):
+                if (not of_tag or of_tag == tag) and needed <= classes and all(i == own_id for i in ids):
+                    best[name] = max(best.get(name, ((),)), said)
+        self.judged[tag, of_class, own_id] = best
+        return best
 
     def shown(self, node: Node, seen: bool) -> tuple[bool, bool]:
         """(whether the node has a place, whether its own text is seen), where seen is its parent's. Of the declarations for a property the strongest holds: important ones, then its own style, then by selector and order."""
         a = node.attrs
-        if node.tag in HIDDEN or node.tag == "input":
+        if node.tag in HIDDEN or (node.tag == "input" and (a.get("type", "").lower() not in BUTTONS or not a.get("value"))):
             return False, False
         if not a and not self.by_key:
             return node.tag != "dialog", seen
-        best: dict[str, tuple] = {}
+        best = dict(self._said(node.tag, a.get("class", ""), a.get("id"))) if self.by_key else {}
         for k, (name, value, important) in enumerate(_SHOWN.findall(a["style"]) if "style" in a else ()):
             rank = (bool(important), True, 0, 0, False, 0, k)
             best[name.lower()] = max(best.get(name.lower(), ((),)), (rank, value.lower()))
-        if self.by_key:
-            classes = frozenset(a["class"].split()) if "class" in a else _NONE
-            for key in (node.tag, *[f".{c}" for c in classes], f"#{a.get('id', '')}"):
-                for name, value, rank, tag, needed, ids in self.by_key.get(key, ()):
-                    if (not tag or tag == node.tag) and needed <= classes and all(i == a.get("id") for i in ids):
-                        best[name] = max(best.get(name, ((),)), (rank, value))
         display, visibility = best.get("display"), best.get("visibility")
         if display[-1] == "none" if display else "hidden" in a or (node.tag == "dialog" and "open" not in a):
             return False, False
@@ -334,12 +358,14 @@ def inside(node: Node, rules: Rules, seen: bool) -> list[tuple[Node | str, bool]
             return options
         chosen = [x for x in options if "selected" in x[0].attrs][-1:] or [x for x in options if "disabled" not in x[0].attrs][:1]
         return [(c, s) for x, s in chosen for c in ([x.attrs["label"]] if x.attrs.get("label") else x.children)]
+    if node.tag == "input":
+        return [(node.attrs["value"], seen)]
     if node.tag == "details" and "open" not in node.attrs:
         return [(c, seen) for c in node.children if not isinstance(c, str) and c.tag == "summary"][:1]
     return [(c, seen) for c in node.children]
 
 
-_OWN = frozenset("svg select details".split())
+_OWN = frozenset("svg select details input".split())
 
 
 class Lines:
@@ -404,26 +430,58 @@ def _width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text) if not text.isascii() else len(text)
 
 
+class Grid:
+    """The columns of a table that no cell from above fills, as intervals; a cell that spans rows takes its free ones until its last row."""
+
+    def __init__(self) -> None:
+        self.starts, self.ends = [0], [1 << 60]
+        self.until: list[tuple[int, int, int]] = []  # the row at which an interval is free again
+
+    def first(self, at: int) -> int:
+        return max(at, self.starts[bisect_right(self.ends, at)])
+
+    def take(self, at: int, end: int, until: int | None) -> None:
+        i = bisect_right(self.ends, at)
+        while self.starts[i] < end:
+            a, b = max(at, self.starts[i]), min(end, self.ends[i])
+            left = [(x, y) for x, y in ((self.starts[i], a), (b, self.ends[i])) if x < y]
+            self.starts[i : i + 1], self.ends[i : i + 1] = [x for x, _ in left], [y for _, y in left]
+            if until is not None:
+                heappush(self.until, (until, a, b))
+            i = bisect_right(self.ends, b)
+
+    def begin(self, row: int) -> None:
+        while self.until and self.until[0][0] <= row:
+            _, a, b = heappop(self.until)
+            i = bisect_left(self.starts, b)
+            j = i
+            if i < len(self.starts) and self.starts[i] == b:
+                b, j = self.ends[i], i + 1
+            if i and self.ends[i - 1] == a:
+                a, i = self.starts[i - 1], i - 1
+            self.starts[i:j], self.ends[i:j] = [a], [b]
+
+
 def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Rows of cells (lines, columns and rows spanned) as lines.
+    """Rows of cells (lines, columns and rows spanned; 0 rows: to the end) as lines.
 
     Cells stand on the table's grid: a cell that spans rows keeps its columns free below it. A column is as wide as its
     widest cell that spans no other; columns in which no cell begins have no width.
     """
     placed: list[list[tuple[int, list[str], int]]] = []
-    taken: dict[int, int] = {}  # columns that a cell from above still fills, and for how many rows
-    for row in rows:
-        at, here = 0, []
-        below = {c: n - 1 for c, n in taken.items() if n > 1}
+    grid = Grid()
+    for k, row in enumerate(rows):
+        at, here, spans = 0, [], []
+        grid.begin(k)
         for lines, columns, down in row:
-            while at in taken:
-                at += 1
+            at = grid.first(at)
             here.append((at, lines, columns))
-            if down > 1:
-                below.update((c, down - 1) for c in range(at, at + columns))
+            if down != 1:
+                spans.append((at, at + columns, k + down if down else None))
             at += columns
         placed.append(here)
-        taken = below
+        for span in spans:
+            grid.take(*span)
     starts = sorted({at for row in placed for at, _, _ in row})
     widths = dict.fromkeys(starts, 0)
     for row in placed:
@@ -459,10 +517,13 @@ def render(html: str | None) -> str:
     titles), the attribute hidden, what is not the summary of closed details, closed dialogs, and what display: none or
     visibility: hidden hides by a style attribute or by simple selectors (tag, class, id) of the page's own style
     sheets, as far as they hold on a screen; visibility is inherited, so what is visible within what is hidden is
-    shown. Formulas, the texts of svg and the chosen option of a list are shown. Blocks end lines; paragraphs,
+    shown. Formulas, the texts of svg, the chosen option of a list and the labels of buttons are shown, what is typed into
+    other inputs and what stands in for scripts that don't run (noscript) is not. Text, or a tag that can't stand in
+    a head, ends it. Blocks end lines; paragraphs,
     headings, lists, tables and the like have an empty line around them; items of lists are marked and indented; cells
-    of a table are padded to the columns of its grid; pre keeps its white space. No input fails, and the time is linear
-    in its length: neither the tree nor the walk recurse or search what is open.
+    of a table are padded to the columns of its grid; pre keeps its white space. No input fails. Neither the tree nor the
+    walk recurse or search what is open, so time grows with the page's length, but for nodes of many different lists of
+    classes that many selectors of several classes share.
     """
     if not html:
         return ""
@@ -534,7 +595,7 @@ def render(html: str | None) -> str:
             if not tables[-1]:
                 tables[-1].append([])
             rows = _number(node.attrs.get("rowspan"), 0, 65534, 1)
-            tables[-1][-1].append(([x for x in flow.lines if x] or [""], _number(node.attrs.get("colspan"), 1, 1000, 1), rows or 65534))
+            tables[-1][-1].append(([x for x in flow.lines if x] or [""], _number(node.attrs.get("colspan"), 1, 1000, 1), rows))
         elif tag == "caption" and tables:
             flows.pop()
             for x in flow.lines:

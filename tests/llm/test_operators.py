@@ -571,3 +571,57 @@ def test_toxicity_learns_from_labels_that_have_a_text(spark):
     assert got == sorted(map(tuple, toxicity.toxicity(texts, many).collect())) and sum(r[3] for r in got) == 100
     for none in (own.limit(0), own.select("doc_id", F.lit(1).alias("toxic")), own.select((-F.col("doc_id") - 1).alias("doc_id"), "toxic"), own.select("doc_id", F.lit(None).cast("int").alias("toxic"))):
         assert toxicity.without_toxic(texts, none).count() == 200
+
+
+def test_text_and_inline_tags_end_the_head():
+    assert html.render("<head><title>T</title>Hello <b>world</b>") == "Hello world"
+    assert html.render("<html><head><meta charset=utf-8><span>Hi</span> there") == "Hi there"
+    assert html.render("<head> \n<link rel=x><script>a<b</script><noscript><p>no</p></noscript><template><p>t</p>x</template><meta><p>shown") == "shown"
+    assert html.render("<head></head>text<title>late</title> on") == "text on"
+    assert html.render("<p>a<noscript>b <b>c</b></noscript>d <input type=submit value='Send &amp; go'><input value=typed><input type=reset>") == "ad Send & go"
+
+
+def test_rules_of_classes_and_spans_take_time_in_proportion():
+    """16,000 rules by 16,000 nodes, and thousands of cells that span to the end of a table."""
+    began = time.time()
+    n = 16_000
+    same = "<style>" + ".x{display:block}" * n + "</style>" + "<b class=x>a</b>" * n
+    other = "<style>" + "".join(f".x.y{i}{{display:none}}" for i in range(n)) + "</style>" + "".join(f"<b class='x y{i} z{i}'>a</b>" for i in range(n)) + "<b class='x y'>c</b>"
+    assert html.render(same).count("a") == n and html.render(other) == "c"
+    rows = "<table>" + "<tr><td rowspan=0 colspan=1000>a<td>b" * 3000 + "</table>"
+    assert html.render(rows).count("a") == 3000
+    falling = "<table>" + "".join(f"<tr><td rowspan={9000 - i} colspan=1000>a" for i in range(4000)) + "</table>"
+    assert html.render(falling).count("a") == 4000
+    assert time.time() - began < 15
+
+
+def test_the_grid_is_that_of_columns_one_by_one():
+    rng = random.Random(8)
+    for run in range(300):
+        rows = [[([f"c{r}.{k}"], 1 if run < 200 else rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 2, 3, 0])) for k in range(rng.randint(0, 4))] for r in range(rng.randint(1, 7))]
+        taken, at_all = {}, []
+        for row in rows:  # column: rows it is still filled, by the cell that took it first
+            at, below = 0, {c: n - 1 for c, n in taken.items() if n > 1}
+            for _, columns, down in row:
+                while at in taken:
+                    at += 1
+                at_all.append(at)
+                if down != 1:
+                    for c in range(at, at + columns):
+                        if c not in taken:
+                            below[c] = (down or 10**6) - 1
+                at += columns
+            taken = below
+        grid, got = html.Grid(), []
+        for k, row in enumerate(rows):
+            grid.begin(k)
+            at, spans = 0, []
+            for _, columns, down in row:
+                at = grid.first(at)
+                got.append(at)
+                if down != 1:
+                    spans.append((at, at + columns, k + down if down else None))
+                at += columns
+            for span in spans:
+                grid.take(*span)
+        assert got == at_all
