@@ -362,6 +362,30 @@ def _fits(size: str, place: str, size2: str, place2: str) -> Column:
     return most * (ALIKE[0] + ALIKE[1]) >= (F.col(size) + F.col(size2)) * ALIKE[0]
 
 
+def open_pairs(mixed: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): sets of different components that share a cell and _fits. mixed: _cell, _fp, _size, _place, _label, _main (the cell's largest component), _all (its rows).
+
+    Of two sets that fit, one at least has the shingle within the first ninth of its own; such a light set meets the
+    others. So sets that share no more than their common lines, which stand further back, don't meet at all. Sizes of
+    sets that fit differ by a quarter at most, so they meet by steps of their size; and a cell of more than `chunk` rows
+    is cut into parts, each two of which meet as a key of their own.
+    """
+    ninth, main = F.col("_place") * (ALIKE[0] + ALIKE[1]) <= F.col("_size") * (ALIKE[1] - ALIKE[0]), F.col("_label") == F.col("_main")
+    step = F.floor(F.log(F.col("_size")) / math.log(ALIKE[1] / ALIKE[0]) + 1e-9).cast("int")
+    rows = mixed.withColumn("_parts", F.ceil(F.col("_all") / chunk).cast("int")).withColumn("_own", F.pmod(F.xxhash64("_fp"), F.col("_parts")).cast("int")).withColumn("_light", ninth)
+    every = F.sequence(F.lit(0), F.col("_parts") - 1)
+    # the light ones of small components meet all; those of the largest one meet the others that aren't light
+    x = rows.filter("_light").select("_cell", F.explode(F.array(step - 1, step, step + 1)).alias("_step"), F.col("_own").alias("_p"), every.alias("_qs"), "_fp", "_size", "_place", "_label", main.alias("_is_main"))
+    y = rows.select("_cell", step.alias("_step"), every.alias("_ps"), F.col("_own").alias("_q"), F.col("_fp").alias("_fp2"), F.col("_size").alias("_size2"), F.col("_place").alias("_place2"), F.col("_label").alias("_label2"), "_light", main.alias("_is_main2"))
+    x, y = x.withColumn("_q", F.explode("_qs")).drop("_qs"), y.withColumn("_p", F.explode("_ps")).drop("_ps")
+    meets = (F.col("_label") != F.col("_label2")) & _fits("_size", "_place", "_size2", "_place2")
+    keys, found = ["_cell", "_step", "_p", "_q"], []
+    for mains, theirs in ((False, F.lit(True)), (True, ~F.col("_light") & ~F.col("_is_main2"))):
+        both = x.filter(F.col("_is_main") == mains).join(y.filter(theirs), keys).filter(meets)
+        found.append(both.filter(~F.col("_light") | F.col("_is_main2") | (F.col("_label") < F.col("_label2"))).select(F.col("_fp").alias("a"), F.col("_fp2").alias("b")))
+    return found[0].unionByName(found[1])
+
+
 def set_components(nodes: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """(_fp, _label) for the sets, by their hash, that link to another. nodes: (_set, _size, _prefix), a table that is deleted once read; texts: (_set, _text_key).
 
@@ -389,12 +413,11 @@ def set_components(nodes: DataFrame, texts: DataFrame, docs: DataFrame, text_col
     several = written(labelled.groupBy("_cell").agg(F.min("_label").alias("_a"), F.max("_label").alias("_b")).filter("_a < _b").select("_cell"))
     open_ = written(labelled.join(several, "_cell", "left_semi"))
     sizes = open_.groupBy("_cell", "_label").agg(F.count("*").alias("_n"))
-    mixed = written(open_.join(sizes.groupBy("_cell").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main")), "_cell"))
+    of_cell = sizes.groupBy("_cell").agg(F.max_by("_label", F.struct("_n", "_label")).alias("_main"), F.sum("_n").alias("_all"))
+    mixed = written(lookup(open_, of_cell, ["_cell"], "_all", max(1, open_.count())))
     forget(labelled)
     release(spark)
-    others = mixed.filter("_label <> _main").select(*[F.col(c).alias(f"{c}2") for c in ("_cell", "_fp", "_size", "_place", "_label")])
-    pairs = mixed.join(others, (F.col("_cell") == F.col("_cell2")) & (F.col("_label") != F.col("_label2")) & ((F.col("_label") == F.col("_main")) | (F.col("_label") < F.col("_label2"))) & _fits("_size", "_place", "_size2", "_place2"))
-    links = _alike(pairs.select(F.col("_fp").alias("a"), F.col("_fp2").alias("b")).distinct(), texts, docs, text_col, words)
+    links = _alike(open_pairs(mixed).distinct(), texts, docs, text_col, words)
     every = links.unionByName(linked.select(F.col("node").alias("a"), F.col("label").alias("b")))
     found = components(every).select(F.col("node").alias("_fp"), F.col("label").alias("_label"))
     for table in (mixed, several, open_, linked, links):

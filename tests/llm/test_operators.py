@@ -625,3 +625,59 @@ def test_the_grid_is_that_of_columns_one_by_one():
             for span in spans:
                 grid.take(*span)
         assert got == at_all
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_open_pairs_are_those_that_fit(spark, chunk):
+    """All pairs of a cell that fit and differ in component, whatever the parts; none twice."""
+    rng = random.Random(5)
+    rows = [(cell, cell * 1000 + i, size := rng.randint(1, 40), rng.randrange(0, max(1, size // 4 + 1)), rng.choice([1, 1, 1, 2, 3, 4])) for cell in range(6) for i in range(40)]
+    count, labels = {}, {}
+    for c, *_, label in rows:
+        count[c] = count.get(c, 0) + 1
+        labels.setdefault(c, []).append(label)
+    made = [(*r, max(set(labels[r[0]]), key=lambda x: (labels[r[0]].count(x), x)), count[r[0]]) for r in rows]
+    got = simhash.open_pairs(spark.createDataFrame(made, "_cell long, _fp long, _size int, _place int, _label long, _main long, _all long"), chunk).collect()
+    want = set()
+    for i, (c, a, s, p, la) in enumerate(rows):
+        for d, b, t, q, lb in rows[:i]:
+            if c == d and la != lb and min(s - p, t - q) * 9 >= (s + t) * 4:
+                want.add(frozenset((a, b)))
+    assert want and len(got) == len(want) and {frozenset(r) for r in got} == want
+
+
+def test_a_cell_of_unlike_short_texts_makes_no_pairs(spark):
+    """5,000 texts of a common line and a fifth of own words are no copies, and don't meet as pairs."""
+    line = 80
+    rows = [(s, i, line + 16 + i % 5, 16 + i % 5 + s, i, 0, 5000) for i in range(5000) for s in range(3)]
+    mixed = spark.createDataFrame(rows, "_cell long, _fp long, _size int, _place int, _label long, _main long, _all long")
+    assert simhash.open_pairs(mixed, 1024).count() == 0
+    alike = spark.createDataFrame([(0, i, 100, 3, i // 2, 0, 60) for i in range(60)], mixed.schema)
+    assert simhash.open_pairs(alike).count() == 60 * 59 // 2 - 30
+
+
+def test_near_copies_among_texts_of_one_line(spark):
+    """Short texts that are mostly one line, some of them copies of each other: components are those of all pairs."""
+    rng = random.Random(9)
+    line = [f"l{i}" for i in range(50)]
+    texts = []
+    for i in range(300):
+        own = [f"o{i}.{k}" for k in range(rng.randint(3, 14))]
+        texts.append((i, " ".join(own + line)))
+    texts += [(300 + i, texts[i][1] + " end") for i in range(0, 60)]
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(spark.createDataFrame(texts, "doc_id long, text string"), words=5).collect()}
+    sets = [simhash.shingles(t.encode(), 5) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * 5 >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(texts))}
