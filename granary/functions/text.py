@@ -90,7 +90,7 @@ def similar_answers(a: Column, b: Column, threshold: float = SIMILAR) -> Column:
 
 def terms(c: Column) -> Column:
     """The terms of a text: its words without marks and stop words, the domain terms that it contains, and triggers with what they add."""
-    words = F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda w: F.regexp_replace(w, f"^{_marks(TERM_MARKS)}+|{_marks(TERM_MARKS)}+$", ""))
+    words = F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda w: F.btrim(w, F.lit(TERM_MARKS)))
     parts = [F.filter(words, lambda w: (w != "") & ~w.isin(*fixed.STOP_WORDS))]
     none = F.array().cast("array<string>")
     parts += [F.when(c.contains(k), F.array(F.lit(k))).otherwise(none) for k in fixed.DOMAIN_KEYWORDS]

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed_values as fixed
 from granary.functions import rules, text
+from granary.operators.phrases import containing
+from granary.scratch import written
 
 LIMIT, MIN_SCORE, MODEL_WEIGHT = 3, 0.40, 0.01
 HINT_BONUS, SUPPLEMENT_SCORE, SUPPLEMENTS = 0.10, 0.80, 3
@@ -22,8 +24,8 @@ ORIGIN_HIT, ORIGIN_HINT = "faiss", "intent_hint_supplement"
 #: Queries that are sent to all executors at once, as one matrix: 4,096 of 1,024 dimensions are 32 MB. More are taken in several passes.
 QUERY_BLOCK = 4096
 DIGITS = 6
-#: Bytes of phrases that are searched for at once, and query terms that are broadcast at most.
-PHRASE_BYTES, BROADCAST_TERMS = 8 << 20, 200_000
+#: Query terms that are broadcast at most, and rows of a query that are scored first, to learn what its best rows must reach.
+BROADCAST_TERMS, SEEDS = 200_000, 32
 
 
 def document_text(category: Column, intent: Column, question: Column, answer: Column) -> Column:
@@ -120,52 +122,6 @@ def toy_topk(queries: DataFrame, kb: DataFrame, limit: int = LIMIT, dimensions=f
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))).filter(F.col("rank") <= limit)
 
 
-def containing(rows: DataFrame, phrases: DataFrame, body: str, id_col: str, block: int = PHRASE_BYTES) -> DataFrame:
-    """rows without body, with the id of each phrase (id_col, phrase) that their body contains; exact, with no pair compared.
-
-    Phrases go to the executors in blocks of about `block` bytes, dealt by hash, as one automaton each: a body is read
-    once for all phrases of a block, and nothing is shuffled. Null bodies and phrases contain nothing; an empty phrase is
-    contained in every body.
-    """
-    spark, names = rows.sparkSession, [c for c in rows.columns if c != body]
-    known = phrases.filter("phrase is not null").select(F.col(id_col).alias("_phrase_id"), "phrase")
-    total = known.agg(F.sum(F.octet_length("phrase") + 64)).first()[0] or 0
-    blocks, found = max(1, -(-total // block)), None
-    kind = known.schema["_phrase_id"].dataType.simpleString()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != body) + f", `{id_col}` {kind}"
-    for k in range(blocks):
-        some = known.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k) if blocks > 1 else known
-        table = some.toArrow()
-        shared = spark.sparkContext.broadcast((table.column("phrase").to_pylist(), table.column("_phrase_id").to_pylist()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            ids: dict[str, list] = {}
-            for phrase, i in zip(*shared.value, strict=True):
-                ids.setdefault(phrase, []).append(i)
-            automaton = ahocorasick.Automaton()
-            for phrase in ids:
-                if phrase:
-                    automaton.add_word(phrase, phrase)
-            automaton.make_automaton()
-            always, search = ids.get("", []), len(automaton) > 0
-            for batch in batches:
-                at, which = [], []
-                for r, text_ in enumerate(batch.column(body)):
-                    if text_.is_valid:
-                        hits = {p for _, p in automaton.iter(text_.as_py())} if search else set()
-                        own = [*always, *[i for p in hits for i in ids[p]]]
-                        at += [r] * len(own)
-                        which += own
-                part = batch.select(names).take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(which, table.schema.field("_phrase_id").type)], [*names, id_col])
-
-        part = rows.select(*names, body).mapInArrow(run, schema)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
 def keyword_scores(queries: DataFrame, kb: DataFrame, weights=fixed.FIELD_WEIGHTS) -> DataFrame:
     """(query_id, pos, score, matched_term_count, details) of the pairs that score above 0.
 
@@ -189,6 +145,68 @@ def keyword_scores(queries: DataFrame, kb: DataFrame, weights=fixed.FIELD_WEIGHT
     return matched.unionByName(whole).groupBy("query_id", "pos").agg(F.sum("points").alias("score"), count.alias("matched_term_count"), F.sort_array(F.collect_list(detail)).alias("details"))
 
 
+def _keyword_index(queries: DataFrame, kb: DataFrame, weights) -> tuple[DataFrame, DataFrame]:
+    """The inverted index of the terms that queries have, (term, pos, weight) for each field, and (query_id, term, df, upper): a term's postings, and the most that it can add to a row's score."""
+    fields = [f for f in weights if f in kb.columns]
+    wanted = queries.select("query_id", F.explode(text.terms(text.text("query"))).alias("term"))
+    known = wanted.select("term").distinct()
+    known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
+    parts = [kb.select("pos", F.lit(weights[f]).alias("weight"), F.explode(text.terms(F.lower(text.text(f)))).alias("term")).filter("term <> ''") for f in fields]
+    index = parts[0]
+    for more in parts[1:]:
+        index = index.unionByName(more)
+    index = written(index.join(known, "term", "left_semi").select("term", "pos", "weight"))
+    by_field = index.groupBy("term", "weight").agg(F.count("*").alias("n"))  # fields of one weight count as often as they are
+    same = {}
+    for f in fields:
+        same[weights[f]] = same.get(weights[f], 0) + 1
+    times = F.element_at(F.create_map(*[F.lit(x) for w, n in same.items() for x in (w, n)]), F.col("weight"))
+    of_term = by_field.groupBy("term").agg(F.sum("n").alias("df"), F.sum(F.col("weight") * times).alias("upper"))
+    return index, written(wanted.join(of_term, "term"))
+
+
+def _term_scores(pairs: DataFrame, terms: DataFrame, index: DataFrame) -> DataFrame:
+    """pairs (query_id, pos) with score and matched_term_count over the given terms of each query."""
+    found = pairs.join(terms.select("query_id", "term"), "query_id").join(index, ["term", "pos"])
+    return found.groupBy("query_id", "pos").agg(F.sum("weight").alias("score"), F.count("*").alias("matched_term_count"))
+
+
+def keyword_top(queries: DataFrame, kb: DataFrame, limit: int = LIMIT, weights=fixed.FIELD_WEIGHTS, seeds: int = SEEDS) -> DataFrame:
+    """(query_id, pos, score, matched_term_count, rank): each query's best rows by the scores of keyword_scores, ties by more matched terms, shorter answer and order; exact.
+
+    An inverted index with upper bounds, so that no query scores all rows that share a word with it. A few rows of a
+    query's rarest terms are scored in full; the last of their best `limit` is what any better row must reach. In the order
+    of their frequency, a query's commonest terms that together can't reach it name no candidates; the rows of the other
+    terms do, and go on only if what they have and all the common terms could add reaches it. Only those are scored over
+    the common terms. Rows that contain a whole query, which earns more, are found apart and always scored.
+    """
+    index, terms = _keyword_index(queries, kb, weights)
+    fields = [f for f in weights if f in kb.columns]
+    rare = Window.partitionBy("query_id").orderBy("df", "term")
+    ranked = written(terms.withColumn("rest", F.sum("upper").over(Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("before", F.sum("df").over(rare) - F.col("df")))
+    first = ranked.filter(F.col("before") < seeds).join(index, "term").select("query_id", "pos").distinct()
+    first = first.withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("pos")))).filter(F.col("_n") <= seeds).drop("_n")
+    reach = _term_scores(first, ranked, index).withColumn("_n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).filter(F.col("_n") == limit).select("query_id", F.col("score").alias("least"))
+    bound = written(ranked.join(reach, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(1))).withColumn("names", F.col("rest") >= F.col("least")))
+    common = bound.groupBy("query_id").agg(F.max("least").alias("least"), F.coalesce(F.max(F.when(~F.col("names"), F.col("rest"))), F.lit(0)).alias("common"))
+    naming = bound.filter("names").select("query_id", "term")
+    naming = F.broadcast(naming) if naming.count() <= BROADCAST_TERMS else naming
+    partial = index.join(naming, "term").groupBy("query_id", "pos").agg(F.sum("weight").alias("score"), F.count("*").alias("matched_term_count"))
+    alive = written(partial.join(common, "query_id").filter("score + common >= least").select("query_id", "pos", "score", "matched_term_count"))
+    whole = containing(kb.select("pos", F.explode(F.array(*[F.struct(F.lit(weights[f] + 2).alias("points"), F.lower(text.text(f)).alias("body")) for f in fields])).alias("x")).select("pos", "x.*").filter("body <> ''"), queries.select("query_id", F.lower(text.text("query")).alias("phrase")), "body", "query_id")
+    whole = written(whole.groupBy("query_id", "pos").agg(F.sum("points").alias("score")))
+    more = _term_scores(alive.select("query_id", "pos"), bound.filter("not names"), index)
+    apart = whole.select("query_id", "pos").join(alive, ["query_id", "pos"], "left_anti")  # rows of a whole query that its terms alone don't keep
+    zero = F.lit(0).cast("long").alias("matched_term_count")
+    every = alive.unionByName(more).unionByName(_term_scores(apart, bound, index)).unionByName(whole.select("query_id", "pos", "score", zero))
+    scored = every.groupBy("query_id", "pos").agg(F.sum("score").alias("score"), F.sum("matched_term_count").alias("matched_term_count"))
+    # ties of the last place all go on, until the answers' lengths decide
+    near = scored.withColumn("_n", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("matched_term_count")))).filter(F.col("_n") <= limit).drop("_n")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("matched_term_count"), "_length", "pos")
+    sized = near.join(kb.select("pos", F.length(text.text("answer")).alias("_length")), "pos")
+    return sized.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("_length")
+
+
 def _fold(items: Column, limit: int | None, threshold: float = text.SIMILAR) -> Column:
     """The greedy choice over an ordered array of structs with _key and _grams: an item stays if no kept one is similar, up to the limit."""
 

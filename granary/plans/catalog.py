@@ -147,9 +147,7 @@ SELECT query_id, pos, score, matched_term_count, rank FROM r WHERE rank <= 3""")
 def keyword_rank(spark: SparkSession, sf: str) -> DataFrame:
     q = _t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     kb = _t(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.col("source").alias("category"), F.col("text").alias("answer"))
-    scored = retrieval.keyword_scores(q, kb).join(kb.select("pos", F.length("answer").alias("n")), "pos")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("matched_term_count"), "n", "pos"))
-    return scored.withColumn("rank", rank).filter("rank <= 3").select("query_id", "pos", "score", F.col("matched_term_count").cast("long").alias("matched_term_count"), "rank")
+    return retrieval.keyword_top(q, kb).select("query_id", "pos", F.col("score").cast("long").alias("score"), F.col("matched_term_count").cast("long").alias("matched_term_count"), "rank")
 
 
 TOY_SQL = "[" + ", ".join("(" + " + ".join(f"contains({{0}}, '{w}')::INT" for w in ws) + ")::DOUBLE" for ws in TOYS) + "]"
@@ -227,7 +225,7 @@ def _turns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def benchmark_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a benchmark text, by one pass over each document for all texts (retrieval.containing)."""
+    """Documents with a benchmark text, met at the text's rarest anchor (phrases.containing)."""
     b = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"))
     d = _t(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     return retrieval.containing(d, b, "body", "item_id").select("item_id", "doc_id")
