@@ -21,8 +21,11 @@ from granary.scratch import written
 LIMIT, MIN_SCORE, MODEL_WEIGHT = 3, 0.40, 0.01
 HINT_BONUS, SUPPLEMENT_SCORE, SUPPLEMENTS = 0.10, 0.80, 3
 ORIGIN_HIT, ORIGIN_HINT = "faiss", "intent_hint_supplement"
-#: Queries that are sent to all executors at once, as one matrix: 4,096 of 1,024 dimensions are 32 MB. More are taken in several passes.
-QUERY_BLOCK = 4096
+#: Queries, and numbers of their vectors (32 MB), that are broadcast at most. More are dealt over the cluster, in cells of at most about so many queries and rows.
+QUERY_BLOCK, QUERY_NUMBERS = 4096, 1 << 22
+CELL_QUERIES, CELL_ROWS = 1 << 14, 1 << 16
+#: Scores that a task holds at once, 32 MB of them.
+SCORES = 1 << 22
 DIGITS = 6
 #: Query terms that are broadcast at most, and rows of a query that are scored first, to learn what its best rows must reach.
 BROADCAST_TERMS, SEEDS = 200_000, 32
@@ -33,44 +36,79 @@ def document_text(category: Column, intent: Column, question: Column, answer: Co
     return F.concat_ws("\n", *[F.concat(F.lit(label), text.text(c)) for label, c in (("分类：", category), ("意图：", intent), ("问题：", question), ("答案：", answer))])
 
 
+def _vectors(column, n: int, cosine: bool) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    if cosine:
+        norms = np.linalg.norm(rows, axis=1, keepdims=True)
+        rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
+    return rows
+
+
+def _nearest(ids: np.ndarray, matrix: np.ndarray, pos: np.ndarray, rows: np.ndarray, k: int, exclude_self: bool, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, pos, score) of each query's k best among some rows; ties to the smaller pos. The scores of SCORES pairs are held at once, of which those that reach a query's k-th best are sorted."""
+    found = []
+    step = max(1, SCORES // max(1, len(pos)))
+    for at in range(0, len(ids), step):
+        own = ids[at : at + step]
+        scores = np.round(matrix[at : at + step] @ rows.T, digits) + 0.0
+        if exclude_self:
+            scores[own[:, None] == pos] = -np.inf
+        if len(pos) > k:
+            q, r = np.nonzero(scores >= np.partition(scores, len(pos) - k, axis=1)[:, len(pos) - k, None])
+        else:
+            q, r = np.divmod(np.arange(scores.size), max(1, len(pos)))
+        s = scores[q, r]
+        order = np.lexsort((pos[r], -s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else q
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        keep = (place < k) & np.isfinite(s)
+        found.append((own[q[keep]], pos[r[keep]], s[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (ids[:0], pos[:0], np.zeros(0))
+
+
 def vector_topk(queries: DataFrame, kb: DataFrame, k: int, exclude_self: bool = False, cosine: bool = True, digits: int = DIGITS) -> DataFrame:
     """(query_id, pos, vector_score, hit_rank): each query's k nearest rows, over all rows.
 
-    The queries go to the executors as one matrix of bounded size; each Arrow batch of rows is one matrix product, of
-    which only the k best per query leave Python. Nothing of the knowledge base is shuffled but those, and no pair is
-    built in the JVM. Scores are doubles, rounded; ties go to the smaller pos. A zero vector scores 0.
+    Few queries, of a checked size, are one matrix that is broadcast; each Arrow batch of rows is one matrix product and
+    nothing of the knowledge base is shuffled. More queries are dealt in groups, as the rows are, and each two groups meet
+    in a cell of their own, of bounded size, so no query passes through the driver and memory doesn't depend on how many
+    there are. Either way only the k best per query leave a task. No pair is built in the JVM. Scores are doubles,
+    rounded; ties go to the smaller pos. A zero vector scores 0. Queries and rows without a vector take no part.
     """
-    spark = kb.sparkSession
-    asked = queries.select("query_id", F.col("q_embedding").cast("array<double>").alias("v")).filter("v is not null").orderBy("query_id")
-    n, found = asked.count(), None
-    for at in range(0, max(1, n), QUERY_BLOCK):
-        part = asked.offset(at).limit(QUERY_BLOCK).toArrow() if n > QUERY_BLOCK else asked.toArrow()
-        ids = part.column("query_id").to_numpy() if n else np.zeros(0, np.int64)
-        matrix = np.array(part.column("v").to_pylist(), np.float64).reshape(len(ids), -1)
-        if cosine and len(ids):
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    spark, schema = kb.sparkSession, "query_id long, pos long, vector_score double"
+    asked = queries.select(F.col("query_id").cast("long"), F.col("q_embedding").cast("array<double>").alias("v")).filter("v is not null")
+    rows = kb.filter("embedding is not null").select(F.col("pos").cast("long"), "embedding")
+    names = ["query_id", "pos", "vector_score"]
+    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    if n <= QUERY_BLOCK and numbers <= QUERY_NUMBERS:
+        table = asked.toArrow()
+        shared = spark.sparkContext.broadcast((table.column("query_id").to_numpy(), _vectors(table.column("v"), n, cosine) if n else None))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                pos = batch.column(0).to_numpy()
-                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(pos), -1)
-                if cosine:
-                    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-                    rows = np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
-                scores = np.round(matrix @ rows.T, digits) + 0.0
-                for i, s in zip(ids, scores, strict=True):
-                    some = np.flatnonzero(pos != i) if exclude_self else np.arange(len(pos))
-                    if len(some) > k:
-                        some = some[s[some] >= np.partition(s[some], len(some) - k)[len(some) - k]]
-                    some = some[np.lexsort((pos[some], -s[some]))][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int64)), pa.array(pos[some].astype(np.int64)), pa.array(s[some])], ["query_id", "pos", "vector_score"])
-
-        near = kb.filter("embedding is not null").select(F.col("pos").cast("long"), "embedding").mapInArrow(run, "query_id long, pos long, vector_score double")
-        found = near if found is None else found.unionByName(near)
+                if batch.num_rows and len(ids):
+                    best = _nearest(ids, matrix, batch.column(0).to_numpy(), _vectors(batch.column(1), batch.num_rows, cosine), k, exclude_self, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names)
+
+        found = rows.mapInArrow(run, schema)
+    else:
+        across = -(-n // CELL_QUERIES)
+        down = max(-(-rows.count() // CELL_ROWS), -(-spark.sparkContext.defaultParallelism // across), 1)
+
+        def meet(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if mine.num_rows and theirs.num_rows:
+                best = _nearest(mine.column("query_id").to_numpy(), _vectors(mine.column("v"), mine.num_rows, cosine), theirs.column("pos").to_numpy(), _vectors(theirs.column("embedding"), theirs.num_rows, cosine), k, exclude_self, digits)
+            return pa.table([pa.array(x) for x in best], names)
+
+        dealt = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+        all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+        left = asked.withColumn("_r", dealt("query_id", across)).withColumn("_s", all_of(down))
+        right = rows.withColumn("_s", dealt("pos", down)).withColumn("_r", all_of(across))
+        found = left.groupBy("_r", "_s").cogroup(right.groupBy("_r", "_s")).applyInArrow(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("vector_score"), "pos"))
     return found.withColumn("hit_rank", rank).filter(F.col("hit_rank") <= k)
 
