@@ -102,16 +102,16 @@ def _filter(anchors: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def containing(rows: DataFrame, phrases: DataFrame, body: str, id_col: str) -> DataFrame:
-    """rows without body, with the id of each phrase (id_col, phrase) that their body contains; exact.
+def containing(rows: DataFrame, phrases: DataFrame, body: str, id_col: str, on: list[str] | None = None) -> DataFrame:
+    """rows without body, with the id of each phrase (id_col, phrase) that their body contains; exact. on: columns of both sides that must be equal too.
 
     Of the grams that any text with the phrase must show, each phrase's rarest one is its anchor. Texts are read once,
     however many phrases there are: where a gram may be an anchor, which a filter tells, the bytes around it go to the
     phrases of that anchor by a join, and are compared there. Null bodies and phrases contain nothing; an empty phrase
     is contained in every body; rows that repeat each get their own; of a phrase with several ids each is named.
     """
-    spark, names = rows.sparkSession, [c for c in rows.columns if c != body]
-    known = phrases.filter("phrase is not null").select(F.col(id_col).alias("_phrase_id"), F.encode("phrase", "utf-8").alias("_phrase"))
+    spark, names, on = rows.sparkSession, [c for c in rows.columns if c != body], on or []
+    known = phrases.filter("phrase is not null").select(F.col(id_col).alias("_phrase_id"), F.encode("phrase", "utf-8").alias("_phrase"), *on)
     some = written(known.filter(F.length("_phrase") > 0).select("_phrase").distinct().mapInArrow(_phrase_anchors, "_phrase binary, _kind int, _anchor long, _at int"))
     shared_by = some.groupBy("_kind", "_anchor").agg(F.count("*").alias("_n"))
     first = Window.partitionBy("_phrase").orderBy("_n", "_anchor")
@@ -162,10 +162,11 @@ def containing(rows: DataFrame, phrases: DataFrame, body: str, id_col: str) -> D
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in names], F.col(body).alias("_body"))
     hits = numbered.mapInArrow(run, f"_row long, {kinds_of}{', ' if kinds_of else ''}_kind int, _anchor long, _piece binary, _before int")
     inside = F.substring(F.col("_piece"), F.col("_before") - F.col("_at") + 1, F.length("_phrase")) == F.col("_phrase")
-    met = hits.join(anchors, ["_kind", "_anchor"]).filter((F.col("_before") >= F.col("_at")) & inside)
-    met = met.select("_row", *[F.col(f"`{c}`") for c in names], "_phrase").dropDuplicates(["_row", "_phrase"]).join(known, "_phrase")
+    anchors = anchors.join(known.select("_phrase", *on).distinct(), "_phrase") if on else anchors
+    met = hits.join(anchors, ["_kind", "_anchor", *on]).filter((F.col("_before") >= F.col("_at")) & inside)
+    met = met.select("_row", *[F.col(f"`{c}`") for c in names], "_phrase").dropDuplicates(["_row", "_phrase"]).join(known, ["_phrase", *on])
     out = met.select(*[F.col(f"`{c}`") for c in names], F.col("_phrase_id").alias(id_col))
-    always = known.filter(F.length("_phrase") == 0).select(F.lit(True).alias("_is_text"), F.col("_phrase_id").alias(id_col))
+    always = known.filter(F.length("_phrase") == 0).select(F.lit(True).alias("_is_text"), F.col("_phrase_id").alias(id_col), *on)
     if always.isEmpty():
         return out
-    return out.unionByName(rows.withColumn("_is_text", F.col(body).isNotNull()).join(F.broadcast(always), "_is_text").select(*[F.col(f"`{c}`") for c in names], id_col))
+    return out.unionByName(rows.withColumn("_is_text", F.col(body).isNotNull()).join(F.broadcast(always), ["_is_text", *on]).select(*[F.col(f"`{c}`") for c in names], id_col))

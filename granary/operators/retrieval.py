@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed_values as fixed
 from granary.functions import rules, text
+from granary.operators.greedy import greedy_kept
 from granary.operators.phrases import containing
 from granary.scratch import written
 
@@ -260,8 +261,8 @@ def greedy_dedupe(candidates: DataFrame, group: list[str], order: list[Column],
     """Candidates (with answer) that stay when each group is walked in order and near copies of kept answers are left out.
 
     Equal answers go first, by a window whose rank is cut before the shuffle; the walk then is one expression over a
-    group's distinct answers. Groups are the candidates of a query, so bounded by the search's k; a group of a whole
-    table is no use of this operator.
+    group's distinct answers. Groups are the candidates of a query, so bounded by the search's k; for groups of any size
+    there is greedy.greedy_kept.
     """
     first = Window.partitionBy(*group, "answer").orderBy(*order)
     rows = candidates.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
@@ -275,7 +276,7 @@ def greedy_dedupe(candidates: DataFrame, group: list[str], order: list[Column],
 def keyword_search(queries: DataFrame, kb: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Keyword retrieval: near copies are left out in the order of the base, before sorting by score, matched terms, shorter answer and order."""
     scored = keyword_scores(queries, kb).join(kb.select("pos", text.text("answer").alias("answer")), "pos")
-    kept = greedy_dedupe(scored, ["query_id"], [F.col("pos")], None).drop("rank")
+    kept = greedy_kept(scored, ["query_id"], [F.col("pos")]).drop("rank")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("matched_term_count"), F.length("answer"), "pos")
     return kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
