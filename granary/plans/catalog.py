@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import rules, text
-from granary.operators import context, feedback, grounding, knowledge, retrieval, training
+from granary.operators import context, feedback, grounding, knowledge, retrieval, rule_match, training
 
 MIN_SCORE, LIMIT = 0.20, 3
 #: A small lexicon for the test tables, whose texts are invented words.
@@ -433,11 +433,42 @@ HINT_ROWS = ", ".join(f"({i}, '{q}')" for i, q in enumerate(_hint_queries()))
 HINT_CASE = "CASE " + " ".join(f"WHEN {_rule_sql(r, {'q': 'query'})} THEN '{i}'" for r, i in rules.INTENT_HINTS) + " ELSE '' END"
 
 
-@query(f"WITH q(query_id, query) AS (VALUES {HINT_ROWS}) SELECT query_id, {HINT_CASE} AS intent FROM q")
+@query(f"WITH p(i, phrase) AS (VALUES {HINT_ROWS}), q AS (SELECT conv_id, turn, coalesce(text, '') || ' ' || phrase AS query FROM conversations JOIN p ON i = (conv_id * 7 + turn) % {len(_hint_queries())}) SELECT conv_id, turn, {HINT_CASE} AS intent FROM q")
 def intent_hints(spark: SparkSession, sf: str) -> DataFrame:
-    """The hinted intents of constant queries: the test tables' words are invented, so no rule applies to them."""
-    rows = spark.createDataFrame(list(enumerate(_hint_queries())), "query_id int, query string")
-    return rows.select("query_id", rules.intent_hint(F.col("query")).alias("intent"))
+    """The hinted intents of all turns of conversations, each with a customer's phrase added, as the tables' own words are invented."""
+    phrases = _hint_queries()
+    phrase = F.element_at(F.array(*map(F.lit, phrases)), ((F.col("conv_id") * 7 + F.col("turn")) % len(phrases) + 1).cast("int"))
+    rows = _t(spark, sf, "conversations").select("conv_id", "turn", F.concat(text.text("text"), F.lit(" "), phrase).alias("query"))
+    return rows.select("conv_id", "turn", rules.intent_hint(F.col("query")).alias("intent"))
+
+
+#: Rules in the words that the test tables have.
+ASKS = [("q:tion & q:eau|lich & !q:ing", "mixed"), ("q:license|copyright OR q:http & q:the", "notice"), ("q:ción|para", "spanish"), ("q:eau|que & !q:the", "french"), ("q:lich|keit|ung & q:und|der", "german"), ("q:ing & q:the & q:tion", "english"), ("q:on", "other")]
+
+
+@query("""SELECT conv_id, turn, CASE WHEN contains(text, 'tion') AND (contains(text, 'eau') OR contains(text, 'lich')) AND NOT contains(text, 'ing') THEN 'mixed'
+ WHEN contains(text, 'license') OR contains(text, 'copyright') OR (contains(text, 'http') AND contains(text, 'the')) THEN 'notice'
+ WHEN contains(text, 'ción') OR contains(text, 'para') THEN 'spanish' WHEN (contains(text, 'eau') OR contains(text, 'que')) AND NOT contains(text, 'the') THEN 'french'
+ WHEN (contains(text, 'lich') OR contains(text, 'keit') OR contains(text, 'ung')) AND (contains(text, 'und') OR contains(text, 'der')) THEN 'german'
+ WHEN contains(text, 'ing') AND contains(text, 'the') AND contains(text, 'tion') THEN 'english' WHEN contains(text, 'on') THEN 'other' ELSE '' END AS result FROM conversations""")
+def rule_first(spark: SparkSession, sf: str) -> DataFrame:
+    """The first rule that holds for each turn, with the rules as a table."""
+    return rule_match.first_matched(_t(spark, sf, "conversations"), rule_match.rule_terms(spark, ASKS), ["conv_id", "turn"], {"q": "text"}).select("conv_id", "turn", "result")
+
+
+#: Rules over a reply (r), the turn before it (d) and a role of the conversation (i).
+CHECKS = [("i=even & d:the & r:the", "both"), ("i=odd & d:tion|ment & r:tion & !r:eau", "odd_tion"), ("d:and & r:and & r:or|er OR d:of & r:of", "linked"), ("r:ing|ed & !d:ing", "new_form")]
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS r, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS d FROM conversations), a AS (SELECT * FROM t WHERE role = 'assistant'),
+m AS (SELECT conv_id, turn, 'both' AS result FROM a WHERE conv_id % 2 = 0 AND contains(d, 'the') AND contains(r, 'the')
+ UNION ALL SELECT conv_id, turn, 'odd_tion' FROM a WHERE conv_id % 2 = 1 AND (contains(d, 'tion') OR contains(d, 'ment')) AND contains(r, 'tion') AND NOT contains(r, 'eau')
+ UNION ALL SELECT conv_id, turn, 'linked' FROM a WHERE (contains(d, 'and') AND contains(r, 'and') AND (contains(r, 'or') OR contains(r, 'er'))) OR (contains(d, 'of') AND contains(r, 'of'))
+ UNION ALL SELECT conv_id, turn, 'new_form' FROM a WHERE (contains(r, 'ing') OR contains(r, 'ed')) AND NOT contains(d, 'ing')) SELECT conv_id, turn, result FROM m""")
+def rule_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules that hold for each reply and what stands before it, with the rules as a table."""
+    rows = _turns(spark, sf).withColumn("parity", F.when(F.col("conv_id") % 2 == 0, "even").otherwise("odd"))
+    return rule_match.matched(rows, rule_match.rule_terms(spark, CHECKS), ["conv_id", "turn"], {"r": "reply", "d": "evidence", "i": "parity"}).select("conv_id", "turn", "result")
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS evidence FROM conversations),
@@ -486,13 +517,14 @@ CALIBRATION_ROWS = ", ".join(f"({i}, '{q}', '{n}', '{d}', '{r}')" for i, (q, n,
 CALIBRATION_LIST = ", ".join("CASE WHEN " + _rule_sql(r, {"q": "q", "i": "i", "d": "d", "r": "r"}) + f" THEN '{n}' END" for n, _, r in rules.CALIBRATION)
 
 
-@query(f"WITH c(id, q, i, d, r) AS (VALUES {CALIBRATION_ROWS}) SELECT id, array_to_string(list_filter([{CALIBRATION_LIST}], lambda x: x IS NOT NULL), ',') AS rules FROM c")
+@query(f"WITH c(id, q, i, d, r) AS (VALUES {CALIBRATION_ROWS}), t AS (SELECT doc_id, q, i, d || ' ' || text AS d, r FROM documents JOIN c ON c.id = doc_id % {len(_calibration_rows())}) SELECT doc_id, array_to_string(list_filter([{CALIBRATION_LIST}], lambda x: x IS NOT NULL), ',') AS rules FROM t")
 def calibration_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """The calibrations whose conditions constant cases meet, in order."""
-    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(_calibration_rows())], "id int, q string, i string, d string, r string")
+    """The calibrations that hold, in order, for cases whose retrieved text is a case's with a whole document after it."""
+    cases = F.broadcast(spark.createDataFrame([(k, *c) for k, c in enumerate(_calibration_rows())], "id long, q string, i string, d string, r string"))
+    rows = _t(spark, sf, "documents").withColumn("id", F.col("doc_id") % len(_calibration_rows())).join(cases, "id").withColumn("d", F.concat("d", F.lit(" "), "text"))
     fields = {f: F.col(f) for f in "qidr"}
     met = [F.when(rules.condition(rule, fields), name) for name, _, rule in rules.CALIBRATION]
-    return rows.select("id", F.array_join(F.array_compact(F.array(*met)), ",").alias("rules"))
+    return rows.select("doc_id", F.array_join(F.array_compact(F.array(*met)), ",").alias("rules"))
 
 
 @query("""WITH t AS (SELECT doc_id, quality = 1 AS a, toxic = 1 AS b, doc_id % 4 = 0 AS c FROM labels),
