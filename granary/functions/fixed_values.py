@@ -185,78 +185,132 @@ REQUIRED_CONCLUSIONS_BY_INTENT = {
     '取餐后取消': '骑手取餐后通常不支持直接取消，能否取消或退款需要以订单状态和平台核实结果为准。',
 }
 
-#: Texts of the answer steps: conclusion, action and caveat in turn (where wordings differ, both conclusions).
-STEP_TEXTS = [
-    '不能直接承诺全额退款，需要先由平台核实骑手送达情况和订单状态。',
-    '如果您仍未找到餐品或无法立即取回餐品，请先确认门口、前台、取餐柜或指定收餐点，并在订单详情页提交未收到餐反馈。',
-    '退款或售后结果以平台核实处理为准。',
-    '不能直接承诺全额退款或具体到账时间，退款需要以订单状态和平台核实结果为准。',
-    '建议您先在订单详情页查看退款状态；如已支付，退款通常会按支付渠道原路退回。',
-    '到账时间可能受支付渠道处理影响，具体以订单页面和平台处理结果为准。',
-    '不能直接承诺平台全额退款，退款金额需要结合订单状态、配送进度和平台规则核实。',
-    '建议您先查看退款详情页的扣除原因；如果认为金额不合理，可以在订单内提交售后复核或申请平台介入。',
-    '具体退款结果以退款详情页和平台核实处理为准。',
-    '不能保证超时后都会赔钱，是否补偿需要看承诺送达时间、订单页面入口和平台核实结果。',
-    '如果超过承诺送达时间，您可以在订单详情页查看是否有补偿入口，或提交配送延迟反馈。',
-    '具体补偿或处理结果以页面展示和平台核实为准。',
-    '不能直接承诺由商家立即补送，少送漏送需要先提交售后并由平台核实。',
-    '建议您拍照保留实际收到的餐品和小票，并在订单详情页选择少送或漏送提交售后。',
-    '平台会根据凭证协助处理，具体补送、退款或其他方案以核实结果为准。',
-    '需要通过订单售后提交食品安全投诉，平台会结合凭证和订单情况核实处理，但不能在没有凭证和核实结果前承诺赔付。',
-    '建议您先停止食用；如果仍能补充证据，请尽量拍照保留餐品、包装、异物照片或就医记录。',
-    '是否赔付以平台核实处理结果为准。',
-    '不能保证处罚骑手或赔偿，平台需要先根据投诉内容核实处理。',
-    '您可以在订单详情页选择骑手服务投诉，并描述具体情况、时间和沟通过程。',
-    '具体处理结果以平台核实为准。',
-    '不能保证商家接单后取消一定不扣钱，能否取消和退款金额需要以订单状态、是否制作和页面显示为准。',
-    '建议您先在订单详情页查看是否仍有取消入口；如果商家已开始制作，可以按页面提示提交售后或联系平台客服核实。',
-    '取消结果和退款金额以订单状态、商家确认和订单页面显示为准。',
-    '没吃上但仍被扣款或只退部分金额，通常与商家是否已制作、配送是否已开始、优惠券抵扣或平台规则有关。',
-    '建议您先在退款详情页查看扣除原因；如您认为扣款不合理，可以在订单内提交售后复核或申请平台介入。',
-    '平台会结合订单状态和凭证核实处理。',
-    '不能直接判断扣配送费是否合理，需要先看退款详情页的扣除原因和平台核实结果。',
-    '餐没拿到但仍被扣配送费或只退部分金额时，需要以退款详情页的扣除原因和平台核实结果为准。',
-    '建议您先查看退款详情页，如页面原因不清楚，可以在订单内提交售后复核。',
-    '平台会结合配送进度、订单状态和凭证核实处理。',
-    '不能直接判断平台会补偿，也不能直接赔一张券；优惠券或满减未生效需要先核实使用条件和结算页原因。',
-    '请先点开优惠券详情或结算页查看使用门槛、有效期、适用品类、适用商家和支付方式限制；确认满足条件仍不可用时，可以截图后通过订单页或官方客服反馈。',
-    '是否补偿或调整以平台核实处理结果为准。',
-    '发票可以先在订单详情页查看申请发票入口，是否支持取决于商家和订单类型。',
-    '如果页面没有入口，可以联系商家或平台客服确认。',
-    '是否支持开票以商家、订单类型和订单页面展示为准。',
-    '如果已备注过敏但餐品仍放入相关食材，建议先停止食用，并按未按备注制作或餐品问题提交售后。',
-    '建议您上传餐品照片、订单备注截图和相关沟通记录，说明过敏备注未被满足。',
-    '平台会结合订单备注、餐品情况和凭证核实处理。',
-    '如果已备注不要葱但餐品仍放了葱，可以按未按备注制作提交售后。',
-    '建议您上传餐品照片、订单备注截图和相关沟通记录，反馈商家未按备注制作。',
-    '平台会结合订单备注、餐品情况和凭证核实处理。',
-    '如果已备注不要香菜但餐品仍放了香菜，可以按未按备注制作提交售后。',
-    '建议您上传餐品照片、订单备注截图和相关沟通记录，反馈商家未按备注制作。',
-    '平台会结合订单备注、餐品情况和凭证核实处理。',
-    '如果已写明忌口或过敏备注但商家未按备注制作，可以按未按备注制作或餐品问题提交售后。',
-    '建议您上传餐品照片、订单备注截图和相关沟通记录。',
-    '平台会结合订单备注、餐品情况和凭证核实处理。',
-    '平台客服不能绕过平台直接联系商家要求退款，但可以根据问题类型协助联系商家核实。',
-    '平台客服不能绕过平台直接代打给店家，但可以根据问题类型协助联系商家核实。',
-    '建议您优先通过订单详情页的联系商家入口沟通，并保留平台内聊天记录；需要客服协助时可在订单内提交问题。',
-    '具体能否协助联系和处理结果以订单页面展示及平台核实为准。',
-    '骑手联系不上时，建议先按配送异常处理。',
-    '请先在订单详情页查看配送状态，并通过平台内联系功能再次联系骑手；如果仍联系不上或订单已明显超时，请在订单详情页提交配送异常反馈。',
-    '平台会结合骑手位置、配送进度和订单状态核实处理。',
-    '骑手说已到但定位仍很远，属于配送状态和骑手定位不一致，建议先按配送异常处理。',
-    '请先在订单详情页核对配送状态，并通过平台内联系功能联系骑手确认实际位置；如果仍无法确认或联系不上，立即提交配送异常或未收到餐反馈。',
-    '平台会结合骑手位置、配送进度和订单状态核实处理。',
-    '骑手取餐后一直没收到餐，可以提交未收到餐反馈；能否退款需要以平台核实结果为准。',
-    '建议您先确认门口、前台、取餐柜或指定收餐点是否有餐品，并尝试联系骑手；如果仍未找到，请在订单详情页提交未收到餐反馈。',
-    '平台会核实骑手送达情况和订单状态，退款或售后结果以平台核实处理为准。',
-    '商家一般不应直接看到您的真实手机号，平台通常会通过隐私号等方式保护联系方式。',
-    '建议您通过订单页面或平台内联系功能沟通，不要在聊天中主动发送完整手机号、地址或验证码。',
-    '具体号码展示方式以平台规则和订单页面为准。',
-    '不能直接提供页面未展示的店家手机号。',
-    '您可以在订单详情页或商家主页查看“联系商家”入口，并优先通过平台内电话或在线联系功能沟通。',
-    '如果页面没有展示电话，说明商家可能未开放电话联系或使用平台虚拟号，具体以页面展示为准。',
-    '平台客服处理订单时也应遵守平台隐私保护规则，您不需要主动提供完整手机号。',
-]
+#: Texts of the answer steps: conclusion, action and caveat of each.
+STEPS = {
+    'missing_food_guarantee': (
+        '不能直接承诺全额退款，需要先由平台核实骑手送达情况和订单状态。',
+        '如果您仍未找到餐品或无法立即取回餐品，请先确认门口、前台、取餐柜或指定收餐点，并在订单详情页提交未收到餐反馈。',
+        '退款或售后结果以平台核实处理为准。',
+    ),
+    'refund_time_guarantee': (
+        '不能直接承诺全额退款或具体到账时间，退款需要以订单状态和平台核实结果为准。',
+        '建议您先在订单详情页查看退款状态；如已支付，退款通常会按支付渠道原路退回。',
+        '到账时间可能受支付渠道处理影响，具体以订单页面和平台处理结果为准。',
+    ),
+    'refund_amount_guarantee': (
+        '不能直接承诺平台全额退款，退款金额需要结合订单状态、配送进度和平台规则核实。',
+        '建议您先查看退款详情页的扣除原因；如果认为金额不合理，可以在订单内提交售后复核或申请平台介入。',
+        '具体退款结果以退款详情页和平台核实处理为准。',
+    ),
+    'delay_guarantee': (
+        '不能保证超时后都会赔钱，是否补偿需要看承诺送达时间、订单页面入口和平台核实结果。',
+        '如果超过承诺送达时间，您可以在订单详情页查看是否有补偿入口，或提交配送延迟反馈。',
+        '具体补偿或处理结果以页面展示和平台核实为准。',
+    ),
+    'missing_item_guarantee': (
+        '不能直接承诺由商家立即补送，少送漏送需要先提交售后并由平台核实。',
+        '建议您拍照保留实际收到的餐品和小票，并在订单详情页选择少送或漏送提交售后。',
+        '平台会根据凭证协助处理，具体补送、退款或其他方案以核实结果为准。',
+    ),
+    'food_safety_guarantee': (
+        '需要通过订单售后提交食品安全投诉，平台会结合凭证和订单情况核实处理，但不能在没有凭证和核实结果前承诺赔付。',
+        '建议您先停止食用；如果仍能补充证据，请尽量拍照保留餐品、包装、异物照片或就医记录。',
+        '是否赔付以平台核实处理结果为准。',
+    ),
+    'rider_guarantee': (
+        '不能保证处罚骑手或赔偿，平台需要先根据投诉内容核实处理。',
+        '您可以在订单详情页选择骑手服务投诉，并描述具体情况、时间和沟通过程。',
+        '具体处理结果以平台核实为准。',
+    ),
+    'cancel_guarantee': (
+        '不能保证商家接单后取消一定不扣钱，能否取消和退款金额需要以订单状态、是否制作和页面显示为准。',
+        '建议您先在订单详情页查看是否仍有取消入口；如果商家已开始制作，可以按页面提示提交售后或联系平台客服核实。',
+        '取消结果和退款金额以订单状态、商家确认和订单页面显示为准。',
+    ),
+    'refund_not_eaten': (
+        '没吃上但仍被扣款或只退部分金额，通常与商家是否已制作、配送是否已开始、优惠券抵扣或平台规则有关。',
+        '建议您先在退款详情页查看扣除原因；如您认为扣款不合理，可以在订单内提交售后复核或申请平台介入。',
+        '平台会结合订单状态和凭证核实处理。',
+    ),
+    'delivery_fee_fairness': (
+        '不能直接判断扣配送费是否合理，需要先看退款详情页的扣除原因和平台核实结果。',
+        '建议您先查看退款详情页，如页面原因不清楚，可以在订单内提交售后复核。',
+        '平台会结合配送进度、订单状态和凭证核实处理。',
+    ),
+    'delivery_fee': (
+        '餐没拿到但仍被扣配送费或只退部分金额时，需要以退款详情页的扣除原因和平台核实结果为准。',
+        '建议您先查看退款详情页，如页面原因不清楚，可以在订单内提交售后复核。',
+        '平台会结合配送进度、订单状态和凭证核实处理。',
+    ),
+    'coupon_compensation': (
+        '不能直接判断平台会补偿，也不能直接赔一张券；优惠券或满减未生效需要先核实使用条件和结算页原因。',
+        '请先点开优惠券详情或结算页查看使用门槛、有效期、适用品类、适用商家和支付方式限制；确认满足条件仍不可用时，可以截图后通过订单页或官方客服反馈。',
+        '是否补偿或调整以平台核实处理结果为准。',
+    ),
+    'invoice': (
+        '发票可以先在订单详情页查看申请发票入口，是否支持取决于商家和订单类型。',
+        '如果页面没有入口，可以联系商家或平台客服确认。',
+        '是否支持开票以商家、订单类型和订单页面展示为准。',
+    ),
+    'remark_allergy': (
+        '如果已备注过敏但餐品仍放入相关食材，建议先停止食用，并按未按备注制作或餐品问题提交售后。',
+        '建议您上传餐品照片、订单备注截图和相关沟通记录，说明过敏备注未被满足。',
+        '平台会结合订单备注、餐品情况和凭证核实处理。',
+    ),
+    'remark_scallion': (
+        '如果已备注不要葱但餐品仍放了葱，可以按未按备注制作提交售后。',
+        '建议您上传餐品照片、订单备注截图和相关沟通记录，反馈商家未按备注制作。',
+        '平台会结合订单备注、餐品情况和凭证核实处理。',
+    ),
+    'remark_coriander': (
+        '如果已备注不要香菜但餐品仍放了香菜，可以按未按备注制作提交售后。',
+        '建议您上传餐品照片、订单备注截图和相关沟通记录，反馈商家未按备注制作。',
+        '平台会结合订单备注、餐品情况和凭证核实处理。',
+    ),
+    'remark_diet': (
+        '如果已写明忌口或过敏备注但商家未按备注制作，可以按未按备注制作或餐品问题提交售后。',
+        '建议您上传餐品照片、订单备注截图和相关沟通记录。',
+        '平台会结合订单备注、餐品情况和凭证核实处理。',
+    ),
+    'contact_for_refund': (
+        '平台客服不能绕过平台直接联系商家要求退款，但可以根据问题类型协助联系商家核实。',
+        '建议您优先通过订单详情页的联系商家入口沟通，并保留平台内聊天记录；需要客服协助时可在订单内提交问题。',
+        '具体能否协助联系和处理结果以订单页面展示及平台核实为准。',
+    ),
+    'contact_by_call': (
+        '平台客服不能绕过平台直接代打给店家，但可以根据问题类型协助联系商家核实。',
+        '建议您优先通过订单详情页的联系商家入口沟通，并保留平台内聊天记录；需要客服协助时可在订单内提交问题。',
+        '具体能否协助联系和处理结果以订单页面展示及平台核实为准。',
+    ),
+    'rider_unreachable': (
+        '骑手联系不上时，建议先按配送异常处理。',
+        '请先在订单详情页查看配送状态，并通过平台内联系功能再次联系骑手；如果仍联系不上或订单已明显超时，请在订单详情页提交配送异常反馈。',
+        '平台会结合骑手位置、配送进度和订单状态核实处理。',
+    ),
+    'rider_arrived_elsewhere': (
+        '骑手说已到但定位仍很远，属于配送状态和骑手定位不一致，建议先按配送异常处理。',
+        '请先在订单详情页核对配送状态，并通过平台内联系功能联系骑手确认实际位置；如果仍无法确认或联系不上，立即提交配送异常或未收到餐反馈。',
+        '平台会结合骑手位置、配送进度和订单状态核实处理。',
+    ),
+    'missing_food_refund': (
+        '骑手取餐后一直没收到餐，可以提交未收到餐反馈；能否退款需要以平台核实结果为准。',
+        '建议您先确认门口、前台、取餐柜或指定收餐点是否有餐品，并尝试联系骑手；如果仍未找到，请在订单详情页提交未收到餐反馈。',
+        '平台会核实骑手送达情况和订单状态，退款或售后结果以平台核实处理为准。',
+    ),
+    'merchant_sees_phone': (
+        '商家一般不应直接看到您的真实手机号，平台通常会通过隐私号等方式保护联系方式。',
+        '建议您通过订单页面或平台内联系功能沟通，不要在聊天中主动发送完整手机号、地址或验证码。',
+        '具体号码展示方式以平台规则和订单页面为准。',
+    ),
+    'merchant_phone': (
+        '不能直接提供页面未展示的店家手机号。',
+        '您可以在订单详情页或商家主页查看“联系商家”入口，并优先通过平台内电话或在线联系功能沟通。',
+        '如果页面没有展示电话，说明商家可能未开放电话联系或使用平台虚拟号，具体以页面展示为准。',
+    ),
+}
+
+#: The conclusion where the platform's own service and a phone number are asked about.
+PLATFORM_PHONE_CONCLUSION = '平台客服处理订单时也应遵守平台隐私保护规则，您不需要主动提供完整手机号。'
 
 #: Terms of a promise.
 RISKY_PROMISE_TERMS = ['一定', '补偿', '保证', '必赔', '百分百']

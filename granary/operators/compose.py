@@ -10,31 +10,38 @@ from pyspark.sql import functions as F
 from granary.functions import fixed_values as fixed
 from granary.functions import rules, text
 
-_T = fixed.STEP_TEXTS
 _NEEDS = {k: "q:" + "|".join(v) for k, v in fixed.QUERY_NEED_KEYWORDS.items()}
 _UNREACHABLE = "q:联系不上|联系不到|打不通|电话不接|无法联系"
 _ARRIVED = "q:定位|位置 & q:说到了|显示到了|说已到"
-#: Steps that end the composition: condition and the texts of conclusion, action and caveat, in order.
-FINAL_STEPS = [(f"i={intent} & {rules.GUARANTEE}", tuple(_T[3 * k : 3 * k + 3])) for k, intent in enumerate(("未收到餐", "退款进度", "退款金额咨询", "延误补偿", "少送漏送", "食品安全投诉", "骑手态度投诉", "接单后取消"))] + [
-    ("i=优惠券不可用 & q:补我|补偿|赔", tuple(_T[31:34])),
-    ("i=发票开具咨询", tuple(_T[34:37])),
-    ("i=联系商家咨询 & q:帮我打|直接打|私下打|打给店家|打给商家 & q:退款|退钱|全款", (_T[49], _T[51], _T[52])),
-    ("i=联系商家咨询 & q:帮我打|直接打|私下打|打给店家|打给商家", (_T[50], _T[51], _T[52])),
-    (f"i=配送异常追问 & {_UNREACHABLE}", tuple(_T[53:56])),
-    ("i=隐私保护咨询 & q:商家 & q:手机号", tuple(_T[62:65])),
-    (f"i=商家电话咨询 & {_NEEDS['safety_or_privacy_boundary']} & {_NEEDS['yes_no_request']} OR i=商家电话咨询 & q:直接发|店主电话", tuple(_T[65:68])),
+#: Steps that end the composition: condition and name of its texts, in order.
+FINAL_STEPS = [
+    (f"i=未收到餐 & {rules.GUARANTEE}", "missing_food_guarantee"),
+    (f"i=退款进度 & {rules.GUARANTEE}", "refund_time_guarantee"),
+    (f"i=退款金额咨询 & {rules.GUARANTEE}", "refund_amount_guarantee"),
+    (f"i=延误补偿 & {rules.GUARANTEE}", "delay_guarantee"),
+    (f"i=少送漏送 & {rules.GUARANTEE}", "missing_item_guarantee"),
+    (f"i=食品安全投诉 & {rules.GUARANTEE}", "food_safety_guarantee"),
+    (f"i=骑手态度投诉 & {rules.GUARANTEE}", "rider_guarantee"),
+    (f"i=接单后取消 & {rules.GUARANTEE}", "cancel_guarantee"),
+    ("i=优惠券不可用 & q:补我|补偿|赔", "coupon_compensation"),
+    ("i=发票开具咨询", "invoice"),
+    ("i=联系商家咨询 & q:帮我打|直接打|私下打|打给店家|打给商家 & q:退款|退钱|全款", "contact_for_refund"),
+    ("i=联系商家咨询 & q:帮我打|直接打|私下打|打给店家|打给商家", "contact_by_call"),
+    (f"i=配送异常追问 & {_UNREACHABLE}", "rider_unreachable"),
+    ("i=隐私保护咨询 & q:商家 & q:手机号", "merchant_sees_phone"),
+    (f"i=商家电话咨询 & {_NEEDS['safety_or_privacy_boundary']} & {_NEEDS['yes_no_request']} OR i=商家电话咨询 & q:直接发|店主电话", "merchant_phone"),
 ]
 #: Steps that change all three texts and let later steps follow; of several the last holds.
 EDIT_STEPS = [
-    (f"i=退款金额咨询 & {_NEEDS['refund_dispute']} & q:没吃上|没收到|没用餐", (_T[24], _T[25], _T[26])),
-    ("i=退款金额咨询 & q:配送费 & !q:合理吗", (_T[28], _T[29], _T[30])),
-    ("i=退款金额咨询 & q:配送费 & q:合理吗", (_T[27], _T[29], _T[30])),
-    ("i=备注未满足 & q:忌口 & !q:过敏|花生|葱|香菜", tuple(_T[46:49])),
-    ("i=备注未满足 & q:香菜 & !q:过敏|花生|葱", tuple(_T[43:46])),
-    ("i=备注未满足 & q:葱 & !q:过敏|花生", tuple(_T[40:43])),
-    ("i=备注未满足 & q:过敏|花生", tuple(_T[37:40])),
-    (f"i=配送异常追问 & {_ARRIVED}", tuple(_T[56:59])),
-    ("i=未收到餐 & q:能退", tuple(_T[59:62])),
+    (f"i=退款金额咨询 & {_NEEDS['refund_dispute']} & q:没吃上|没收到|没用餐", "refund_not_eaten"),
+    ("i=退款金额咨询 & q:配送费 & !q:合理吗", "delivery_fee"),
+    ("i=退款金额咨询 & q:配送费 & q:合理吗", "delivery_fee_fairness"),
+    ("i=备注未满足 & q:忌口 & !q:过敏|花生|葱|香菜", "remark_diet"),
+    ("i=备注未满足 & q:香菜 & !q:过敏|花生|葱", "remark_coriander"),
+    ("i=备注未满足 & q:葱 & !q:过敏|花生", "remark_scallion"),
+    ("i=备注未满足 & q:过敏|花生", "remark_allergy"),
+    (f"i=配送异常追问 & {_ARRIVED}", "rider_arrived_elsewhere"),
+    ("i=未收到餐 & q:能退", "missing_food_refund"),
 ]
 #: What is said where the evidence is empty.
 EMPTY_PARTS = ("建议您先在订单详情页查看当前状态", "如果页面无法处理，可以联系平台客服核实", "具体结果以订单页面和平台处理结果为准")
@@ -82,15 +89,16 @@ def required_steps(df: DataFrame, query: str, intent: str) -> DataFrame:
     """df with _parts after the steps that an intent requires: a final step's texts, else the edits, required action and caveat, and the answer on the platform's own service."""
     fields = {"q": text.text(query), "i": text.text(intent)}
     i = fields["i"]
-    final = rules.first_match(FINAL_STEPS, fields, _parts, F.lit(None))
-    edit = rules.first_match(EDIT_STEPS[::-1], fields, _parts, F.lit(None))
+    texts = lambda name: _parts(fixed.STEPS[name])
+    final = rules.first_match(FINAL_STEPS, fields, texts, F.lit(None))
+    edit = rules.first_match(EDIT_STEPS[::-1], fields, texts, F.lit(None))
     df = df.withColumn("_final", final).withColumn("_edit", edit)
     conclusion = _by_intent(fixed.REQUIRED_CONCLUSIONS_BY_INTENT, i)
     df = df.withColumn("_now", F.coalesce("_edit", F.struct(F.when(conclusion != "", conclusion).otherwise(F.col("_parts.conclusion")).alias("conclusion"), F.col("_parts.action").alias("action"), F.col("_parts.caveat").alias("caveat"))))
     action, caveat = _by_intent(fixed.REQUIRED_ACTIONS_BY_INTENT, i), _by_intent(fixed.REQUIRED_CAVEATS_BY_INTENT, i)
     df = df.withColumn("_required", F.struct(action.alias("action"), caveat.alias("caveat")))
     completed = F.struct(F.col("_now.conclusion").alias("conclusion"), *[F.when((F.col(f"_required.{k}") != "") & ~F.col(f"_now.{k}").contains(F.col(f"_required.{k}")), F.col(f"_required.{k}")).otherwise(F.col(f"_now.{k}")).alias(k) for k in ("action", "caveat")])
-    privacy = _parts((_T[68], fixed.REQUIRED_ACTIONS_BY_INTENT["隐私保护咨询"], fixed.REQUIRED_CAVEATS_BY_INTENT["隐私保护咨询"]))
+    privacy = _parts((fixed.PLATFORM_PHONE_CONCLUSION, fixed.REQUIRED_ACTIONS_BY_INTENT["隐私保护咨询"], fixed.REQUIRED_CAVEATS_BY_INTENT["隐私保护咨询"]))
     platform = rules.condition("q:平台客服 & q:手机号", fields)
     return df.withColumn("_parts", F.coalesce("_final", F.when(platform, privacy).otherwise(completed))).drop("_final", "_edit", "_now", "_required")
 

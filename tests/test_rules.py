@@ -23,38 +23,54 @@ def test_hints(spark):
 
 
 COMPOSED = [
-    ("优惠券为什么不能用", "优惠券通常会有使用门槛、有效期、适用品类、适用商家和支付方式限制。您可以点开优惠券详情查看不可用原因。 我理解您现在比较着急，这类问题建议优先在订单内处理，方便平台核实。", "优惠券不可用", "优惠券不能使用通常与使用门槛、有效期、适用品类、适用商家或支付方式限制有关。请您点开优惠券详情或结算页查看不可用原因；如果确认满足条件仍不可用，可以截图后通过订单页或官方客服反馈核实。", ["使用门槛", "优惠券详情"], "structured_from_primary_evidence"),
-    ("订单取消后钱多久退回来", "订单取消后钱多久退回来？", "退款进度", "取消后如已支付，退款通常会按支付渠道原路退回；到账时间可能受支付渠道处理影响，建议在订单详情页查看退款进度。", ["支付渠道"], "low_quality_model_reply"),
-    ("骑手让我发验证码给他可以吗", "不可以。", "验证码诈骗提醒", "不可以。验证码、密码等属于隐私和敏感信息，请不要向骑手或任何人提供。涉及退款、配送或订单处理，请通过订单页面或官方客服渠道操作，并保留相关沟通记录。", ["^不可以。", "官方客服渠道"], None),
-    ("商家一直不接单我想取消订单", "可以取消。", "取消订单", "您可以在订单详情页发起取消申请。如果页面无法取消，可以联系平台客服进一步处理。系统会根据订单状态处理退款。", ["商家一直未接单", "订单详情页", "平台客服"], None),
-    ("平台客服可以看我的手机号吗", "平台会保护手机号。", "隐私保护咨询", "平台通常会通过隐私号等方式保护用户和骑手手机号。请尽量通过平台内联系功能沟通，不要在聊天中主动发送完整手机号、地址或验证码。", ["不需要主动提供完整手机号", "平台内联系功能", "隐私号"], None),
-    ("我取消订单后为什么只退了一部分钱", "这个需要看订单情况。", "退款金额咨询", "部分退款可能与商家是否已制作、配送是否已开始、优惠券抵扣和平台规则有关。您可以在退款详情页查看扣除原因，如有疑问可提交售后复核。", ["^订单取消后只退一部分", "退款详情页"], None),
-    ("我都没吃上凭什么还扣我钱", "x", "退款金额咨询", "部分退款可能与商家是否已制作有关。", ["^没吃上但仍被扣款或只退部分金额", "退款详情页", "平台介入"], None),
-    ("餐没收到，退款还扣配送费，这合理吗", "x", "退款金额咨询", "部分退款可能与商家是否已制作有关。", ["^不能直接判断扣配送费是否合理", "售后复核"], None),
-    ("别走平台了，把店主电话直接发我，我自己去说", "x", "商家电话咨询", "商家电话可在订单详情页查看。", ["^不能直接提供页面未展示的店家手机号", "联系商家", "虚拟号"], None),
-    ("我备注不要葱，结果全是葱，这算商家没按备注做吗", "x", "备注未满足", "可以申请售后。", ["^如果已备注不要葱", "订单备注截图"], None),
-    ("我写了忌口备注商家没照做，这算餐品问题吗", "x", "备注未满足", "可以申请售后。", ["^如果已写明忌口或过敏备注", "餐品照片"], None),
-    ("骑手一直停在一个地方不动怎么办", "x", "催单", "可以联系骑手。", ["^骑手位置一直停在一个地方", "订单详情页反馈配送异常"], None),
-    ("骑手联系不上怎么办", "x", "配送异常追问", "可以联系骑手。", ["^骑手联系不上时", "配送异常反馈"], None),
-    ("没收到餐你直接说一定给我退全款吧", "x", "未收到餐", "请先确认。", ["^不能直接承诺全额退款", "无法立即取回餐品", "平台核实处理为准"], None),
-    ("商家接单了但还没送，你保证我取消后不扣钱吗", "x", "接单后取消", "请先确认。", ["^不能保证商家接单后取消一定不扣钱", "页面显示"], None),
-    ("问", "", "没有规则的意图", "", ["建议您先在订单详情页查看当前状态。"], "low_quality_model_reply"),
+    ("红包结算时抵不了", "看一下红包写明的条件，多半是今天的单子不符合其中一条，页面上会写原因。您别生气，慢慢看。", "优惠券不可用", "红包有使用门槛和有效期。先点开红包看原因。条件都满足还抵不了，就截图反馈。", ["使用门槛", "优惠券详情"], None),
+    ("我取消的那单什么时候到账", "我取消的那单什么时候到账？", "退款进度", "钱按支付渠道原路退回，快慢要看银行，进度在订单详情页。", ["支付渠道"], "low_quality_model_reply"),
+    ("有人要我把验证码念给他，能不能念", "别念。", "验证码诈骗提醒", "不可以念给任何人。有事请联系官方客服渠道，不要私下说。", ["^不可以", "官方客服渠道"], None),
+    ("店家半天没接单，我不想要了", "能取消。", "取消订单", "在订单详情页点取消。点不动就找平台客服。", ["订单详情页", "平台客服"], None),
+    ("你们平台客服查得到手机号吗", "查不到。", "隐私保护咨询", "号码由隐私号保护，请用平台内联系功能。", ["不需要主动提供完整手机号", "平台内联系功能", "隐私号"], None),
+    ("退下来的钱怎么少了一截", "得看单子。", "退款金额咨询", "少退的部分和制作、配送有关。扣除原因写在退款详情页。", ["退款详情页"], None),
+    ("我压根没用餐，为什么扣钱", "x", "退款金额咨询", "可能店家已经做了。", ["^没吃上但仍被扣款或只退部分金额", "退款详情页", "平台介入"], None),
+    ("饭没到手还收我配送费，合理吗", "x", "退款金额咨询", "可能店家已经做了。", ["^不能直接判断扣配送费是否合理", "售后复核"], None),
+    ("退回来的钱扣了配送费", "x", "退款金额咨询", "可能店家已经做了。", ["^餐没拿到但仍被扣配送费", "退款详情页"], None),
+    ("要店主电话，我自己打", "x", "商家电话咨询", "电话在页面上看。", ["^不能直接提供页面未展示的店家手机号", "联系商家", "虚拟号"], None),
+    ("说了别放葱，还是放了", "x", "备注未满足", "走售后。", ["^如果已备注不要葱", "订单备注截图"], None),
+    ("香菜写了不要也给我加", "x", "备注未满足", "走售后。", ["^如果已备注不要香菜", "订单备注截图"], None),
+    ("对花生过敏，里面却有花生", "x", "备注未满足", "走售后。", ["^如果已备注过敏", "停止食用"], None),
+    ("写明了忌口，店里没当回事", "x", "备注未满足", "走售后。", ["^如果已写明忌口或过敏备注", "餐品照片"], None),
+    ("送餐的打不通", "x", "配送异常追问", "找骑手。", ["^骑手联系不上时", "配送异常反馈"], None),
+    ("他说已到，可位置差得远", "x", "配送异常追问", "找骑手。", ["^骑手说已到但定位仍很远"], None),
+    ("饭没来，能退吗", "x", "未收到餐", "先找找。", ["^骑手取餐后一直没收到餐"], None),
+    ("饭没来，保证退我", "x", "未收到餐", "先找找。", ["^不能直接承诺全额退款", "无法立即取回餐品", "平台核实处理为准"], None),
+    ("承诺一个到账的日子", "x", "退款进度", "看进度。", ["^不能直接承诺全额退款或具体到账时间", "原路退回"], None),
+    ("承诺把少的钱都退给我", "x", "退款金额咨询", "看详情。", ["^不能直接承诺平台全额退款", "扣除原因"], None),
+    ("晚到一小时，保证补我钱", "x", "延误补偿", "看入口。", ["^不能保证超时后都会赔钱", "补偿入口"], None),
+    ("漏的那份马上给我送来", "x", "少送漏送", "走售后。", ["^不能直接承诺由商家立即补送", "小票"], None),
+    ("汤里有虫，保证赔", "x", "食品安全投诉", "走售后。", ["^需要通过订单售后提交食品安全投诉", "停止食用"], None),
+    ("保证罚那个骑手", "x", "骑手态度投诉", "走投诉。", ["^不能保证处罚骑手或赔偿", "骑手服务投诉"], None),
+    ("已经接单了，保证取消不扣", "x", "接单后取消", "看状态。", ["^不能保证商家接单后取消一定不扣钱", "页面显示"], None),
+    ("红包没用上，补偿我", "x", "优惠券不可用", "看条件。", ["^不能直接判断平台会补偿", "截图"], None),
+    ("抬头怎么开", "x", "发票开具咨询", "看页面。", ["^发票可以先在订单详情页", "没有入口"], None),
+    ("帮我打电话要回退款", "x", "联系商家咨询", "看页面。", ["^平台客服不能绕过平台直接联系商家要求退款", "聊天记录"], None),
+    ("帮我打给店里", "x", "联系商家咨询", "看页面。", ["^平台客服不能绕过平台直接代打给店家", "聊天记录"], None),
+    ("商家手里有我的手机号吗", "x", "隐私保护咨询", "看规则。", ["^商家一般不应直接看到您的真实手机号"], None),
+    ("随便问", "", "没有规则的意图", "", ["建议您先在订单详情页查看当前状态。"], "low_quality_model_reply"),
 ]
 
 
 def test_composed_answers(spark):
     rows = compose.compose(spark.createDataFrame([c[:4] for c in COMPOSED], "query string, reply string, intent string, answer string")).collect()
+    wrong = []
     for r, (query, _, _, _, wanted, reason) in zip(rows, COMPOSED, strict=True):
-        for w in wanted:
-            assert r.composed_reply.startswith(w[1:]) if w[0] == "^" else w in r.composed_reply, (query, w, r.composed_reply)
-        assert reason in (None, r.composer_reason)
-    assert "我理解您现在比较着急" not in rows[0].composed_reply
+        wrong += [(query, w, r.composed_reply) for w in wanted if not (r.composed_reply.startswith(w[1:]) if w[0] == "^" else w in r.composed_reply)]
+        wrong += [(query, reason, r.composer_reason)] if reason not in (None, r.composer_reason) else []
+    assert wrong == []
+    assert "您别生气" not in rows[0].composed_reply
     # the required action and caveat replace those of an edit
-    assert rows[9].answer_parts.action.startswith("提交售后时建议您上传")
+    assert rows[10].answer_parts.action.startswith("提交售后时建议您上传")
 
 
 def test_reply_rules(spark):
-    cases = [("催一下", "模型回复", "配送", "催单", "模型回复"), ("退款失败了", "模型回复", "退款", "退款失败", "退款失败可能与"), ("你保证处罚吗", "不能保证", "投诉", "骑手态度投诉", "不能保证"), ("能退吗", "r", "配送", "未收到餐", "骑手取餐后一直没收到餐"), ("定位很远骑手说到了", "r", "配送", "配送异常追问", "骑手说已到但定位仍很远")]
+    cases = [("随便问问", "原话", "配送", "催单", "原话"), ("这单退款失败怎么回事", "原话", "退款", "退款失败", "退款失败可能与"), ("你能保证吗", "不能乱说", "投诉", "骑手态度投诉", "不能乱说"), ("饭没来，能退吗", "原话", "配送", "未收到餐", "骑手取餐后一直没收到餐"), ("他说已到，位置不对", "原话", "配送", "配送异常追问", "骑手说已到但定位仍很远")]
     rows = compose.reply_rules(spark.createDataFrame([c[:4] for c in cases], "query string, reply string, category string, intent string")).collect()
     for r, c in zip(rows, cases, strict=True):
         assert r.ruled_reply.startswith(c[4]), (r.ruled_reply, c)
