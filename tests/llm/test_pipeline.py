@@ -63,3 +63,34 @@ def test_near_copies_are_those_of_all_pairs(spark):
     out = simhash.near_dedup(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(set(label))
     assert simhash.near_groups(docs.limit(0), words=5).count() == 0
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _store(spark, tmp_path, rows, labels):
+    spark.createDataFrame(rows, DOCS).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"file://{tmp_path}/labels.parquet")
+    return f"file://{tmp_path}"
+
+
+def test_odd_tables_run_whole(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, a long text and no labels: nothing fails, no clean text is lost but for the mix."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(40)), "en", "a" if i % 3 else None, 1) for i in range(60)]
+    rows += [(None, "a row without id " * 5, "en", "a", 1), (None, None, None, None, None), (60, None, "en", "a", 0), (61, "", "en", "b", 0), (62, " ".join(rng.choice(words) for _ in range(60_000)), "en", "b", 1), rows[5], rows[5], (63, rows[7][1], "en", "a", 1)]
+    sf = _store(spark, tmp_path, rows, [])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+        if name == "toxicity":
+            assert docs.count() == len(rows)
+    kept = [r.doc_id for r in docs.collect()]
+    assert {*range(60), 62} <= set(kept) and 63 not in kept and kept.count(5) == 1
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert out and {r.doc_id for r in out} <= set(kept)
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    assert corpus_pipeline.run(spark, _store(spark, tmp_path, [], [(1, 1, 1)])).collect() == []
