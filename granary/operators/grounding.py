@@ -189,6 +189,24 @@ def histogram(df: DataFrame, column: str, where: Column | None = None) -> DataFr
     return rows.filter(text.text(column) != "").groupBy(column).agg(F.count("*").alias("n"))
 
 
+def fixed_counts(df: DataFrame, values: Column, keys: list[str], other: str | None = None, where: Column | None = None) -> DataFrame:
+    """(place, key, n) for each of some keys, in their order, those without rows with 0; other: the key that all other values count as, else they are left out."""
+    rows = df if where is None else df.filter(where)
+    key = F.when(values.isin(*keys), values).otherwise(F.lit(other))
+    wide = rows.agg(*[F.count_if(key == k).alias(f"_{i}") for i, k in enumerate(keys)])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("key"), F.col(f"_{i}").alias("n")) for i, k in enumerate(keys)])))
+
+
+def failure_counts(df: DataFrame) -> DataFrame:
+    """Judges' failures by kind, all kinds; a kind that isn't known counts as other."""
+    return fixed_counts(df, text.text("judge_failure_type"), fixed.JUDGE_FAILURE_TYPES, "other", text.text("judge_status") == "failed")
+
+
+def transition_counts(df: DataFrame) -> DataFrame:
+    """How many cases of two compared runs improved, worsened, stayed and changed."""
+    return fixed_counts(df, F.col("transition"), ["improved", "worsened", "unchanged", "changed"])
+
+
 def attribution_table(df: DataFrame, column: str = "attribution", actions: list[tuple[str, str]] = fixed.ISSUE_ACTIONS) -> DataFrame:
     """(place, attribution, count, action, cases): causes in a fixed order, those without cases left out, cases in the order of pos."""
     order = df.sparkSession.createDataFrame([(k, *x) for k, x in enumerate(actions)], "place int, attribution string, action string")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text
+from granary.operators import places
 
 ITEMS = "id long, base_id string, version int, question string, answer string, category string, intent string, status string, review_note string, created_at timestamp, updated_at timestamp, reviewed_at timestamp"
 HISTORY = "id long, publish_id string, action string, status string, merged_count int, item_ids array<long>, backup_path string, knowledge_path string, index_path string, note string, created_at timestamp"
@@ -115,8 +116,8 @@ def publish(items: DataFrame, kb: DataFrame, strict: bool = False) -> tuple[Data
     approved = items.filter("status = 'approved'")
     if strict:
         approved = approved.withColumn("_n", F.row_number().over(Window.partitionBy("base_id").orderBy(F.desc("version")))).filter("_n = 1").drop("_n")
-    start = kb.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("_start"))
-    new = payload(approved).withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("base_id", "version"))).crossJoin(F.broadcast(start)).withColumn("pos", F.col("_start") + F.col("_n") - 1)
+    start = kb.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+    new = places.numbered(payload(approved), ["base_id", "version"], start=start)
     merged = kb.unionByName(new.select("pos", *[c for c in new.columns if c in kb.columns and c != "pos"]), allowMissingColumns=True)
     return changed(items, approved, F.lit("published"), F.current_timestamp()), merged
 

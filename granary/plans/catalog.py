@@ -297,6 +297,26 @@ def report_compare(spark: SparkSession, sf: str) -> DataFrame:
     return grounding.compare(run(a), run(b)).select(F.col("query").alias("doc_id"), "transition")
 
 
+COMPARE_SQL = """WITH a AS (SELECT doc_id, CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS s, CASE toxic WHEN 1 THEN 'no' ELSE 'yes' END AS g FROM labels), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN CASE s WHEN 'yes' THEN 'no' ELSE 'yes' END ELSE s END AS s, CASE WHEN doc_id % 10 = 3 THEN 'partial' ELSE g END AS g FROM a WHERE doc_id % 6 > 0)
+SELECT a.doc_id, CASE WHEN (a.s = 'yes' AND a.g = 'yes') AND NOT (b.s = 'yes' AND b.g = 'yes') THEN 'worsened' WHEN NOT (a.s = 'yes' AND a.g = 'yes') AND (b.s = 'yes' AND b.g = 'yes') THEN 'improved' WHEN a.s = b.s AND a.g = b.g THEN 'unchanged' ELSE 'changed' END AS transition FROM a JOIN b USING (doc_id)"""
+
+
+@query(f"""WITH c AS ({COMPARE_SQL}), k(place, key) AS (VALUES (0, 'improved'), (1, 'worsened'), (2, 'unchanged'), (3, 'changed')) SELECT place, key, (SELECT count(*) FROM c WHERE transition = key) AS n FROM k""")
+def transition_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many cases of the two compared runs went which way."""
+    return grounding.transition_counts(QUERIES["report_compare"](spark, sf))
+
+
+@query("""WITH r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'succeeded' END AS s, CASE doc_id % 4 WHEN 0 THEN 'not_json' WHEN 1 THEN 'missing_field' WHEN 2 THEN 'strange' ELSE 'empty_reason' END AS t FROM labels),
+k(place, key) AS (VALUES (0, 'empty_response'), (1, 'not_json'), (2, 'missing_field'), (3, 'invalid_enum'), (4, 'empty_reason'), (5, 'other'))
+SELECT place, key, (SELECT count(*) FROM r WHERE s = 'failed' AND CASE WHEN t = 'strange' THEN 'other' ELSE t END = key) AS n FROM k""")
+def failure_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Failures of judges over the labelled documents, by all kinds, those that never occur and unknown ones included."""
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, "not_json").when(i % 4 == 1, "missing_field").when(i % 4 == 2, "strange").otherwise("empty_reason")
+    return grounding.failure_counts(_t(spark, sf, "labels").select(F.when(i % 11 == 0, "failed").otherwise("succeeded").alias("judge_status"), kind.alias("judge_failure_type")))
+
+
 @query("WITH a AS (SELECT n_name AS key, n_regionkey AS value FROM nation WHERE n_nationkey < 20), b AS (SELECT n_name AS key, CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey ELSE n_regionkey + 1 END AS value FROM nation WHERE n_nationkey > 4) SELECT key, a.value AS base, b.value AS target FROM a FULL JOIN b USING (key) WHERE a.value IS DISTINCT FROM b.value")
 def config_diff(spark: SparkSession, sf: str) -> DataFrame:
     n = _t(spark, sf, "nation")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text
-from granary.operators import grounding, retrieval
+from granary.operators import grounding, places, retrieval
 from granary.plans import chat
 
 
@@ -76,6 +76,24 @@ def grounding_run(cases: DataFrame, kb: DataFrame, raw_judge: Column | None = No
     return grounding.classified(rows)
 
 
+def stored_run(cases: DataFrame, raw_judge: Column | None = None) -> DataFrame:
+    """Reports of answers that are stored with their cases (query, reply and, as far as they were kept, retrieved_items, prompt_context_items, retrieved_documents, final_prompt, the metadata and a judge's text), judged where raw_judge gives one, and classified. No answer is made anew; what wasn't kept is empty."""
+    item = "struct<rank: int, category: string, intent: string, question: string, answer: string>"
+    used = "struct<role: string, intent: string, answer: string>"
+    kept = {"retrieved_items": f"array<{item}>", "prompt_context_items": f"array<{used}>", "retrieved_documents": "array<string>", "expected_evidence_keywords": "array<string>", "forbidden_keywords": "array<string>", "final_prompt": "string", "expected_intent": "string", "reply": "string"}
+    rows = cases.withColumns({c: F.lit(None).cast(k) for c, k in kept.items() if c not in cases.columns})
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in ("retrieved_items", "prompt_context_items")})
+    rows = grounding.reports(rows).withColumn("judge_status", F.lit("not_run"))
+    if raw_judge is not None:
+        rows = grounding.judged(rows.withColumn("raw_judge_response", raw_judge))
+    return grounding.classified(rows)
+
+
+def run_config(spark, **settings) -> DataFrame:
+    """(key, value) of a run's settings, in the order of their names, as config_diff compares them."""
+    return spark.createDataFrame(sorted((k, "" if v is None else str(v)) for k, v in settings.items()), "key string, value string")
+
+
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rows with pos by order, for reports, which are as many as cases."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+    """rows with pos by order."""
+    return places.numbered(rows, [order])

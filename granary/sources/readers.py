@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import fixed_values as fixed
 from granary.functions import text
-from granary.operators import retrieval
+from granary.operators import places, retrieval
 
 KB = "id string, source string, dialogue_type string, quality string, question string, answer string, category string, intent string, sentiment string, entities map<string,string>"
 CASES = "id string, scenario string, case_type string, query string, expected_intent string, expected_evidence_keywords array<string>, forbidden_keywords array<string>, notes string"
@@ -24,17 +24,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line) of a text file in its order, from 0.
 
     Positions are ranks of Spark's own place of a line: partitions of a text source follow the file, so the partition's
-    number and the line's number in it give the order, and only one count per partition is summed up.
+    number and the line's number in it give the order, and only one count per partition is summed up and joined.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))
-    base = F.shiftleft(F.col("p").cast("long"), 33)
-    counts = lines.groupBy("p").agg(F.count("*").alias("n")).collect()  # one row per partition
-    start, at = {}, 0
-    for r in sorted(counts):
-        start[r.p], at = at, at + r.n
-    starts = F.create_map(*[F.lit(x).cast("long") for k, v in start.items() for x in (k, v)]) if start else None
-    pos = F.element_at(starts, F.col("p").cast("long")) + F.col("i") - base if start else F.col("i")
-    return lines.select(pos.alias("pos"), "line")
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("_number"))
+    return places.from_parts(lines, "_number").select("pos", "line")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True, limit: int | None = None) -> DataFrame:
