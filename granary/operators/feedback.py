@@ -73,9 +73,13 @@ def ops_metrics(traces: DataFrame, latest: int = LATEST) -> DataFrame:
     top-k, so no task sorts all traces.
     """
     counts = traces.agg(F.count("*").alias("request_count"), *[F.count_if(c).alias(n) for n, c in flags().items()])
+    return counts.crossJoin(latency_metrics(traces, latest))  # one row by one row
+
+
+def latency_metrics(traces: DataFrame, latest: int = LATEST) -> DataFrame:
+    """One row: mean and 95th percentile of the latencies of the latest traces (seq, latency_ms)."""
     last = traces.orderBy(F.desc("seq")).limit(latest).select(F.coalesce("latency_ms", F.lit(0.0)).alias("ms")).agg(F.sort_array(F.collect_list("ms")).alias("all"))
     n = F.size("all")
     mean = F.aggregate("all", F.lit(0.0), lambda a, x: a + x) / n
     p95 = F.get("all", F.least(F.floor(n * 0.95).cast("int"), n - 1))
-    ms = last.select(F.when(n == 0, 0.0).otherwise(F.round(mean, 2)).alias("average_latency_ms"), F.when(n == 0, 0.0).otherwise(F.round(p95, 2)).alias("p95_latency_ms"))
-    return counts.crossJoin(ms)  # one row by one row
+    return last.select(F.when(n == 0, 0.0).otherwise(F.round(mean, 2)).alias("average_latency_ms"), F.when(n == 0, 0.0).otherwise(F.round(p95, 2)).alias("p95_latency_ms"))
