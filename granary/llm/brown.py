@@ -27,6 +27,8 @@ FOLDS = 10
 BLOCK, DISTINCT, CELL = 1 << 22, 1 << 18, 256
 #: The most frequent words, which a sweep moves one by one, and how many of the others it judges at once.
 FIRST, TOGETHER = 4096, 32
+#: Counts whose gains are looked up where many words are judged by the same matrix.
+SMALL = 16
 #: The token at the end of each text, which also stands before its first word. No word is empty.
 END = b""
 
@@ -147,12 +149,13 @@ def contexts(docs: DataFrame, text_col: str, words: list[bytes]) -> DataFrame:
         other = len(names)
 
         def take(at: np.ndarray, _: list[bytes]) -> Iterator[pa.RecordBatch]:
-            pairs, n = np.unique(at[:-1] * (other + 1) + at[1:], return_counts=True)
-            left, right = pairs // (other + 1), pairs % (other + 1)
-            word, code, n = np.concatenate([right, left]), np.concatenate([left, right + other + 1]), np.concatenate([n, n])
-            word, code, n = (x[word < other] for x in (word, code, n))
-            order = np.lexsort((code, word, word % tasks))
-            word, code, n = word[order], code[order], n[order]
+            left, right = at[:-1], at[1:]
+            word, code = np.concatenate([right, left]), np.concatenate([left, right + other + 1])
+            known = word < other
+            word, code = word[known], code[known]
+            # sorted by task, word and code, packed into one number
+            key, n = np.unique((word % tasks * other + word) * wide + code, return_counts=True)
+            word, code = key // wide % other, key % wide
             ends = np.searchsorted(word % tasks, np.arange(tasks + 1))
             for b in range(tasks):
                 if ends[b] < ends[b + 1]:
@@ -203,19 +206,35 @@ def objective(matrix: np.ndarray) -> float:
     return float(_f(matrix).sum() - _f(matrix.sum(axis=0)).sum() - _f(matrix.sum(axis=1)).sum())
 
 
-def gains(near: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """What the objective gains when each word, by its neighbours' classes, joins each class: f(N + n) - f(N) of the cells it adds to, less that of the class's sizes."""
+def _added(n: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """f(N + n) - f(N), f(x) = x log x."""
+    return before * np.log1p(n / np.maximum(before, 0.5)) + n * np.log(np.maximum(before + n, 1))
+
+
+def small_gains(matrix: np.ndarray) -> list[np.ndarray]:
+    """_added for counts under SMALL, for both sides of a word."""
+    wide = len(matrix)
+    return [np.stack([_added(np.float64(n), cells) for n in range(SMALL)]) for cells in (matrix[:, : wide - 1], matrix.T[:, : wide - 1])]
+
+
+def gains(near: np.ndarray, matrix: np.ndarray, small: list[np.ndarray] | None = None) -> np.ndarray:
+    """What the objective gains when each word, by its neighbours' classes, joins each class: f(N + n) - f(N) of the cells it adds to, less that of the class's sizes. small: what small_gains says of the matrix, where many words are judged by one."""
     wide = len(matrix)
     out = np.zeros((len(near), wide - 1))
-    for counts, cells in ((near[:, :wide], matrix[:, : wide - 1]), (near[:, wide:], matrix.T[:, : wide - 1])):
+    for side, (counts, cells) in enumerate(((near[:, :wide], matrix[:, : wide - 1]), (near[:, wide:], matrix.T[:, : wide - 1]))):
         word, context = np.nonzero(counts)
         if len(word):
-            n, before = counts[word, context][:, None], cells[context]
-            each = before * np.log1p(n / np.maximum(before, 0.5)) + n * np.log(before + n)
+            n = counts[word, context]
+            if small is None:
+                each = _added(n[:, None], cells[context])
+            else:
+                each = small[side][np.minimum(n, SMALL - 1).astype(np.int64), context]
+                more = np.flatnonzero(n >= SMALL)
+                each[more] = _added(n[more, None], cells[context[more]])
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             out[word[first]] += np.add.reduceat(each, first, axis=0)
-        size, total = counts.sum(axis=1)[:, None], cells.sum(axis=0)[None, :]
-        out -= total * np.log1p(size / np.maximum(total, 0.5)) + size * np.log(np.maximum(total + size, 1))
+        size, of = np.unique(counts.sum(axis=1), return_inverse=True)
+        out -= _added(size[:, None], cells.sum(axis=0)[None, :])[of]
     return out
 
 
@@ -300,13 +319,14 @@ def _rare_neighbours(words: list[bytes], classes: np.ndarray, spark):
         def take(at: np.ndarray, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
             kind = of[at]
             here = np.flatnonzero(at == other)
-            beside: dict[bytes, list[int]] = {}
-            for i, a, b in zip(here.tolist(), kind[here - 1].tolist(), (kind[here + 1] + wide).tolist(), strict=True):
-                beside.setdefault(tokens[i], []).extend((a, b))
             after = here[:-1][at[here[:-1] + 1] == other] if len(here) else here
-            rows = [list(beside), [np.array(x, "<u2").tobytes() for x in beside.values()]]
-            rows = [pa.array(rows[0], pa.binary()).cast(pa.string()), pa.array(rows[1], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(beside), pa.string())], ["_word", "_codes", "_next"])
+            own: dict[bytes, int] = {}
+            number = np.fromiter((own.setdefault(tokens[i], len(own)) for i in here.tolist()), np.int64, len(here))
+            order = np.argsort(number, kind="stable")
+            codes = np.stack([kind[here - 1], kind[here + 1] + wide], axis=1)[order].astype("<u2")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(own))))) * codes.itemsize * 2
+            beside = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(codes.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string()), beside, pa.nulls(len(own), pa.string())], ["_word", "_codes", "_next"])
             pairs = [pa.array([tokens[i + k] for i in after.tolist()], pa.binary()).cast(pa.string()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pairs[0], pa.nulls(len(after), pa.binary()), pairs[1]], ["_word", "_codes", "_next"])
 
@@ -320,10 +340,10 @@ def _rare_classes(matrix: np.ndarray):
     wide = len(matrix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, word, beside = np.zeros((wide, wide)), None, None
+        total, word, beside, small = np.zeros((wide, wide)), None, None, small_gains(matrix)
 
         def judged(words: list[str], near: np.ndarray) -> pa.RecordBatch:
-            new = gains(near, matrix).argmax(axis=1)
+            new = gains(near, matrix, small).argmax(axis=1)
             np.add.at(total.T, new, near[:, :wide])
             np.add.at(total, new, near[:, wide:])
             n = near[:, :wide].sum(axis=1).astype(np.int64)
@@ -394,24 +414,29 @@ def _first_scores(names: list[bytes], kinds: np.ndarray, emit: np.ndarray, base:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds, emit, base, moved = shared.value
-        numbers, other = _numbers(names), len(names)
+        numbers, other, wide = _numbers(names), len(names), int(kinds[-1]) + 1
+        known = np.append(np.ones(other), 0)
+        within = np.zeros((wide, wide))  # nothing for transitions from or to a rare word, whose class isn't known here
+        within[:-1, :-1] = moved[:-1]
+        each = np.stack([known, np.append(base, 0), np.append(emit, 0)], axis=1)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
+            flat, ends = [END], [1]
             for text in batch.column(0):
-                tokens = _tokens(text)
-                at = np.fromiter(map(numbers.get, [END, *tokens, END], repeat(other)), np.int64, len(tokens) + 2)
-                kind, own = kinds[at], at[1:][at[1:] < other]
-                both = (at[:-1] < other) & (at[1:] < other)
-                here = np.flatnonzero(at == other)
-                values = (len(tokens) + 1, len(own), float(base[own].sum()), float(emit[own].sum() + moved[kind[:-1][both], kind[1:][both]].sum()), [tokens[i - 1] for i in here.tolist()], here.astype(np.int32), np.where(at[here - 1] < other, kind[here - 1], -1).astype(np.int16), np.where(at[here + 1] < other, kind[here + 1], -1).astype(np.int16))
-                for column, value in zip(rows, values, strict=True):
-                    column.append(value)
-            lists = []
-            for k, kind_ in ((4, pa.binary()), (5, pa.int32()), (6, pa.int16()), (7, pa.int16())):
-                ends = pa.array(np.cumsum([0, *map(len, rows[k])]).astype(np.int32))
-                flat = pa.array([w for x in rows[k] for w in x], kind_).cast(pa.string()) if k == 4 else pa.array(np.concatenate(rows[k]) if rows[k] else [], kind_)
-                lists.append(pa.ListArray.from_arrays(ends, flat))
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.float64()), *lists], ["_key", "_id", "_tokens", "_known", "_base", "_score", "_rare", "_at", "_before", "_after"])
+                flat += _tokens(text)
+                flat.append(END)
+                ends.append(len(flat))
+            at = np.fromiter(map(numbers.get, flat, repeat(other)), np.int64, len(flat))
+            kind, starts = kinds[at], np.array(ends[:-1])
+            values = each[at]
+            values[1:, 2] += within[kind[:-1], kind[1:]]
+            sums = np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
+            here = np.flatnonzero(at == other)
+            beside = [np.where(at[here + k] < other, kind[here + k], -1).astype(np.int16) for k in (-1, 1)]
+            row = np.searchsorted(starts, here, side="right") - 1
+            until = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(starts))))).astype(np.int32))
+            lists = [pa.array([flat[i] for i in here.tolist()], pa.binary()).cast(pa.string()), pa.array((here - starts[row] + 1).astype(np.int32)), *map(pa.array, beside)]
+            lists = [pa.ListArray.from_arrays(until, x) for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(ends)), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2]), *lists], ["_key", "_id", "_tokens", "_known", "_base", "_score", "_rare", "_at", "_before", "_after"])
 
     return run
 
