@@ -308,29 +308,37 @@ def exchange(near: DataFrame, n_words: int, rest: float, classes: int, sweeps: i
     return at, matrix
 
 
-def _rare_neighbours(words: list[bytes], classes: np.ndarray, spark):
-    """(_word, _codes, _next): the classes that stand beside a rare word, and the rare word after a rare one."""
-    shared, wide = spark.sparkContext.broadcast((words, classes)), int(classes[-1]) + 1
+def _rare_neighbours(none: int, end: int):
+    """Coded texts (_kinds, _rare) -> (_word, _codes, _next): the classes that stand beside a rare word, and the rare word after a rare one. end: the class of the end, which stands before the first word."""
+    kind_type = _kind_type(none)
+
+    def rows(kinds: list[bytes], words: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        kind = np.frombuffer(b"".join(kinds), kind_type).astype("<u2")
+        kind = np.concatenate((np.array([end], "<u2"), kind))
+        here, each = np.flatnonzero(kind == none), pa.concat_arrays(words)
+        coded = each.dictionary_encode()
+        own, number = coded.dictionary, coded.indices.to_numpy()
+        order = np.argsort(number, kind="stable")
+        codes = np.stack([kind[here - 1], kind[here + 1] + np.uint16(none + 1)], axis=1)[order]
+        ends = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(own))))) * codes.itemsize * 2
+        beside = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(codes.tobytes())])
+        yield pa.RecordBatch.from_arrays([own, beside, pa.nulls(len(own), pa.string())], ["_word", "_codes", "_next"])
+        after = pa.array(np.flatnonzero(np.diff(here) == 1))  # every text ends with a frequent word, so both are of one text
+        following = pa.array(after.to_numpy() + 1)
+        yield pa.RecordBatch.from_arrays([each.take(after), pa.nulls(len(after), pa.binary()), each.take(following)], ["_word", "_codes", "_next"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, of = shared.value
-        other = len(names)
-
-        def take(at: np.ndarray, tokens: list[bytes]) -> Iterator[pa.RecordBatch]:
-            kind = of[at]
-            here = np.flatnonzero(at == other)
-            after = here[:-1][at[here[:-1] + 1] == other] if len(here) else here
-            own: dict[bytes, int] = {}
-            number = np.fromiter((own.setdefault(tokens[i], len(own)) for i in here.tolist()), np.int64, len(here))
-            order = np.argsort(number, kind="stable")
-            codes = np.stack([kind[here - 1], kind[here + 1] + wide], axis=1)[order].astype("<u2")
-            ends = np.concatenate(([0], np.cumsum(np.bincount(number, minlength=len(own))))) * codes.itemsize * 2
-            beside = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype("<i4").tobytes()), pa.py_buffer(codes.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()).cast(pa.string()), beside, pa.nulls(len(own), pa.string())], ["_word", "_codes", "_next"])
-            pairs = [pa.array([tokens[i + k] for i in after.tolist()], pa.binary()).cast(pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pairs[0], pa.nulls(len(after), pa.binary()), pairs[1]], ["_word", "_codes", "_next"])
-
-        return _flat(batches, _numbers(names), take)
+        kinds, words, size = [], [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kinds += batch.column(0).to_pylist()
+                words.append(batch.column(1).flatten())
+                size += sum(map(len, kinds[-batch.num_rows :]))
+            if size > BLOCK:
+                yield from rows(kinds, words)
+                kinds, words, size = [], [], 0
+        if kinds:
+            yield from rows(kinds, words)
 
     return run
 
@@ -373,27 +381,83 @@ def _rare_classes(matrix: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", words: int = WORDS, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
-    """Counts, classes and transitions of all tokens of docs; see Model, exchange and scored."""
-    spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+@dataclass
+class Exchanged:
+    """What is known once the frequent words have their classes: counts of all training tokens and words, the frequent words with counts and classes (last the rare ones' own), and transitions with rare words as one class."""
+
+    tokens: int
+    known: int
+    words: list[bytes]
+    counts: np.ndarray
+    classes: np.ndarray
+    matrix: np.ndarray
+
+
+def exchanged(docs: DataFrame, text_col: str = "text", words: int = WORDS, classes: int = CLASSES, sweeps: int = SWEEPS) -> Exchanged:
+    """The words of all texts counted, and the frequent ones exchanged: two passes over the texts."""
     counts = written(small_batches(docs).select(text_col).mapInArrow(_word_counts, "_word string, _n long").groupBy("_word").agg(F.sum("_n").alias("_n")))
     tokens, known = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count("*")).first()
     if not known:
-        return Model(0, 0, [], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((classes, classes)), np.zeros(classes), np.zeros(classes), None)
+        return Exchanged(0, 0, [], np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((classes + 1, classes + 1)))
     names, n = _frequent(counts, words)
     forget(counts)
     near = contexts(docs, text_col, names)
     at, matrix = exchange(near, len(names), float(tokens - n.sum()), classes, sweeps)
     forget(near)
+    return Exchanged(tokens, known, names, n, at, matrix)
+
+
+def _kind_type(classes: int) -> np.dtype:
+    """Of the number of a class, or of the rare words, which comes after the classes."""
+    return np.dtype("u1" if classes < 256 else "<u2")
+
+
+def _coded(names: list[bytes], kinds: np.ndarray, base: np.ndarray, spark):
+    """Rows (_text, _key, _id, _train) -> the classes of a text's tokens, what its frequent words make of the unigram score, and its rare words in their order."""
+    shared = spark.sparkContext.broadcast((names, kinds.astype(_kind_type(int(kinds[-1]))), np.append(base, 0.0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds, base = shared.value
+        numbers, other = _numbers(names), len(names)
+        for batch in batches:
+            flat, ends = [], [0]
+            for text in batch.column(0):
+                flat += _tokens(text)
+                flat.append(END)
+                ends.append(len(flat))
+            at = np.fromiter(map(numbers.get, flat, repeat(other)), np.int64, len(flat))
+            kind, until = kinds[at], np.array(ends)
+            sums = np.add.reduceat(base[at], until[:-1]) if batch.num_rows else np.zeros(0)
+            here = np.flatnonzero(at == other)
+            rare = pa.array([flat[i] for i in here.tolist()], pa.binary()).cast(pa.string())
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(here, until).astype(np.int32)), rare)
+            coded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((until * kind.itemsize).astype("<i4").tobytes()), pa.py_buffer(kind.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(until)), coded, pa.array(sums), rare], ["_key", "_id", "_train", "_tokens", "_kinds", "_base", "_rare"])
+
+    return run
+
+
+def coded(rows: DataFrame, found: Exchanged | Model) -> DataFrame:
+    """Rows (_id, _text, _train) as a table of _key, _id, _train, _tokens, _kinds (the class of each token, in one number each), _base (log10 of the frequent words by the unigram model), _rare (the other words). Rare words are learnt from it and texts are scored from it, so no text is split again."""
+    logs = np.log10(found.counts + PRIOR) - math.log10(found.tokens + PRIOR * (found.known + 1))
+    kind = rows.schema["_id"].dataType.simpleString()
+    texts = small_batches(rows).select("_text", F.monotonically_increasing_id().alias("_key"), "_id", "_train")
+    return written(texts.mapInArrow(_coded(found.words, found.classes, logs, rows.sparkSession), f"_key long, _id {kind}, _train boolean, _tokens long, _kinds binary, _base double, _rare array<string>"))
+
+
+def finished(found: Exchanged, texts: DataFrame | None) -> Model:
+    """The model, with the classes of the rare words of the coded training texts, and what they add to transitions."""
+    classes, at, n = len(found.matrix) - 1, found.classes, found.counts
     class_tokens, class_words = np.bincount(at[:-1], weights=n, minlength=classes), np.bincount(at[:-1], minlength=classes).astype(float)
-    transitions, rare = matrix[:classes, :classes].copy(), None
-    if len(names) < known:
-        rows = written(small_batches(docs).select(text_col).mapInArrow(_rare_neighbours(names, at, spark), "_word string, _codes binary, _next string"))
+    transitions, rare = found.matrix[:classes, :classes].copy(), None
+    if texts is not None and len(found.words) < found.known:
+        tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        end = int(at[found.words.index(END)])
+        rows = written(small_batches(texts).select("_kinds", "_rare").mapInArrow(_rare_neighbours(classes, end), "_word string, _codes binary, _next string"))
         own = rows.filter("_next is null").select("_word", "_codes").repartition(tasks, "_word").sortWithinPartitions("_word")
-        found = written(small_batches(own).mapInArrow(_rare_classes(matrix), "_word string, _n long, _class int, _cell long"))
-        rare = found.filter("_word is not null").select("_word", "_n", "_class")
-        for r in found.filter("_cell is not null").groupBy("_cell").agg(F.sum("_n").alias("n")).collect():
+        judged = written(small_batches(own).mapInArrow(_rare_classes(found.matrix), "_word string, _n long, _class int, _cell long"))
+        rare = judged.filter("_word is not null").select("_word", "_n", "_class")
+        for r in judged.filter("_cell is not null").groupBy("_cell").agg(F.sum("_n").alias("n")).collect():
             a, b = divmod(r._cell, classes + 1)
             if a < classes and b < classes:
                 transitions[a, b] += r.n
@@ -405,94 +469,75 @@ def train(docs: DataFrame, text_col: str = "text", words: int = WORDS, classes:
             class_tokens[r._class] += r.n
             class_words[r._class] += r.v
         forget(rows)
-    return Model(tokens, known, names, n, at, transitions, class_tokens, class_words, rare)
-
-
-def _first_scores(names: list[bytes], kinds: np.ndarray, emit: np.ndarray, base: np.ndarray, moved: np.ndarray, spark):
-    """Rows (_text, _key, _id) -> what frequent words make of the scores, and the rare ones with the classes beside them (-1: rare too)."""
-    shared = spark.sparkContext.broadcast((names, kinds, emit, base, moved))
+    return Model(found.tokens, found.known, found.words, n, at, transitions, class_tokens, class_words, rare)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds, emit, base, moved = shared.value
-        numbers, other, wide = _numbers(names), len(names), int(kinds[-1]) + 1
-        known = np.append(np.ones(other), 0)
-        within = np.zeros((wide, wide))  # nothing for transitions from or to a rare word, whose class isn't known here
-        within[:-1, :-1] = moved[:-1]
-        each = np.stack([known, np.append(base, 0), np.append(emit, 0)], axis=1)
-        for batch in batches:
-            flat, ends = [END], [1]
-            for text in batch.column(0):
-                flat += _tokens(text)
-                flat.append(END)
-                ends.append(len(flat))
-            at = np.fromiter(map(numbers.get, flat, repeat(other)), np.int64, len(flat))
-            kind, starts = kinds[at], np.array(ends[:-1])
-            values = each[at]
-            values[1:, 2] += within[kind[:-1], kind[1:]]
-            sums = np.add.reduceat(values, starts, axis=0) if len(starts) else values[:0]
-            here = np.flatnonzero(at == other)
-            beside = [np.where(at[here + k] < other, kind[here + k], -1).astype(np.int16) for k in (-1, 1)]
-            row = np.searchsorted(starts, here, side="right") - 1
-            until = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(starts))))).astype(np.int32))
-            lists = [pa.array([flat[i] for i in here.tolist()], pa.binary()).cast(pa.string()), pa.array((here - starts[row] + 1).astype(np.int32)), *map(pa.array, beside)]
-            lists = [pa.ListArray.from_arrays(until, x) for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(np.diff(ends)), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 2]), *lists], ["_key", "_id", "_tokens", "_known", "_base", "_score", "_rare", "_at", "_before", "_after"])
 
-    return run
+def train(docs: DataFrame, text_col: str = "text", words: int = WORDS, classes: int = CLASSES, sweeps: int = SWEEPS) -> Model:
+    """Counts, classes and transitions of all tokens of docs; see Model, exchange and scored."""
+    found = exchanged(docs, text_col, words, classes, sweeps)
+    if len(found.words) == found.known:
+        return finished(found, None)
+    texts = coded(docs.select(F.lit(0).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.lit(True).alias("_train")), found)
+    model = finished(found, texts)
+    forget(texts)
+    return model
 
 
-def _last_scores(moved: np.ndarray, inverse: np.ndarray, log_known: float, unknown: float, total: float):
-    """Rows (_id, _tokens, _known, _base, _score, _at, _before, _after, _found: list of (place, count, class) of the rare words) -> the whole scores."""
-    none = len(moved) - 1
+def _last_scores(moved: np.ndarray, inverse: np.ndarray, log_known: float, unknown: float, total: float, end: int):
+    """Coded texts (_id, _tokens, _kinds, _base, _found: list of (place, count, class) of the rare words) -> the whole scores."""
+    none, kind_type, log_total = len(moved) - 1, _kind_type(len(moved) - 1), math.log10(total)
+    with np.errstate(invalid="ignore"):  # classes without words, which no token has
+        step = np.column_stack([log_known + moved[:, :none] + inverse[:none], np.full(len(moved), unknown)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known, base, score = (batch.column(c).to_numpy().copy() for c in (2, 3, 4))
-            for k in range(batch.num_rows):
-                found = batch.column(8)[k]
-                if not found.is_valid or not len(found):
-                    continue
-                flat = found.values
-                order = np.argsort(flat.field(0).to_numpy())
-                n, kind = flat.field(1).to_numpy(zero_copy_only=False)[order], flat.field(2).to_numpy(zero_copy_only=False)[order]
-                at, before, after = (batch.column(c)[k].values.to_numpy() for c in (5, 6, 7))
-                own = np.where(n > 0, kind, none)
-                last = np.where(before >= 0, before, np.concatenate(([none], own[:-1])))
-                is_known = n > 0
-                known[k] += int(is_known.sum())
-                base[k] += float(np.log10((n + PRIOR) / total).sum())
-                into = np.where(is_known, log_known + moved[last, np.minimum(own, none - 1)] + np.log10(n + PRIOR) + inverse[np.minimum(own, none - 1)], unknown)
-                goes = after >= 0
-                score[k] += float(into.sum() + moved[own[goes], after[goes]].sum())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known), pa.array(base), pa.array(score)], ["_id", "_tokens", "_known", "_base", "_score"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                batch = whole.slice(first, 1024)
+                until = np.concatenate(([0], np.cumsum(batch.column(1).to_numpy())))
+                kind = np.frombuffer(b"".join(batch.column(2).to_pylist()), kind_type).astype(np.int64)
+                here, starts = np.flatnonzero(kind == none), until[:-1]
+                before = np.searchsorted(here, until)
+                lists = batch.column(4)
+                place, n, of = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+                at = np.repeat(before[:-1], lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) + place
+                count, own = np.zeros(len(here)), np.full(len(here), none)
+                count[at], own[at] = n, np.where(n > 0, of, none)
+                kind[here] = own
+                into, logs = step[np.concatenate(([end], kind[:-1])), kind], np.log10(count + PRIOR)
+                into[here] += np.where(own < none, logs, 0.0)
+                rare, text = np.diff(before), np.repeat(np.arange(batch.num_rows), np.diff(before))
+                base = batch.column(3).to_numpy()
+                score = np.add.reduceat(into, starts) + base + (np.diff(until) - rare) * log_total
+                base = base + np.bincount(text, weights=logs - log_total, minlength=batch.num_rows)
+                known = np.add.reduceat((kind < none).astype(np.int64), starts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(known), pa.array(base), pa.array(score)], ["_id", "_tokens", "_known", "_base", "_score"])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: _id, _tokens, _known, _base (log10 by the unigram model), _score (log10 by the classes).
+def _scores(first: DataFrame, model: Model) -> DataFrame:
+    """Coded texts -> _id, _tokens, _known, _base (log10 by the unigram model), _score (log10 by the classes).
 
-    Frequent words are scored where the text is read. The others are rows of their own, looked up by word, hot ones by a
-    broadcast, and go back to their text as numbers; texts themselves are never shuffled.
+    Rare words are rows of their own, looked up by word, hot ones by a broadcast, and go back to their text as numbers.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    if not model.known:
-        return docs.select(F.col(id_col).alias("_id"), (F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)) + 1).cast("long").alias("_tokens"), F.lit(0).cast("long").alias("_known"), F.lit(0.0).alias("_base"), F.lit(0.0).alias("_score"))
     moved, inverse = model.tables()
-    total = model.tokens + PRIOR * (model.known + 1)
-    log_known, unknown = math.log10(1 - model.unknown), math.log10(model.unknown)
-    logs = np.log10(model.counts + PRIOR)
-    run = _first_scores(model.words, model.classes, logs + inverse[model.classes[:-1]] + log_known, logs - math.log10(total), moved, spark)
-    rows = small_batches(docs).select(F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_key"), F.col(id_col).alias("_id"))
-    first = written(rows.mapInArrow(run, f"_key long, _id {kind}, _tokens long, _known long, _base double, _score double, _rare array<string>, _at array<int>, _before array<smallint>, _after array<smallint>"))
-    each = first.select("_key", F.inline(F.arrays_zip(F.col("_rare").alias("_word"), F.col("_at").alias("_place"))))
+    total, kind = model.tokens + PRIOR * (model.known + 1), first.schema["_id"].dataType.simpleString()
+    run = _last_scores(moved, inverse, math.log10(1 - model.unknown), math.log10(model.unknown), total, int(model.classes[model.words.index(END)]))
+    each = first.select("_key", F.posexplode("_rare").alias("_place", "_word"))
     uses = each.groupBy("_word").agg(F.count("*").alias("_uses"))
     of = uses.select("_word", "_uses", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("int").alias("_class")) if model.rare is None else uses.join(model.rare, "_word", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     found = lookup(each, written(of), ["_word"], "_uses", max(1, first.agg(F.sum(F.size("_rare"))).first()[0] or 1))
     found = found.groupBy("_key").agg(F.collect_list(F.struct("_place", "_n", F.coalesce("_class", F.lit(0)).alias("_class"))).alias("_found"))
-    both = first.drop("_rare").join(found, "_key", "left").select("_id", "_tokens", "_known", "_base", "_score", "_at", "_before", "_after", "_found")
-    return small_batches(both).mapInArrow(_last_scores(moved, inverse, log_known, unknown, total), f"_id {kind}, _tokens long, _known long, _base double, _score double")
+    both = first.select("_key", "_id", "_tokens", "_kinds", "_base").join(found, "_key", "left").select("_id", "_tokens", "_kinds", "_base", "_found")
+    return small_batches(both).mapInArrow(run, f"_id {kind}, _tokens long, _known long, _base double, _score double")
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: _id, _tokens, _known, _base, _score; see _scores. Frequent words are coded where the text is read; texts themselves are never shuffled."""
+    if not model.known:
+        return docs.select(F.col(id_col).alias("_id"), (F.regexp_count(F.coalesce(text_col, F.lit("")), F.lit(WORD)) + 1).cast("long").alias("_tokens"), F.lit(0).cast("long").alias("_known"), F.lit(0.0).alias("_base"), F.lit(0.0).alias("_score"))
+    return _scores(coded(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(False).alias("_train")), model), model)
+
 
 
 def held_out(id_col: str):
@@ -508,7 +553,9 @@ def class_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words that training hasn't seen count as one unknown word. Without training rows nothing is known and every score is
     0. An empty table gives an empty result. Other columns are not read, so their names do not matter.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    model = train(rows.filter(~held_out("_id")), "_text", **options)
-    out = scored(rows, model, "_id", "_text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_train", ~held_out("_id"))
+    found = exchanged(rows.filter("_train"), "_text", **options)
+    texts = coded(rows, found) if found.known else None
+    model = finished(found, texts.filter("_train") if found.known else None)
+    out = _scores(texts, model) if found.known else scored(rows, model, "_id", "_text")
     return out.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), F.col("_tokens").alias("n_tokens"), F.col("_known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
