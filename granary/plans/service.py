@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,26 +22,41 @@ def _now() -> str:
 
 
 class Service:
-    """kb: the knowledge base with pos and embedding. Tables of items, history, sessions and feedback are versions in folders; a change writes the next version and then points to it."""
+    """kb: the knowledge base with pos and embedding. Tables of items, history, sessions and feedback are versions in folders; a change writes the next version and then points to it, unless another writer has changed the table since it was read (readers.Conflict). What only adds rows is then tried again."""
 
     SCHEMAS = {"items": knowledge.ITEMS, "history": knowledge.HISTORY, "sessions": "request_id string, query string, reply string, trace_json string, top1_intent string, latency_ms double, answer_source string, created_at timestamp", "feedback": "id long, request_id string, query string, reply string, helpful boolean, reason string, expected_reply string, trace_json string, created_at timestamp, top1_intent string, latency_ms double, answer_source string, failure_stage string, exported boolean"}
 
     def __init__(self, spark: SparkSession, folder: str, kb: DataFrame, embed=None, generate=None, settings: readers.Settings | None = None) -> None:
-        self.spark, self.folder, self.base = spark, folder, kb
+        self.spark, self.folder, self.base, self._read = spark, folder, kb, threading.local()
         self.embed, self.generate, self.settings = embed or providers.embedder(), generate, settings or readers.Settings.from_env()
 
     # tables
 
+    def _current(self, name: str) -> DataFrame | None:
+        found = readers.pointer(self.spark, f"{self.folder}/{name}")
+        setattr(self._read, name, found[0] if found else 0)  # what this thread's next change of the table is based on
+        return self.spark.read.parquet(found[1]) if found else None
+
     def table(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        return readers.current(self.spark, path) if readers.has_version(self.spark, path) else self.spark.createDataFrame([], self.SCHEMAS[name])
+        found = self._current(name)
+        return self.spark.createDataFrame([], self.SCHEMAS[name]) if found is None else found
 
     def put(self, name: str, rows: DataFrame) -> None:
-        readers.swap(rows, f"{self.folder}/{name}", uuid.uuid4().hex)
+        expected = self._read.__dict__.pop(name, None)
+        readers.swap(rows, f"{self.folder}/{name}", uuid.uuid4().hex, expected)
+
+    def add(self, name: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> None:
+        """A change that only adds rows, made again from the newer table if another writer was first."""
+        for k in range(tries):
+            try:
+                return self.put(name, change(self.table(name)))
+            except readers.Conflict:
+                if k == tries - 1:
+                    raise
 
     def kb(self) -> DataFrame:
-        path = f"{self.folder}/kb"
-        return readers.current(self.spark, path) if readers.has_version(self.spark, path) else self.base
+        found = self._current("kb")
+        return self.base if found is None else found
 
     def asked(self, queries: list[str]) -> DataFrame:
         return self.spark.createDataFrame(list(enumerate(queries)), "query_id long, query string").withColumn("q_embedding", self.embed("query"))
@@ -54,7 +71,7 @@ class Service:
         latency = round((time.perf_counter() - started) * 1000, 2)
         rows = rows.withColumn("trace", F.col("trace").withField("request_id", F.col("request_id")).withField("latency_ms", F.lit(latency)))
         at = F.lit(_now()).cast("timestamp")
-        self.put("sessions", feedback.upsert(self.table("sessions"), chat.session_rows(rows, F.col("request_id"), at, latency)))
+        self.add("sessions", lambda old: feedback.upsert(old, chat.session_rows(rows, F.col("request_id"), at, latency)))
         return rows
 
     def retrieval_search(self, query: str, limit: int = 3, min_score: float | None = None) -> DataFrame:
@@ -127,20 +144,28 @@ class Service:
         ids = [r.id for r in items.filter("status = 'approved'").select("id").orderBy("id").collect()]
         if not ids:
             return self._record(run, "publish", "skipped", note="no approved knowledge")
-        backup = None
+        backup, base = None, self._read.kb
         try:
-            backup = readers.swap(old, f"{self.folder}/kb", f"backup_{run}")
+            backup = readers.swap(old, f"{self.folder}/kb", f"backup_{run}", base)
+            self._read.kb = base + 1
             after, merged = knowledge.publish(items, old)
             new = merged.withColumn("embedding", F.coalesce("embedding", self.embed(retrieval.document_text(*[F.col(c) for c in ("category", "intent", "question", "answer")]))))
             self.put("kb", new)
             self.put("items", after)
         except Exception as e:
             if backup:
-                readers.point(self.spark, f"{self.folder}/kb", backup)
+                self._restore(backup, base + 2)
             self._record(run, "publish", "failed", note=str(e)[:500])
             raise
         return self._record(run, "publish", "succeeded", merged_count=len(ids), item_ids=ids, backup_path=backup)
 
+    def _restore(self, backup: str, ours: int) -> None:
+        """Points to the old base again where this publication made the current one; what another writer made stays."""
+        try:
+            readers.point(self.spark, f"{self.folder}/kb", backup, ours)
+        except readers.Conflict:
+            return
+
     def rollback_latest(self) -> str:
         record = knowledge.latest_published(self.table("history")).first()
         if record is None:
@@ -154,16 +179,21 @@ class Service:
 
     def _record(self, run: str, action: str, status: str, **values) -> str:
         values = {"created_at": datetime.now(timezone.utc).replace(tzinfo=None)} | values
-        self.put("history", knowledge.recorded(self.table("history"), self.spark, publish_id=run, action=action, status=status, **values))
+        self.add("history", lambda old: knowledge.recorded(old, self.spark, publish_id=run, action=action, status=status, **values))
         return status
 
     # feedback and operation
 
     def add_feedback(self, payload: dict) -> int:
-        old = self.table("feedback")
-        new = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
-        row = self.spark.createDataFrame([(new, payload.get("request_id", ""), payload.get("query", ""), payload.get("reply", ""), bool(payload.get("helpful")), payload.get("reason", ""), payload.get("expected_reply", ""), payload.get("trace_json", "{}"))], "id long, request_id string, query string, reply string, helpful boolean, reason string, expected_reply string, trace_json string").withColumn("created_at", F.lit(_now()).cast("timestamp"))
-        self.put("feedback", old.unionByName(feedback.feedback_rows(row)))
+        new = 0
+
+        def added(old: DataFrame) -> DataFrame:
+            nonlocal new
+            new = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+            row = self.spark.createDataFrame([(new, payload.get("request_id", ""), payload.get("query", ""), payload.get("reply", ""), bool(payload.get("helpful")), payload.get("reason", ""), payload.get("expected_reply", ""), payload.get("trace_json", "{}"))], "id long, request_id string, query string, reply string, helpful boolean, reason string, expected_reply string, trace_json string").withColumn("created_at", F.lit(_now()).cast("timestamp"))
+            return old.unionByName(feedback.feedback_rows(row))
+
+        self.add("feedback", added)
         return new
 
     def recent_feedback(self, **filters) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 from dataclasses import asdict, dataclass
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,33 +163,75 @@ def save_report(spark: SparkSession, folder: str, payload: dict, now: datetime)
     return path
 
 
-def swap(rows: DataFrame, folder: str, version: str) -> str:
-    """Writes a version of a table beside the others and points to it by one rename, so readers see the old or the new one whole."""
-    target = f"{folder}/v_{version}"
+class Conflict(Exception):
+    """Another writer has changed a table since it was read."""
+
+
+#: Pointers that are kept, so that a reader which has just listed them still finds its own.
+POINTERS = 100
+
+
+def swap(rows: DataFrame, folder: str, version: str, expected: int | None = None) -> str:
+    """Writes a version of a table beside the others and points to it by one rename, so readers see the old or the new one whole. After a Conflict, see point(), the version is deleted."""
+    spark, target = rows.sparkSession, f"{folder}/v_{version}"
     rows.write.mode("errorifexists").parquet(target)
-    point(rows.sparkSession, folder, target)
+    try:
+        point(spark, folder, target, expected)
+    except Conflict:
+        found, files = _file(spark, target)
+        files.delete(found, True)
+        raise
     return target
 
 
-def point(spark: SparkSession, folder: str, target: str) -> None:
-    """Makes a version that swap() wrote the current one."""
+def point(spark: SparkSession, folder: str, target: str, expected: int | None = None) -> int:
+    """Makes a version that swap() wrote the current one, and gives the pointer's number.
+
+    Pointers are numbered files, and the next one is made by a rename that never overwrites, so of two writers one gets
+    a Conflict wherever the store's renames are atomic. With expected, the number that was read (0: none), a pointer
+    made since then is a Conflict too.
+    """
+    last, at = (pointer(spark, folder) or (0, ""))[0], f"{folder}/POINTERS"
+    if expected is not None and last != expected:
+        raise Conflict(f"{folder} has changed: pointer {expected} was read, {last} is the current one")
     new = f"{folder}/CURRENT.{uuid.uuid4().hex}"
     _write_new(spark, new, target)
     found, files = _file(spark, new)
     fs = spark._jvm.org.apache.hadoop.fs
+    files.mkdirs(fs.Path(at))
     how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
-    how[0] = getattr(fs, "Options$Rename").OVERWRITE
-    place = fs.Path(f"{folder}/CURRENT")
-    fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(found.makeQualified(files.getUri(), files.getWorkingDirectory()), place.makeQualified(files.getUri(), files.getWorkingDirectory()), how)
+    how[0] = getattr(fs, "Options$Rename").NONE
+    whole = lambda path: path.makeQualified(files.getUri(), files.getWorkingDirectory())
+    try:
+        fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration()).rename(whole(found), whole(fs.Path(f"{at}/{last + 1:012d}")), how)
+    except Py4JJavaError as e:
+        files.delete(found, False)
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        raise Conflict(f"{folder} has changed: another writer made pointer {last + 1}") from e
+    files.delete(fs.Path(f"{at}/{last + 1 - POINTERS:012d}"), False)
+    return last + 1
+
+
+def pointer(spark: SparkSession, folder: str) -> tuple[int, str] | None:
+    """(number, target) of the current version. A table written before pointers had numbers has one file, with number 0."""
+    at, files = _file(spark, f"{folder}/POINTERS")
+    numbers = [x.getPath().getName() for x in files.listStatus(at)] if files.exists(at) else []
+    path = f"{folder}/POINTERS/{max(n for n in numbers if n.isdigit())}" if any(n.isdigit() for n in numbers) else f"{folder}/CURRENT"
+    if path.endswith("CURRENT") and not files.exists(_file(spark, path)[0]):
+        return None
+    return int(path.rpartition("/")[2].replace("CURRENT", "0")), spark.read.text(path, wholetext=True).first().value
 
 
 def has_version(spark: SparkSession, folder: str) -> bool:
-    found, files = _file(spark, f"{folder}/CURRENT")
-    return files.exists(found)
+    return pointer(spark, folder) is not None
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{folder}/CURRENT", wholetext=True).first().value)
+    found = pointer(spark, folder)
+    if found is None:
+        raise FileNotFoundError(f"no version of a table: {folder}")
+    return spark.read.parquet(found[1])
 
 
 def markdown_table(rows: list[dict], columns: list[str]) -> str:
