@@ -2,10 +2,12 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,17 @@ def test_nothing_to_learn_from(spark):
     assert brown.class_scores(docs.limit(0)).collect() == []
     one = brown.class_scores(docs.filter("text is null or text = ''").withColumn("doc_id", F.lit(1))).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in one] == [(1, 1, 2)] * 2
+
+
+def test_tokens_of_a_run_are_not_all_held_as_objects():
+    """Numbers of 600,000 tokens are given at once, but only SPLIT of the tokens themselves are held."""
+    text = " ".join(f"w{i % 5000}" for i in range(6000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 100)], ["text"])
+    numbers = {f"w{i}".encode(): i for i in range(100)} | {b"": 100}
+    tracemalloc.start()
+    runs = list(brown._flat(iter([batch, batch.slice(0, 1)]), numbers, lambda at: [at]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(r) for r in runs] == [101 * 6001 + 1] and peak < 20 << 20
+    want = [*[i % 5000 if i % 5000 < 100 else 101 for i in range(6000)], 100]
+    assert runs[0].tolist() == [100, *want * 101]
