@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,15 @@ MASK = 511
 #: Bytes of chunks, and words, that a worker keeps at most; when full, it starts anew.
 CHUNK_BYTES = 48 << 20
 WORDS = 600_000
-#: Bytes of a text whose chunks are found at once.
-BLOCK = 1 << 20
+#: Bytes of a text whose chunks are found at once, and of texts whose new words are encoded at once.
+BLOCK, TOGETHER = 1 << 20, 1 << 18
 _TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64)
 #: Punctuation that ends a word, after an ASCII letter or digit: to the tokenizer a token of its own, so it's cut off.
-_TAIL = re.compile(rb"(?<=[0-9a-z])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)")
+#: It starts with the punctuation, as a search for one of some bytes is faster than one that looks back at every place.
+_TAIL = re.compile(rb"([.,;:!?](?<=[0-9a-z].)[.,;:!?]*)(?=[\x20\x09-\x0D]|\Z)")
 _PROBES = (b"Alpha, beta. Gamma! 7; x", "\u00c9t\u00e9, \u00fcber. Stra\u00dfe:".encode(), b"don't, I'LL. we've ?!")
+#: What follows a word in a decoded text.
+_END = "</w> "
 _SPACE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
@@ -81,7 +85,12 @@ class Codec:
         return [(np.array(i, "<u4").tobytes(), d) for i, d in zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
 
     def joined(self, parts: list[tuple[bytes, str]]) -> tuple[bytes, str]:
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+        if len(parts) == 1:
+            return parts[0] if parts[0][0] else (b"", "")
+        if not parts:
+            return b"", ""
+        ids, texts = zip(*parts)
+        return b"".join(ids), " ".join(texts if all(ids) else [t for i, t in parts if i])
 
     def leaves(self, chunk: bytes) -> list[bytes]:
         """The parts of a chunk that the tokenizer takes one by one: words in lower case, end punctuation apart.
@@ -102,34 +111,45 @@ class Codec:
         split = False
         if letters:
             found = self.tokenizer.encode_batch_fast([" ".join([text[i] for i in letters[k : k + 100]]) for k in range(0, len(letters), 100)], add_special_tokens=False)
-            ids = [x for e in found for x in e.ids]
+            each = [e.ids for e in found]
+            ids = list(chain.from_iterable(each))
             raw = np.array(ids, "<u4")
             last = np.flatnonzero(self.ends[raw]) + 1
             split = len(last) == len(letters)
         if split:
             at, data = [0, *last.tolist()], raw.tobytes()
-            decoded = self.tokenizer.decode_batch([ids[a:b] for a, b in zip(at, at[1:])], skip_special_tokens=False)
-            self.words.update(zip([words[i] for i in letters], [(data[4 * a : 4 * b], d) for a, b, d in zip(at, at[1:], decoded)], strict=True))
+            decoded = self._decoded(each, ids, at)
+            own = [data[a:b] for a, b in pairwise((last * 4).tolist())]
+            self.words.update(zip([words[i] for i in letters], zip([data[: 4 * at[1]], *own], decoded, strict=True), strict=True))
             known = set(letters)
             words = [w for i, w in enumerate(words) if i not in known]
         if words:
             self.words.update(zip(words, self.whole(words), strict=True))
 
+    def _decoded(self, texts: list[list[int]], ids: list[int], at: list[int]) -> list[str]:
+        """The decoded texts of words that follow each other in texts: where a text decodes to its tokens with spaces between, its words fall apart after the tokens that end them."""
+        if self.tokenizer.decoder is None:
+            found = [w for d in self.tokenizer.decode_batch(texts, skip_special_tokens=False) for w in (d + " ").split(_END)[:-1]]
+            if len(found) == len(at) - 1:
+                return [w + _END[:-1] for w in found]
+        return self.tokenizer.decode_batch([ids[a:b] for a, b in pairwise(at)], skip_special_tokens=False)
+
     def of_chunks(self, chunks: list[bytes]) -> list[tuple[bytes, str]]:
         """Each chunk's ids and text: kept ones as they are, new ones by their parts, all new parts of them at once."""
         new = [c for c in dict.fromkeys(chunks) if c not in self.chunks]
         tokens = [self.leaves(c) for c in new]
-        unknown = list({w for t in tokens for w in t if w not in self.words})
+        seen = set().union(*tokens)
+        unknown = list(seen.difference(self.words))
         if unknown and (len(self.words) + len(unknown) > self.most_words or len(unknown) > self.most_words // 4):
             self.words.clear()
-            unknown = list({w for t in tokens for w in t})
+            unknown = list(seen)
         if len(unknown) > self.most_words // 4:  # a text of very many words: what is kept of them may not hold all
             own = {c: self.joined([x for i in range(0, len(t), 1000) for x in self._alone(t[i : i + 1000])]) for c, t in zip(new, tokens, strict=True)}
         else:
             if unknown:
                 self.learn(unknown)
-            known = self.words
-            own = {c: self.joined([known[w] for w in t]) for c, t in zip(new, tokens, strict=True)}
+            known = {w: self.words[w] for w in seen}.__getitem__  # few enough to stay in the processor's cache
+            own = {c: self.joined(list(map(known, t))) for c, t in zip(new, tokens, strict=True)}
         out = [own[c] if c in own else self.chunks[c] for c in chunks]
         for c, (ids, text) in own.items():
             self.chunk_bytes += len(c) + len(ids) + len(text)
@@ -163,11 +183,27 @@ class Codec:
         return self.joins[key]
 
     def __call__(self, text: bytes) -> tuple[bytes, str]:
-        """ids and decoded text. A join that does not agree is repaired: both chunks, and more while need be, are encoded as one."""
-        places = cuts(text)
-        chunks = [text[a:b] for a, b in zip(places, places[1:])]
-        if all(self.agrees(a, b) for a, b in zip(chunks, chunks[1:])):
-            return self.joined(self.of_chunks(chunks))
+        """ids and decoded text."""
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[bytes]) -> list[tuple[bytes, str]]:
+        """ids and decoded text of each text. New chunks of all of them are encoded at once; a text with a join that does not agree is repaired."""
+        chunks, ends, out = [], [], []
+        for text in texts:
+            places = cuts(text)
+            own = [text[a:b] for a, b in zip(places, places[1:])]
+            good = all(self.agrees(a, b) for a, b in zip(own, own[1:]))
+            chunks += own if good else []
+            ends.append(len(chunks) if good else None)
+            out.append(None if good else self.repaired(own))
+        parts, at = self.of_chunks(chunks), 0
+        for i, end in enumerate(ends):
+            if end is not None:
+                out[i], at = self.joined(parts[at:end]), end
+        return out
+
+    def repaired(self, chunks: list[bytes]) -> tuple[bytes, str]:
+        """Of chunks with a join that does not agree: both its sides, and more while need be, are encoded as one."""
         merged: list[bytes] = []
         again: list[bool] = []
         for chunk in chunks:
@@ -182,6 +218,19 @@ class Codec:
         return self.joined(parts)
 
 
+def _together(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Runs of texts of about TOGETHER bytes."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t.as_buffer().to_pybytes() if t.is_valid else b"")
+        size += len(run[-1])
+        if size >= TOGETHER:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -214,8 +263,7 @@ def encoded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
         of = codec(at, words, chunk_bytes)
         for batch in batches:
             sizes, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for t in batch.column(1):
-                raw, decoded = of(t.as_py().encode() if t.is_valid else b"")
+            for raw, decoded in chain.from_iterable(map(of.batch, _together(batch.column(1)))):
                 sizes.append(len(raw) // 4)
                 ids_sha.append(hashlib.sha256(raw).hexdigest())
                 text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())

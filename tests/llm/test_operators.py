@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -542,7 +543,6 @@ def test_html_shows_what_a_screen_shows():
 @pytest.mark.parametrize("others", [0, 3])
 def test_a_crowded_group_is_refined_or_linked_wherever_it_stands(last, others):
     """One group of linked fingerprints over CROWDED, alone in its batch or behind others: linked at the last width, handed on whole before."""
-    import pyarrow as pa
 
     crowd = np.array([0xF0F0 ^ (1 << a) ^ (1 << b) for a in range(16) for b in range(a)][:110], np.uint64)
     small = np.array([x for g in range(others) for x in (g << 40, (g << 40) + 1)], np.uint64)
@@ -704,3 +704,20 @@ def test_recall_over_ten_blocks(spark, kind):
     best = ids[np.argpartition(-scores, 20, axis=1)[:, :20]]
     assert set(got) == set(ids[asks].tolist()) and all(len(v) == 20 for v in got.values())
     assert sum(len(got[int(ids[a])] & set(b.tolist())) for a, b in zip(asks, best, strict=True)) / best.size >= 0.9
+
+
+def test_bpe_texts_together_are_as_alone(monkeypatch):
+    """New words of several texts are encoded at once; a text with a join that doesn't agree is repaired in its place."""
+    codec, calls = bpe.Codec(bpe.default_path()), []
+    texts = [" ".join(f"word{'abcdefgh'[k % 8]}{'xyzuvw'[k % 6]} n{k}." for k in range(i * 40)).encode() for i in range(6)] + [b"", "É. don't <|endoftext|> Straße!? 7;".encode(), b"a.b. c..  d;e !x"]
+    learn = codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: calls.append(len(words)) or learn(words))
+    want = [codec.whole([t])[0] for t in texts]
+    assert codec.batch(texts) == want and len(calls) == 1
+    odd = bpe.Codec(bpe.default_path())
+    monkeypatch.setattr(odd, "agrees", lambda a, b: b"n100" not in a + b)
+    assert odd.batch(texts) == want and odd.repairs
+    assert list(bpe._together(pa.array(["x" * bpe.TOGETHER, None, "y"]))) == [[b"x" * bpe.TOGETHER], [b"", b"y"]]
+    old = re.compile(rb"(?<=[0-9a-z])([.,;:!?]+)(?=[\x20\x09-\x0D]|\Z)")
+    for t in (b"a.", b"a.. b", b".a", b"a.b,", b" . a", b"9!?\nb..c;", b"A. a.\x0bx", b"...", b"a.-. b"):
+        assert bpe._TAIL.sub(rb" \1", t) == old.sub(rb" \1", t)
