@@ -18,6 +18,8 @@ DISTANCE = 4
 SEED = 42
 #: The similarity of near copies where no contract fixes the bits, as a fraction.
 ALIKE = (4, 5)
+#: Parts of sets that are compared one after the other.
+PARTS = 4
 #: Documents in which shingles are counted to put the common ones last, and the number of shingles kept of them.
 COUNTED, COMMON = 20_000, 1 << 20
 #: Ids that are broadcast at most, 16 MB of them; more are joined by a shuffle.
@@ -306,41 +308,44 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is ALIKE or more, counted over all their shingles.
 
-    ALIKE sets differ in at most a ninth of their sizes' sum. So first a quarter of the shingles, by their hash, is
-    moved to each pair: one that differs in more than that ninth there already ends, as nearly all unlike ones do.
+    ALIKE sets differ in at most a ninth of their sizes' sum. The shingles are dealt by their hash in PARTS, which move
+    to the pairs one after the other, each once: a pair goes on with the number in which it differs so far, and ends as
+    soon as that is over the ninth, as nearly all unlike ones do at the first. So no more than a part of the sets that
+    are still met is on the move at a time.
     """
+    spark, columns = docs.sparkSession, [f"_own{k}" for k in range(PARTS)]
 
-    def sets(part: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [shingles(_bytes(t), words) for t in batch.column(0)]
-                own = [x[x % np.uint64(part) == 0].tobytes() for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array(own, pa.binary())], ["_set", "_size", "_own"])
-
-        return run
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(_bytes(t), words) for t in batch.column(0)]
+            parts = [[x[x % np.uint64(PARTS) == k].tobytes() for x in found] for k in range(PARTS)]
+            yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), *[pa.array(p, pa.binary()) for p in parts]], ["_set", "_size", *columns])
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), strict=True):
+            apart = []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                good.append(apart * (ALIKE[0] + ALIKE[1]) <= n * (ALIKE[1] - ALIKE[0]))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    pairs = written(pairs)
-    for part in (4, 1):
-        used = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
-        keys = written(nodes.select("_set", "_text_key").join(used, "_set").select("_text_key"))
-        texts = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text")).join(keys, "_text_key", "left_semi").select("_text")
-        own = written(small_batches(texts).mapInArrow(sets(part), "_set long, _size long, _own binary").dropDuplicates(["_set"]))
-        both = _meet(pairs, own, {"_own": "_x", "_size": "_m"}, {"_own": "_y", "_size": "_n"}).select("a", "b", "_x", "_y", F.col("_m") + F.col("_n"))
-        out = written(both.mapInArrow(verified, "a long, b long"))
-        for table in (pairs, keys, own):
-            forget(table)
-        release(docs.sparkSession)
+                apart.append(len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True)))
+            apart = np.array(apart, np.int64) + batch.column(2).to_numpy()
+            good = apart * (ALIKE[0] + ALIKE[1]) <= batch.column(3).to_numpy() * (ALIKE[1] - ALIKE[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["a", "b", "_apart"]).filter(pa.array(good))
+
+    pairs = written(pairs.select("a", "b", F.lit(0).cast("long").alias("_apart")))
+    used = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
+    keys = written(nodes.select("_set", "_text_key").join(used, "_set").select("_text_key"))
+    texts = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text")).join(keys, "_text_key", "left_semi").select("_text")
+    own = written(small_batches(texts).mapInArrow(sets, ", ".join(["_set long", "_size long", *[f"{c} binary" for c in columns]])).dropDuplicates(["_set"]))
+    release(spark)
+    for column in columns:
+        both = _meet(pairs, own, {column: "_x", "_size": "_m"}, {column: "_y", "_size": "_n"})
+        out = written(both.select("a", "b", "_apart", F.col("_m") + F.col("_n"), "_x", "_y").mapInArrow(compared, "a long, b long, _apart long"))
+        forget(pairs)
+        release(spark)
         pairs = out
-    return pairs
+    for table in (keys, own):
+        forget(table)
+    return pairs.select("a", "b")
 
 
 def _meet(pairs: DataFrame, table: DataFrame, as_a: dict[str, str], as_b: dict[str, str]) -> DataFrame:

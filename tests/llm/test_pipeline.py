@@ -94,3 +94,19 @@ def test_odd_tables_run_whole(spark, tmp_path):
 
 def test_an_empty_corpus(spark, tmp_path):
     assert corpus_pipeline.run(spark, _store(spark, tmp_path, [], [(1, 1, 1)])).collect() == []
+
+
+def test_sets_meet_part_by_part(spark, monkeypatch):
+    """Only a part of the pairs' shingles moves at a time, each part once, and a pair that differs too much already doesn't go on."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    some = {0: base, 1: [*base[:395], "x1", "x2", "x3", "x4", "x5"], 2: [*base[:150], *[f"y{rng.randrange(10**6)}" for _ in range(250)]], 3: [*base[:340], *[f"z{k}" for k in range(60)]]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in some.items()], "doc_id long, text string")
+    names = {k: simhash._name(simhash.shingles(" ".join(t).encode(), 5)) for k, t in some.items()}
+    nodes = spark.createDataFrame([(names[k], r._k) for k, r in zip(some, docs.orderBy("doc_id").selectExpr("xxhash64(text) as _k").collect())], "_set long, _text_key long")
+    pairs = spark.createDataFrame([(names[0], names[k]) for k in (1, 2, 3)], "a long, b long")
+    moved, meet = [], simhash._meet
+    monkeypatch.setattr(simhash, "_meet", lambda p, *rest: moved.append((p.count(), meet(p, *rest))) or moved[-1][1])
+    found = simhash._alike(pairs, nodes, docs, "text", 5).collect()
+    assert [(r.a, r.b) for r in found] == [(names[0], names[1])]
+    assert [n for n, _ in moved][0] == 3 and [n for n, _ in moved][-1] < 3 and len(moved) == simhash.PARTS
