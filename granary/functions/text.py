@@ -93,8 +93,11 @@ def terms(c: Column) -> Column:
     words = F.transform(F.split(F.lower(c), r"(?U)\s+"), lambda w: F.btrim(w, F.lit(TERM_MARKS)))
     parts = [F.filter(words, lambda w: (w != "") & ~w.isin(*fixed.STOP_WORDS))]
     none = F.array().cast("array<string>")
-    parts += [F.when(c.contains(k), F.array(F.lit(k))).otherwise(none) for k in fixed.DOMAIN_KEYWORDS]
-    parts += [F.when(c.contains(k), F.array(*map(F.lit, (k, *more)))).otherwise(none) for k, more in fixed.QUERY_EXPANSIONS.items()]
+    known = [F.when(c.contains(k), F.array(F.lit(k))).otherwise(none) for k in fixed.DOMAIN_KEYWORDS]
+    known += [F.when(c.contains(k), F.array(*map(F.lit, (k, *more)))).otherwise(none) for k, more in fixed.QUERY_EXPANSIONS.items()]
+    # one search for their first characters passes over most texts that have none of them
+    first = "[" + "".join(sorted({re.escape(k[0]) for k in (*fixed.DOMAIN_KEYWORDS, *fixed.QUERY_EXPANSIONS)})) + "]"
+    parts.append(F.when(c.rlike(first), F.concat(*known)).otherwise(none))
     return F.array_distinct(F.concat(*parts))
 
 
