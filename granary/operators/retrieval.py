@@ -24,9 +24,9 @@ HINT_BONUS, SUPPLEMENT_SCORE, SUPPLEMENTS = 0.10, 0.80, 3
 ORIGIN_HIT, ORIGIN_HINT = "faiss", "intent_hint_supplement"
 #: Queries, and numbers of their vectors (32 MB), that are broadcast at most. More are dealt over the cluster, in cells of at most about so many queries and rows.
 QUERY_BLOCK, QUERY_NUMBERS = 4096, 1 << 22
-CELL_QUERIES, CELL_ROWS = 1 << 14, 1 << 16
-#: Scores that a task holds at once, 32 MB of them.
-SCORES = 1 << 22
+CELL_QUERIES, CELL_ROWS = 1 << 13, 1 << 14
+#: Scores that a task holds at once, 4 MB of them; rounding and choosing the best copy them a few times over.
+SCORES = 1 << 19
 DIGITS = 6
 #: Query terms that are broadcast at most, and rows of a query that are scored first, to learn what its best rows must reach.
 BROADCAST_TERMS, SEEDS = 200_000, 32

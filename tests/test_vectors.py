@@ -42,3 +42,19 @@ def test_many_queries_don_t_pass_through_the_driver(spark, monkeypatch):
     got = retrieval.vector_topk(queries, kb, 3)
     assert got.count() == 90_000 and not sent
     assert got.groupBy("query_id").count().filter("count <> 3").isEmpty()
+
+
+def test_a_cell_holds_few_scores_at_once():
+    """What a worker holds beside its vectors doesn't grow with the number of queries that meet in its cell."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    rows, queries = rng.standard_normal((1 << 14, 8)), rng.standard_normal((600, 8))
+    tracemalloc.start()
+    ids, pos, scores = retrieval._nearest(np.arange(600), queries, np.arange(1 << 14), rows, 3, False, 6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20
+    want = np.round(queries[:5] @ rows.T, 6)
+    for k in range(5):
+        assert pos[ids == k].tolist() == np.lexsort((np.arange(1 << 14), -want[k]))[:3].tolist()
