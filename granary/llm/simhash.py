@@ -22,6 +22,8 @@ ALIKE = (4, 5)
 PARTS = 4
 #: Documents in which shingles are counted to put the common ones last, and the number of shingles kept of them.
 COUNTED, COMMON = 20_000, 1 << 20
+#: Pairs of a set that meet its shingles in one task, where that is over a thousandth of all.
+SHARE = 64
 #: Ids that are broadcast at most, 16 MB of them; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 #: A fingerprint is two halves of 32 bits, a half is segments of equal width. The grid starts with the widest segments
@@ -241,6 +243,20 @@ def _bytes(x: pa.Scalar) -> bytes:
     return x.as_py().encode() if x.is_valid else b""
 
 
+def odd_counts(own: np.ndarray) -> bytes:
+    """One bit for each of 2^k slots, as many as shingles or up to twice that, set if an odd number of the shingles fall there."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    return np.packbits((np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """The number of shingles in which two sets differ is at least this, by their odd_counts: a shingle of one set only turns one bit."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    if len(y) > len(x):  # a slot of fewer holds those of the more that have its number in their last bits
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _name(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
@@ -273,7 +289,7 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) ->
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(_id, _fp, _text_key, _set, _size, _prefix): a row's fingerprint, and a hash, the size and the prefix, in the order of all shingles, of its set of shingles.
+    """(_id, _fp, _text_key, _set, _size, _prefix, _odd): a row's fingerprint, and a hash, the size, the prefix, in the order of all shingles, and the odd_counts of its set of shingles.
 
     Sets of a similarity of t have an overlap of at least t times the size of each. So in any one order of all
     shingles, both sets have one in common among their first n - ceil(t * n) + 1: no copy is missed. The order puts common shingles
@@ -284,7 +300,7 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, names, sizes, firsts = [], [], [], []
+            prints, names, sizes, firsts, odd = [], [], [], [], []
             for t in batch.column(2):
                 hashes = _hashes(_bytes(t), words)
                 own = np.unique(np.array(hashes, np.uint64))
@@ -296,13 +312,35 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFra
                 prints.append(_print(hashes))
                 names.append(_name(own))
                 sizes.append(n)
+                odd.append(odd_counts(own))
                 firsts.append(own[np.lexsort((own, often))][:most].view(np.int64))
             ends = np.cumsum([0, *map(len, firsts)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists], ["_id", "_fp", "_text_key", "_set", "_size", "_prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64)), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(odd, pa.binary())], ["_id", "_fp", "_text_key", "_set", "_size", "_prefix", "_odd"])
 
     rows = small_batches(docs).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {kind}, _fp long, _text_key long, _set long, _size int, _prefix array<long>")
+    return rows.mapInArrow(run, f"_id {kind}, _fp long, _text_key long, _set long, _size int, _prefix array<long>, _odd binary")
+
+
+def _may_be_alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) without those whose odd_counts differ more than ALIKE sets do: none that is ALIKE goes.
+
+    The counts are a few hundredths of the shingles, so of nearly all unlike sets the shingles are neither read again nor moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = np.array([least_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(4), strict=True)], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart * (ALIKE[0] + ALIKE[1]) <= batch.column(2).to_numpy() * (ALIKE[1] - ALIKE[0])))
+
+    pairs = written(pairs.select("a", "b"))
+    hot = _shared(pairs)
+    table = nodes.select("_set", "_size", "_odd").join(F.broadcast(hot), "_set", "left")
+    both = _meet(pairs, table, hot, {"_odd": "_x", "_size": "_m"}, {"_odd": "_y", "_size": "_n"})
+    out = written(both.select("a", "b", (F.col("_m") + F.col("_n")).cast("long").alias("_both"), "_x", "_y").mapInArrow(run, "a long, b long"))
+    for table in (pairs, hot):
+        forget(table)
+    return out
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
@@ -310,8 +348,7 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, w
 
     ALIKE sets differ in at most a ninth of their sizes' sum. The shingles are dealt by their hash in PARTS, which move
     to the pairs one after the other, each once: a pair goes on with the number in which it differs so far, and ends as
-    soon as that is over the ninth, as nearly all unlike ones do at the first. So no more than a part of the sets that
-    are still met is on the move at a time.
+    soon as that is over the ninth. So no more than a part of the sets that are still met is on the move at a time.
     """
     spark, columns = docs.sparkSession, [f"_own{k}" for k in range(PARTS)]
 
@@ -332,29 +369,44 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, w
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["a", "b", "_apart"]).filter(pa.array(good))
 
     pairs = written(pairs.select("a", "b", F.lit(0).cast("long").alias("_apart")))
-    used = pairs.select(F.col("a").alias("_set")).unionByName(pairs.select(F.col("b").alias("_set"))).distinct()
+    hot = _shared(pairs)
+    used = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
     keys = written(nodes.select("_set", "_text_key").join(used, "_set").select("_text_key"))
-    texts = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text")).join(keys, "_text_key", "left_semi").select("_text")
-    own = written(small_batches(texts).mapInArrow(sets, ", ".join(["_set long", "_size long", *[f"{c} binary" for c in columns]])).dropDuplicates(["_set"]))
+    # broadcast, whole texts stay where they are
+    near = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    texts = docs.select(F.xxhash64(text_col).alias("_text_key"), F.col(text_col).alias("_text")).join(near, "_text_key", "left_semi").select("_text")
+    found = small_batches(texts).mapInArrow(sets, ", ".join(["_set long", "_size long", *[f"{c} binary" for c in columns]])).dropDuplicates(["_set"])
+    own = written(found.join(F.broadcast(hot), "_set", "left"))
     release(spark)
     for column in columns:
-        both = _meet(pairs, own, {column: "_x", "_size": "_m"}, {column: "_y", "_size": "_n"})
+        both = _meet(pairs, own, hot, {column: "_x", "_size": "_m"}, {column: "_y", "_size": "_n"})
         out = written(both.select("a", "b", "_apart", F.col("_m") + F.col("_n"), "_x", "_y").mapInArrow(compared, "a long, b long, _apart long"))
         forget(pairs)
         release(spark)
         pairs = out
-    for table in (keys, own):
+    for table in (keys, own, hot):
         forget(table)
     return pairs.select("a", "b")
 
 
-def _meet(pairs: DataFrame, table: DataFrame, as_a: dict[str, str], as_b: dict[str, str]) -> DataFrame:
-    """pairs (a, b) with columns of table for a and for b, found by _set."""
-    total = max(1, pairs.count())
-    for key, names in (("a", as_a), ("b", as_b)):
-        uses = pairs.groupBy(key).agg(F.count("*").alias("_uses"))
-        right = table.select(F.col("_set").alias(key), *[F.col(c).alias(n) for c, n in names.items()]).join(uses, key)
-        pairs = lookup(pairs, right, [key], "_uses", total).drop("_uses")
+def _shared(pairs: DataFrame) -> DataFrame:
+    """(_set, _parts): the sets that over a thousandth of the pairs (a, b) have, so under 2 * HOT, and in how many parts each set's pairs are dealt."""
+    most = max(SHARE, pairs.count() // HOT)
+    uses = pairs.select(F.explode(F.array("a", "b")).alias("_set")).groupBy("_set").agg(F.count("*").alias("_n"))
+    return written(uses.filter(F.col("_n") > most).select("_set", F.ceil(F.col("_n") / most).alias("_parts")))
+
+
+def _meet(pairs: DataFrame, table: DataFrame, hot: DataFrame, as_a: dict[str, str], as_b: dict[str, str]) -> DataFrame:
+    """pairs (a, b) with columns of table for a and for b, found by _set. hot is _shared(); table: _parts of it, else null.
+
+    A set of many pairs is copied for each part of them, so each join is one shuffle in which no key has many rows.
+    """
+    for key, other, names in (("a", "b", as_a), ("b", "a", as_b)):
+        part = F.coalesce(F.pmod(F.xxhash64(other), F.col("_parts")), F.lit(0).cast("long")).alias("_part")
+        left = pairs.join(F.broadcast(hot.withColumnRenamed("_set", key)), key, "left").select(*pairs.columns, part)
+        copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1).cast("long")) - 1)
+        right = table.select(F.col("_set").alias(key), *[F.col(c).alias(n) for c, n in names.items()], F.explode(copies).alias("_part"))
+        pairs = left.join(right, [key, "_part"]).drop("_part")
     return pairs
 
 
@@ -392,12 +444,12 @@ def open_pairs(mixed: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def set_components(nodes: DataFrame, texts: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(_fp, _label) for the sets, by their hash, that link to another. nodes: (_set, _size, _prefix), a table that is deleted once read; texts: (_set, _text_key).
+    """(_fp, _label) for the sets, by their hash, that link to another. nodes: (_set, _size, _prefix), a table that is deleted once read; texts: (_set, _text_key, _size, _odd).
 
     Sets meet at the shingles of their prefixes. First each meets the one that has the fewest rarer shingles there: in
     a group of near copies that is the one the others were made from, as their changes are rare. Then, where a shingle
     still has several components, sets of different components meet. Both steps keep a pair only if the places of the
-    shingle in both orders leave room for the similarity, and verify it over whole sets.
+    shingle in both orders and the sets' odd_counts leave room for the similarity, and verify it over whole sets.
     """
     spark = docs.sparkSession
     of = lambda n: n.select(F.posexplode("_prefix").alias("_place", "_cell"), F.col("_set").alias("_fp"), "_size")
@@ -411,7 +463,7 @@ def set_components(nodes: DataFrame, texts: DataFrame, docs: DataFrame, text_col
     forget(nodes)  # their prefixes are many bytes; what is read from here on is ids
     release(spark)
     stars = shared.filter((F.col("_fp") != F.col("_fp1")) & _fits("_size", "_place", "_size1", "_place1")).select(F.col("_fp").alias("a"), F.col("_fp1").alias("b")).distinct()
-    linked = written(components(_alike(stars, texts, docs, text_col, words)))
+    linked = written(components(_alike(_may_be_alike(stars, texts), texts, docs, text_col, words)))
     labelled = written(shared.drop("_fp1", "_size1", "_place1").join(linked.select(F.col("node").alias("_fp"), "label"), "_fp", "left").withColumn("_label", F.coalesce("label", "_fp")).drop("label"))
     forget(shared)
     # most shingles have one component by now: only the others' rows go on
@@ -422,7 +474,7 @@ def set_components(nodes: DataFrame, texts: DataFrame, docs: DataFrame, text_col
     mixed = written(lookup(open_, of_cell, ["_cell"], "_all", max(1, open_.count())))
     forget(labelled)
     release(spark)
-    links = _alike(open_pairs(mixed).distinct(), texts, docs, text_col, words)
+    links = _alike(_may_be_alike(open_pairs(mixed).distinct(), texts), texts, docs, text_col, words)
     every = links.unionByName(linked.select(F.col("node").alias("a"), F.col("label").alias("b")))
     found = components(every).select(F.col("node").alias("_fp"), F.col("label").alias("_label"))
     for table in (mixed, several, open_, linked, links):
@@ -448,10 +500,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         found = written(prefixes(docs, id_col, text_col, words))
         rows = written(found.select("_id", F.col("_fp").alias("_print"), F.col("_set").alias("_fp")))
-        nodes = found.groupBy("_set").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_text_key").alias("_text_key"), F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"))
+        nodes = found.groupBy("_set").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.first("_text_key").alias("_text_key"), F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"), F.first("_odd").alias("_odd"))
         nodes = written(nodes)
         forget(found)
-        texts = written(nodes.select("_set", "_text_key", "_first", "_n"))
+        texts = written(nodes.select("_set", "_text_key", "_first", "_n", "_size", "_odd"))
         prints = texts.select(F.col("_set").alias("_fp"), "_first", "_n")
         release(docs.sparkSession)
         linked = set_components(nodes, texts, docs, text_col, words)

@@ -4,7 +4,9 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from granary.llm import exact_dedup, simhash
 
@@ -110,3 +112,53 @@ def test_sets_meet_part_by_part(spark, monkeypatch):
     found = simhash._alike(pairs, nodes, docs, "text", 5).collect()
     assert [(r.a, r.b) for r in found] == [(names[0], names[1])]
     assert [n for n, _ in moved][0] == 3 and [n for n, _ in moved][-1] < 3 and len(moved) == simhash.PARTS
+
+
+def test_odd_counts_never_part_alike_sets():
+    """The bound holds for any two sets, of sizes with fewer or more slots too, and parts most of those that differ by much."""
+    rng = np.random.default_rng(3)
+    parted = 0
+    for n in (0, 1, 2, 5, 63, 64, 65, 120, 600, 1024, 1030, 5000):
+        for share in (0, 0.02, 0.1, 0.2, 0.5, 1):
+            x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            y = np.unique(np.concatenate([x[int(n * share) :], rng.integers(0, 1 << 64, int(n * share * rng.choice([0, 1, 2])), np.uint64)]))
+            apart, least = len(np.setxor1d(x, y)), simhash.least_apart(simhash.odd_counts(x), simhash.odd_counts(y))
+            assert least <= apart and (apart - least) % 2 == 0 and least == simhash.least_apart(simhash.odd_counts(y), simhash.odd_counts(x))
+            parted += n >= 600 and share == 1 and len(y) and least * 9 > len(x) + len(y)
+    assert parted
+
+
+def test_texts_of_unlike_sets_are_not_read_again(spark, monkeypatch):
+    """Sets that meet at a rare shingle of theirs but are unlike don't go on to the comparison of whole sets, and no text of the others is shuffled."""
+    rng = random.Random(11)
+    lead, texts = [f"p{k}" for k in range(12)], []
+    for _ in range(40):  # the same beginning, and an own text behind
+        texts.append([*lead, *[f"y{rng.randrange(10**6)}" for _ in range(48)]])
+    texts += [[*texts[0][:-1], "z"], [*texts[1][:-1], "z"]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    asked, plans, alike, written = [], [], simhash._alike, simhash.written
+    monkeypatch.setattr(simhash, "_fits", lambda *_: F.lit(True))  # every two that meet are a pair
+    monkeypatch.setattr(simhash, "_alike", lambda p, *rest: asked.append(p.count()) or alike(p, *rest))
+    monkeypatch.setattr(simhash, "written", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or written(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: r.component_id for r in simhash.near_groups(docs, words=5).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {**{k: k for k in range(40)}, 40: 0, 41: 1}
+    assert sum(asked) <= 2
+    of_texts = [p for c, p in plans if "_own0" in c]
+    assert of_texts and not any("SortMergeJoin" in p for p in of_texts)
+
+
+def test_a_set_of_many_pairs_is_dealt(spark, monkeypatch):
+    """A set that most pairs have meets them in parts, and each pair gets its own columns once."""
+    monkeypatch.setattr(simhash, "SHARE", 4)
+    pairs = spark.createDataFrame([(0, k) for k in range(1, 50)] + [(7, 8), (9, 7)], "a long, b long")
+    hot = simhash._shared(pairs)
+    assert {r._set: r._parts for r in hot.collect()} == {0: 13}
+    table = spark.range(50).selectExpr("id as _set", "10 * id as v").join(hot, "_set", "left")
+    both = simhash._meet(pairs, table, hot, {"v": "x"}, {"v": "y"})
+    assert sorted((r.a, r.b, r.x, r.y) for r in both.collect()) == sorted((r.a, r.b, 10 * r.a, 10 * r.b) for r in pairs.collect())
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
